@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from driftline.llm.common import WORD, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
-#: u has 52 bits, dealt to cells of 13 bits on each of the four levels.
-BITS, CELL = 52, 13
+#: u has 39 bits, dealt to cells of 13 bits on each of the three levels.
+BITS, CELL = 39, 13
 
 
 def word_count(text: str) -> Column:
@@ -30,8 +30,9 @@ def word_count(text: str) -> Column:
 
 
 def unit(key: str, seed: int) -> Column:
-    """A number of BITS bits from the key: the first 13 hex digits of an MD5 hash."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10).cast("long")
+    """A number of BITS bits from the key: the first 10 hex digits of an MD5 hash, without the last bit."""
+    digits = F.substring(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 10)
+    return F.shiftright(F.conv(digits, 16, 10).cast("long"), 40 - BITS)
 
 
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -56,7 +57,7 @@ def odds(p: Column) -> Column:
 
 def ranking(u: Column, inclusion_odds: Column) -> Column:
     """Pareto's ranking number odds(u) / inclusion odds, mapped in order to a whole number of BITS bits."""
-    q = odds((u.cast("double") + 0.5) / float(1 << BITS)) / inclusion_odds
+    q = F.try_divide(odds((u.cast("double") + 0.5) / float(1 << BITS)), inclusion_odds)
     return F.least(F.floor(q / (1 + q) * float(1 << BITS)), F.lit((1 << BITS) - 1)).cast("long")
 
 

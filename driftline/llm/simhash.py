@@ -115,7 +115,7 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[np.nd
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """(u, v): links that connect the distinct fingerprints (column fp) within the radius of each other."""
     each = fps.select("fp").distinct()
-    pieces = F.array(*[F.struct(F.lit(i).cast("int").alias("block"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1).cast("long")).alias("value")) for i, (s, w) in enumerate(blocks(radius))])
+    pieces = F.array(*[F.struct(F.lit(i).cast("int").alias("block"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1).cast("long")).alias("value")) for i, (s, w) in enumerate(blocks(radius))])
     laid = stored(each.select("fp", F.explode(pieces).alias("b")).select("fp", "b.block", "b.value"), "blocks")
     full = laid.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / DEALT).cast("int"))
     near = laid.join(full, ["block", "value"]).withColumn("pc", F.bit_count("fp"))

@@ -56,11 +56,11 @@ def test_cases(spark):
 
 def test_prior_favours(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "a" if i % 2 else "b", 5.0 if i % 3 else 0.2) for i in range(3000)], "doc_id long, text string, source string, prior double")
-    got = mixing.mixed(docs, prior="prior").where("source = 'b'").groupBy("prior").avg("copies").collect()
+    got = mixing.mixed(docs, prior="prior", share=1.2, weights=(1.0,)).where("source = 'b'").groupBy("prior").avg("copies").collect()
     by = {r.prior: r["avg(copies)"] for r in got}
     assert by[5.0] > by[0.2]
 
 
 def test_hash(spark):
     u = spark.createDataFrame([(5,)], "doc_id long").select(mixing.unit("doc_id", 7).alias("u")).first().u
-    assert u == int(hashlib.md5(b"5:7").hexdigest()[:13], 16)
+    assert u == int(hashlib.md5(b"5:7").hexdigest()[:10], 16) >> 1
