@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import decontam, mixing, quality, simhash
+from driftline.llm import decontam, mixing, quality, repeats, simhash
 from driftline.llm.common import table
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents"), carry=["doc_id"], with_text=False)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), keep_columns=["doc_id"])
 
@@ -26,5 +30,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"]).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_simhash, op7_mixing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_repeats, op4_quality_rules, op5_simhash, op7_mixing, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
