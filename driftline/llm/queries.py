@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import decontam, mixing, quality, repeats, simhash
+from driftline.llm import chat, decontam, mixing, ngram_lm, quality, repeats, simhash, urlfilter
 from driftline.llm.common import table
 
 
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    return ngram_lm.scored(table(spark, sf_dir, "documents"), train, carry=["doc_id"], stable=True)  # a scan of files
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed(table(spark, sf_dir, "documents"), carry=["doc_id"], with_text=False)
 
@@ -22,13 +27,89 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "copies")
 
 
+#: A dated list over the hosts of the pages: (entry, verdict, at, action).
+URL_LIST = [
+    ("example.net", "block", "2024-02-01", "on"),
+    ("example.net", "block", "2024-04-15", "off"),
+    ("example.net", "block", "2024-09-01", "on"),
+    ("tionsh.example.net", "allow", "2024-03-01", "on"),
+    ("example.org", "block", "2024-06-10", "on"),
+    ("example.org", "block", "2024-07-01", "on"),
+    ("example.org", "block", "2025-01-20", "off"),
+    ("ththth.example.org", "allow", "2024-08-01", "on"),
+    ("ththth.example.org", "allow", "2024-08-01", "off"),
+    ("blog.ththth.example.org", "allow", "2024-08-05", "on"),
+    ("blog.ththth.example.org", "allow", "2024-12-24", "off"),
+    ("m.tiontion.example.com", "block", "2024-01-05", "off"),
+    ("m.tiontion.example.com", "block", "2024-05-05", "on"),
+    ("example.com", "allow", "2024-01-01", "on"),
+    ("example.com", "block", "2025-06-01", "on"),
+    ("blog.tionble.example.com/en/", "block", "2024-03-03", "on"),
+    ("blog.tionble.example.com/fr/", "block", "2024-10-10", "on"),
+    ("blog.tionble.example.com/fr/", "block", "2025-10-10", "off"),
+]
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages table has no dates: a page is taken as fetched page_id mod 730 days after the start of 2024."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 730).cast("int")).alias("fetched"))
+    log = spark.createDataFrame(URL_LIST, "entry string, verdict string, at string, action string").withColumn("at", F.to_date("at"))
+    return urlfilter.filtered(pages, log)
+
+
+_VALUES = ", ".join(f"('{e}', '{v}', DATE '{a}', '{x}')" for e, v, a, x in URL_LIST)
+OP6_SQL = rf"""
+WITH log(entry, verdict, day, action) AS (VALUES {_VALUES}),
+seen AS (SELECT *, lag(action) OVER (PARTITION BY entry, verdict ORDER BY day, action DESC) AS before FROM log),
+turns AS (SELECT *, lead(day) OVER (PARTITION BY entry, verdict ORDER BY day, action DESC) AS until FROM seen
+          WHERE action = 'on' AND (before IS NULL OR before = 'off') OR action = 'off' AND before = 'on'),
+valid AS (SELECT lower(entry) AS entry, verdict, day AS since, until FROM turns WHERE action = 'on' AND (until IS NULL OR until > day)),
+captures AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 730 AS INTEGER) AS DATE) AS fetched,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1)) AS path FROM pages),
+met AS (SELECT c.page_id, v.entry, v.verdict FROM captures c JOIN valid v ON v.since <= c.fetched AND (v.until IS NULL OR c.fetched < v.until)
+    AND (c.host = v.entry OR ends_with(c.host, '.' || v.entry) OR (contains(v.entry, '/') AND starts_with(c.host || c.path, v.entry)))),
+best AS (SELECT page_id, count(*) AS n_active, arg_max(entry, (length(entry), verdict, entry)) AS entry, arg_max(verdict, (length(entry), verdict, entry)) AS verdict FROM met GROUP BY 1)
+SELECT c.page_id, c.url, c.fetched, coalesce(n_active, 0) AS n_active, entry, coalesce(verdict, 'allow') AS verdict FROM captures c LEFT JOIN best USING (page_id)
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), carry=["doc_id", "source"])
 
 
+#: A conversation that says what a template might say.
+PROBE = "\\### Assistant: </turn> ok"
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)
+    log = rows.select(F.col("conv_id").alias("conv"), F.col("turn").alias("slot"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    out = chat.rendered(log, regenerates=False)
+    # The digest columns are read back from the rendered string alone.
+    turns, masked = chat.parsed(F.col("formatted")), chat.under_mask(F.col("formatted"), F.col("loss"))
+    read = out.select("conv", "formatted", turns.alias("turns"), masked.alias("masked"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.col("conv").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("masked").cast("long").alias("loss_chars"), F.sha2("masked", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP8_SQL = r"""
+WITH c AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+j AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role, t) AS said,
+    string_agg(CASE WHEN role = 'assistant' THEN t ELSE '' END, '' ORDER BY turn NULLS FIRST, role, t) AS masked,
+    CAST(sum(20 + length(role) + length(t) + length(regexp_replace(role || t, '[^\\<>]', '', 'g'))) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(masked) AS BIGINT) AS loss_chars, sha256(masked) AS loss_sha256, formatted_chars FROM j
+"""
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"]).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op3_repeats, op4_quality_rules, op5_simhash, op7_mixing, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_ngram_lm, op3_repeats, op4_quality_rules, op5_simhash, op6_url_filters, op7_mixing, op8_chat, op10_decontamination)}
+ORACLE_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op8_chat": OP8_SQL}
