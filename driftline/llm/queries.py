@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import chat, decontam, mixing, ngram_lm, quality, repeats, simhash, urlfilter
+from driftline.llm import chat, decontam, mixing, ngram_lm, quality, repeats, secrets, simhash, urlfilter
 from driftline.llm.common import table
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(table(spark, sf_dir, "documents"), secrets.default_model(), carry=["doc_id"])
+
+
 def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
     return ngram_lm.scored(table(spark, sf_dir, "documents"), train, carry=["doc_id"], stable=True)  # a scan of files
@@ -111,5 +115,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"]).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_lm, op3_repeats, op4_quality_rules, op5_simhash, op6_url_filters, op7_mixing, op8_chat, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_ngram_lm, op3_repeats, op4_quality_rules, op5_simhash, op6_url_filters, op7_mixing, op8_chat, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op8_chat": OP8_SQL}

@@ -1,0 +1,55 @@
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from driftline.llm import forest, secrets
+
+
+@pytest.fixture(scope="module")
+def model():
+    return secrets.default_model()
+
+
+def test_forest_learns():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(1500, 5))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
+    f = forest.train(x[:1000], y[:1000], trees=25)
+    assert ((f.predict(x[1000:]) > 0.5) == y[1000:]).mean() > 0.93
+
+
+def test_held_out_accuracy(model):
+    held = secrets.labelled_findings(1500, seed=99)
+    p = model.predict(np.array([secrets.features(f) for f in held]))
+    y = np.array([f.label for f in held])
+    assert ((p >= 0.5) == y).mean() > 0.96
+    assert ((p >= 0.5) & (y == 0)).sum() < 0.05 * (y == 0).sum()
+
+
+def test_whole_table(spark, sf, model):
+    sf = sf.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    planted = {r.doc_id: re.findall(r'token = "([0-9a-f]{40})"', r.text) for r in docs.collect()}
+    rows = secrets.scanned(docs, model).collect()
+    assert len(rows) == docs.count() and sum(map(len, planted.values())) > 5
+    for r in rows:
+        got = [r.text[f.begin : f.end] for f in r.findings]
+        assert set(planted[r.doc_id]) <= set(got)
+    assert sum(r.n_secrets for r in rows) <= 1.2 * sum(map(len, planted.values())) + 2
+    clean = secrets.redacted_documents(docs)
+    assert clean.columns == docs.columns and clean.where(F.col("text").rlike('token = "[0-9a-f]{40}"')).count() == 0
+
+
+def test_cases(spark, model):
+    key = "a3f5c1d29b7e4f60818293a4b5c6d7e8f9012345"
+    rows = [(1, f'token = "{key}" and password: {key[:20]}', "x", "c"), (2, None, None, "c"), (3, "", "x", "c"), (4, f"commit {key}", None, "c"), (1, f'token = "{key}" and password: {key[:20]}', "x", "c"), (5, "long " * 50000 + f'secret = "{key}"', "x", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_secrets string")
+    got = sorted((r.doc_id, r.n_secrets) for r in secrets.scanned(docs, model).collect())
+    assert got == [(1, 2), (1, 2), (2, 0), (3, 0), (4, 0), (5, 1)]
+    out = secrets.redacted_documents(docs)
+    assert out.columns == docs.columns
+    assert {r.doc_id: r.text for r in out.collect()}[1] == f'token = "{secrets.MARK}" and password: {secrets.MARK}'
+    assert secrets.scanned(docs.where("false"), model).count() == 0
+    assert secrets.scanned(docs.drop("source"), model).count() == 6
