@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import chat, decontam, mixing, ngram_lm, quality, repeats, secrets, simhash, urlfilter
+from driftline.llm import chat, decontam, mixing, ngram_lm, quality, repeats, secrets, simhash, urlfilter, wrappers
 from driftline.llm.common import table
 
 
@@ -111,9 +111,13 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(masked) AS BI
 """
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extracted(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"]).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_ngram_lm, op3_repeats, op4_quality_rules, op5_simhash, op6_url_filters, op7_mixing, op8_chat, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_ngram_lm, op3_repeats, op4_quality_rules, op5_simhash, op6_url_filters, op7_mixing, op8_chat, op9_html_extraction, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op8_chat": OP8_SQL}
