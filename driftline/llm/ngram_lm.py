@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,15 +37,29 @@ from driftline.llm.trie import NAME, VALUES, Trie
 
 #: Bytes of text in a batch.
 BATCH_BYTES = 32 << 20
+#: Shards that a shuffle partition holds; one shard's trie is in memory at a time.
+SHARDS_A_PART = 4
 START, END = b"\x00 start", b"\x00 end"  # no word has a space
 _MASK = np.uint64((1 << NAME) - 1)
 FIELDS = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
 
 
+def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and for each key its number (np.unique with half the memory)."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.empty(len(key), bool)
+    new[:1] = True
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    inverse = np.empty(len(key), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    return key[new], inverse
+
+
 class Batch:
-    """The n-grams of some texts. at[k]: for every token, the number of the (k + 1)-gram that ends there; context[k]: of the k-gram before it."""
+    """The n-grams of some texts. keys[k]: the different (k + 2)-grams, as number of the (k + 1)-gram << NAME | name of the last word. With places: at[k], for every token, the number of the (k + 1)-gram that ends there, and context[k], of the (k + 1)-gram before it."""
 
-    def __init__(self, texts: list[bytes | None], train: np.ndarray, order: int):
+    def __init__(self, texts: list[bytes | None], train: np.ndarray, order: int, places: bool = True):
         number: defaultdict[bytes, int] = defaultdict()
         number.default_factory = number.__len__
         get = number.__getitem__
@@ -55,30 +70,31 @@ class Batch:
             self.n_tokens[i] = len(w) + 1
             parts.append(np.array([*pad, *map(get, w), end], np.int32))
         ids = np.concatenate(parts)
+        del parts
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
         by = np.argsort(hashes)
-        place = np.empty(len(by), np.int64)
-        place[by] = np.arange(len(by))
+        place = np.empty(len(by), np.int32)
+        place[by] = np.arange(len(by), dtype=np.int32)
         self.words = hashes[by]
         ids = place[ids]
         self.starts = np.concatenate([[0], np.cumsum(self.n_tokens)])[:-1]
         # Tokens to predict: all but the marks before each text.
-        predicted = np.arange(self.n_tokens.sum()) + np.repeat((np.arange(len(texts)) + 1) * (order - 1), self.n_tokens)
-        learnt = np.repeat(train, self.n_tokens)
+        predicted = np.arange(self.n_tokens.sum(), dtype=np.int32) + np.repeat((np.arange(len(texts), dtype=np.int32) + 1) * (order - 1), self.n_tokens)
+        learnt = predicted[np.repeat(train, self.n_tokens)]
         name = self.words & _MASK
-        self.at, self.keys, self.counts = [ids[predicted]], [], [np.bincount(ids[predicted][learnt], minlength=len(by))]
-        self.context = []
-        # nodes[j]: the number of the n-gram of the level at hand that starts at place j
-        nodes = ids
-        for _ in range(1, order):
-            key = (nodes[:-1].astype(np.uint64) << np.uint64(NAME)) | name[ids[len(ids) - len(nodes) + 1 :]]
-            unique, inverse = np.unique(key, return_inverse=True)
-            k = len(ids) - len(key)
-            here = inverse[predicted - k]
-            self.context.append(nodes[predicted - k])
-            self.at.append(here)
+        self.order, self.keys, self.counts = order, [], [np.bincount(ids[learnt], minlength=len(by))]
+        self.at, self.context = [ids[predicted]] if places else [], []
+        nodes = ids  # the number of the n-gram of the level at hand that starts at each place
+        for k in range(1, order):
+            key = nodes[:-1].astype(np.uint64)
+            key <<= np.uint64(NAME)
+            key |= name[ids[k:]]
+            unique, inverse = numbered(key)
+            if places:
+                self.context.append(nodes[predicted - k])
+                self.at.append(inverse[predicted - k])
             self.keys.append(unique)
-            self.counts.append(np.bincount(here[learnt], minlength=len(unique)))
+            self.counts.append(np.bincount(inverse[learnt - k], minlength=len(unique)))
             nodes = inverse
 
     def cuts(self, shards: int) -> list[np.ndarray]:
@@ -98,50 +114,67 @@ class Batch:
             a, b = cuts[0][s], cuts[0][s + 1]
             if a == b:
                 continue
-            out = [np.array([c[s + 1] - c[s] for c in cuts], np.int64).tobytes(), self.words[a:b].tobytes(), self.counts[0][a:b].astype(np.uint32).tobytes()]
+            small, names = [np.diff(self.words[a:b], prepend=np.uint64(0)), self.counts[0][a:b].astype(np.uint32)], []
             for k, keys in enumerate(self.keys):
                 c, d = cuts[k + 1][s], cuts[k + 1][s + 1]
                 parent = (keys[c:d] >> np.uint64(NAME)).astype(np.int64) - a
-                out += [np.bincount(parent, minlength=b - a).astype(np.uint32).tobytes(), (keys[c:d] & _MASK).view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes(), self.counts[k + 1][c:d].astype(np.uint32).tobytes()]
+                small += [np.bincount(parent, minlength=b - a).astype(np.uint32), self.counts[k + 1][c:d].astype(np.uint32)]
+                names.append((keys[c:d] & _MASK).view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes())
                 a, b = c, d
-            yield s, b"".join(out)
+            packed = squeezed(small)
+            yield s, b"".join([np.array([len(packed), *(c[s + 1] - c[s] for c in cuts)], np.int64).tobytes(), packed, *names])
 
 
-def opened(blob: bytes, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """words, counts by level, parents and names by further level."""
-    sizes = np.frombuffer(blob, np.int64, order)
-    at = 8 * order
+def squeezed(arrays: list[np.ndarray]) -> bytes:
+    """Whole numbers by byte planes, compressed: small numbers take a few bits each."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays))
 
-    def take(kind, n):
-        nonlocal at
-        out = np.frombuffer(blob, kind, n, at)
-        at += out.nbytes
-        return out
 
-    words, counts, parents, names = take(np.uint64, sizes[0]), [take(np.uint32, sizes[0])], [], []
+class Planes:
+    """Reads what squeezed made, in turn."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.at = zstandard.ZstdDecompressor().decompress(raw), 0
+
+    def take(self, kind, n: int) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        out = np.frombuffer(self.raw, np.uint8, size * n, self.at).reshape(size, n).T
+        self.at += size * n
+        return np.ascontiguousarray(out).view(kind).reshape(n)
+
+
+def opened(blob: bytes, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """words, counts by level, parents and names by further level."""
+    packed, *sizes = np.frombuffer(blob, np.int64, order + 1).tolist()
+    at = 8 * (order + 1) + packed
+    read = Planes(blob[8 * (order + 1) : at])
+    words, counts, parents, names = np.cumsum(read.take(np.uint64, sizes[0]), dtype=np.uint64), [read.take(np.uint32, sizes[0])], [], []
     for k in range(1, order):
-        parents.append(np.repeat(np.arange(sizes[k - 1]), take(np.uint32, sizes[k - 1])))
-        planes = take(np.uint8, 5 * sizes[k]).reshape(5, sizes[k])
+        parents.append(np.repeat(np.arange(sizes[k - 1], dtype=np.int32), read.take(np.uint32, sizes[k - 1])))
+        counts.append(read.take(np.uint32, sizes[k]))
         name = np.zeros((sizes[k], 8), np.uint8)
-        name[:, :5] = planes.T
+        name[:, :5] = np.frombuffer(blob, np.uint8, 5 * sizes[k], at).reshape(5, sizes[k]).T
         names.append(name.view(np.uint64)[:, 0])
-        counts.append(take(np.uint32, sizes[k]))
+        at += 5 * sizes[k]
     return words, counts, parents, names
 
 
 def learn(blobs: list[bytes], order: int, discount: float) -> Trie:
     """The trie of a shard: what was seen in training, of all batches."""
     opens = [opened(b, order) for b in blobs]
-    words, inverse = np.unique(np.concatenate([o[0] for o in opens]), return_inverse=True)
+    words, inverse = numbered(np.concatenate([o[0] for o in opens]))
     counts = np.bincount(inverse, weights=np.concatenate([o[1][0] for o in opens]), minlength=len(words))
     below = []
     where = np.split(inverse, np.cumsum([len(o[0]) for o in opens])[:-1])
     for k in range(order - 1):
-        keys = [(w[o[2][k]].astype(np.uint64) << np.uint64(NAME)) | o[3][k] for w, o in zip(where, opens)]
-        unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([o[1][k + 1] for o in opens]), minlength=len(unique))
-        below.append((unique, total))
-        where = np.split(inverse, np.cumsum([len(x) for x in keys])[:-1])
+        lengths = [len(o[3][k]) for o in opens]
+        keys = np.concatenate([(w[o[2][k]].astype(np.uint64) << np.uint64(NAME)) | o[3][k] for w, o in zip(where, opens)])
+        unique, inverse = numbered(keys)
+        del keys
+        below.append((unique, np.bincount(inverse, weights=np.concatenate([o[1][k + 1] for o in opens]), minlength=len(unique))))
+        where = np.split(inverse, np.cumsum(lengths)[:-1])
+        for o in opens:
+            o[2][k] = o[3][k] = o[1][k + 1] = None
     return Trie.build(words, counts, below, discount).mapped()
 
 
@@ -149,17 +182,17 @@ def answer(trie: Trie, blob: bytes, order: int) -> bytes:
     """For the n-grams of a blob, in its order: counts of words, then for each level codes of rest (of its parents' level) and of share."""
     words, _, parents, names = opened(blob, order)
     node = trie.find_words(words)
-    out = [np.where(node >= 0, trie.counts[node], 0).astype(np.uint32).tobytes()]
+    out = [np.where(node >= 0, trie.counts[node], 0).astype(np.uint32)]
     for k in range(order - 1):
-        out.append(np.where(node >= 0, trie.rest[k][node] if len(trie.rest[k]) else 255, 255).astype(np.uint8).tobytes())
+        out.append(np.where(node >= 0, trie.rest[k][node] if len(trie.rest[k]) else 255, 255).astype(np.uint8))
         node = trie.find_after(k + 1, node[parents[k]], names[k])
-        out.append(np.where(node >= 0, trie.share[k][node] if len(trie.share[k]) else 0, 0).astype(np.uint8).tobytes())
-    return b"".join(out)
+        out.append(np.where(node >= 0, trie.share[k][node] if len(trie.share[k]) else 0, 0).astype(np.uint8))
+    return squeezed(out)
 
 
 def score(batch: Batch, answers: dict[int, bytes], shards: int, total: int, kinds: int) -> tuple[np.ndarray, ...]:
     """n_known, base_score and score of every text."""
-    order = len(batch.at)
+    order = batch.order
     cuts = batch.cuts(shards)
     n = [len(batch.words), *(len(k) for k in batch.keys)]
     count = np.zeros(n[0], np.int64)
@@ -168,14 +201,12 @@ def score(batch: Batch, answers: dict[int, bytes], shards: int, total: int, kind
         a, b = cuts[0][s], cuts[0][s + 1]
         if a == b:
             continue
-        blob = answers[s]
-        count[a:b] = np.frombuffer(blob, np.uint32, b - a)
-        at = 4 * (b - a)
+        read = Planes(answers[s])
+        count[a:b] = read.take(np.uint32, b - a)
         for k in range(order - 1):
             a, b, c, d = cuts[k][s], cuts[k][s + 1], cuts[k + 1][s], cuts[k + 1][s + 1]
-            rest[k][a:b] = np.frombuffer(blob, np.uint8, b - a, at)
-            share[k][c:d] = np.frombuffer(blob, np.uint8, d - c, at + b - a)
-            at += b - a + d - c
+            rest[k][a:b] = read.take(np.uint8, b - a)
+            share[k][c:d] = read.take(np.uint8, d - c)
     c = count[batch.at[0]]
     p = (c + 1.0) / (total + kinds + 1.0)
     base = np.log10(p)
@@ -221,16 +252,17 @@ def scored(docs: DataFrame, train: Column, text: str = "text", carry: list[str]
     if not stable:
         docs = stored(docs, "lm-docs")
     read = docs.select(*own, F.col(text).alias("__text"), F.coalesce(train, F.lit(True)).alias("__train"))
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or SHARDS_A_PART * parts
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, a, b in _batches(batches, batch_bytes):
-            asks = list(Batch(as_bytes(_flat(t, "__text")), _flat(t, "__train").to_numpy(zero_copy_only=False), order).asks(shards))
+            asks = list(Batch(as_bytes(_flat(t, "__text")), _flat(t, "__train").to_numpy(zero_copy_only=False), order, places=False).asks(shards))
             for i in range(0, len(asks), 8):
                 some = asks[i : i + 8]
                 yield pa.RecordBatch.from_arrays([pa.array([a] * len(some)), pa.array([b] * len(some)), pa.array([s for s, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], ["b1", "b2", "shard", "blob"])
 
-    asked = read.select("__text", "__train").mapInArrow(ask, "b1 long, b2 long, shard int, blob binary").repartition(shards, "shard").sortWithinPartitions("shard")
+    asked = read.select("__text", "__train").mapInArrow(ask, "b1 long, b2 long, shard int, blob binary").repartition(parts, "shard").sortWithinPartitions("shard")
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in grouped(batches, ["shard"]):
@@ -251,7 +283,7 @@ def scored(docs: DataFrame, train: Column, text: str = "text", carry: list[str]
             yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([b]), pa.array([-1], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["b1", "b2", "shard", "blob"])
 
     both = read.mapInArrow(parcel, "b1 long, b2 long, shard int, blob binary").unionByName(replies.select("b1", "b2", "shard", "blob"))
-    both = both.repartition(shards, "b1", "b2").sortWithinPartitions("b1", "b2", "shard")
+    both = both.repartition(parts, "b1", "b2").sortWithinPartitions("b1", "b2", "shard")
     schema = T.StructType([f for f in read.schema.fields if f.name in own] + [T.StructField("held_out", T.BooleanType())] + [T.StructField(n, k) for n, k in FIELDS])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

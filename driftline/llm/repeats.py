@@ -11,7 +11,7 @@ same least hash, so they meet in the same part, and as each string starts in exa
    many copies there are, and goes on as one segment. Least hashes that occur once, at one place, are done.
 3. What is left, different segments of one least hash and segments that have it at several places, is fetched and goes through the run-length index, part by part.
    A hash with more than `hot` different segments (a passage in very many different surroundings) would fill one task;
-   its strings are dealt once more, each by its own content hash, and counted.
+   its strings are dealt once more, each by its own content hash, and counted; they travel in parcels.
 4. Repeated strings go back to their documents as spans.
 
 Matches are exact up to 128-bit hash collisions. Defined cases: null and empty texts, and texts shorter than `length`,
@@ -136,12 +136,41 @@ def cut_up(keyed: DataFrame, length: int) -> DataFrame:
     return keyed.mapInArrow(run, "k1 long, k2 long, start int, n int, least long, within boolean, s1 long, s2 long")
 
 
-def fetch(wanted: DataFrame, keyed: DataFrame, length: int) -> DataFrame:
-    """The content of wanted segments: cold ones whole (bytes), hot ones as a content hash for each of their strings (w1, w2)."""
+#: Bytes of texts whose hot strings are packed into one parcel.
+PARCEL = 8 << 20
+
+
+def fetch(wanted: DataFrame, keyed: DataFrame, length: int, shards: int) -> DataFrame:
+    """The content of wanted segments, in rows of three kinds.
+
+    cold: a segment (k1, k2, place: start, least, content: its bytes). ask: a parcel's hashes of hot strings for one
+    shard (k1, k2: the parcel's name, place: shard, content). key: where a parcel's strings stand. Strings travel by the
+    parcel, equal ones of a parcel once; a row of the shuffle holds many.
+    """
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "least", "hot")).alias("segs"))
-    near = keyed.join(lists, ["k1", "k2"])
+    near = keyed.join(lists, ["k1", "k2"]).dropDuplicates(["k1", "k2"])  # equal rows bring a text twice
+
+    def rows(kind: str, k1, k2, place, least, content: list[bytes]) -> pa.RecordBatch:
+        n = len(content)
+        wide = lambda x, t: pa.array(np.broadcast_to(np.asarray(x, t), n).copy())
+        return pa.RecordBatch.from_arrays([pa.array([kind] * n), wide(k1, np.int64), wide(k2, np.int64), wide(place, np.int32), wide(least, np.int64), pa.array(content, pa.binary())], ["kind", "k1", "k2", "place", "least", "content"])
+
+    def pack(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        k1, k2, at, w = (np.concatenate(x) for x in zip(*held))
+        unique, inverse, count = np.unique(w.view("V16").ravel(), return_inverse=True, return_counts=True)
+        h = unique.view(np.int64).reshape(-1, 2)
+        shard = ((h[:, 0].view(np.uint64) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+        order = np.argsort(shard, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        name = np.frombuffer(xxhash.xxh3_128_digest(k1.tobytes() + k2.tobytes() + at.tobytes()), np.int64)
+        cut = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+        yield rows("key", name[0], name[1], -1, 0, [b"".join(x.tobytes() for x in (k1, k2, at.astype(np.int64), place[inverse].astype(np.int64)))])
+        some = np.flatnonzero(np.diff(cut))
+        yield rows("ask", name[0], name[1], some, 0, [h[order[cut[i] : cut[i + 1]]].tobytes() + (count[order[cut[i] : cut[i + 1]]] > 1).tobytes() for i in some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in slices(batches, "text", 1 << 20):
             off, data = offsets_of(ids_of(b, "text"))
             segs = ids_of(b, "segs")
@@ -153,20 +182,56 @@ def fetch(wanted: DataFrame, keyed: DataFrame, length: int) -> DataFrame:
             view = memoryview(data)
             cold = np.flatnonzero(~hot)
             if len(cold):
-                content = [bytes(view[x:y]) for x, y in zip(first[cold].tolist(), (first + n + length - 1)[cold].tolist())]
-                none = pa.nulls(len(cold), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(k1[cold]), pa.array(k2[cold]), pa.array(start[cold]), pa.array(least[cold]), pa.array(content, pa.binary()), none, none], ["k1", "k2", "start", "least", "content", "w1", "w2"])
+                yield rows("cold", k1[cold], k2[cold], start[cold], least[cold], [bytes(view[x:y]) for x, y in zip(first[cold].tolist(), (first + n + length - 1)[cold].tolist())])
             warm = np.flatnonzero(hot)
-            for i in range(0, len(warm), 64):
-                which = warm[i : i + 64]
-                reps = n[which].astype(np.int64)
+            if len(warm):
+                reps = n[warm].astype(np.int64)
                 step = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                at = np.repeat(first[which], reps) + step
-                w = _hash128(view[x : x + length] for x in at.tolist())
-                each = np.repeat(which, reps)
-                yield pa.RecordBatch.from_arrays([pa.array(k1[each]), pa.array(k2[each]), pa.array((start[each] + step).astype(np.int32)), pa.array(least[each]), pa.nulls(len(each), pa.binary()), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy())], ["k1", "k2", "start", "least", "content", "w1", "w2"])
+                each = np.repeat(warm, reps)
+                held.append((k1[each], k2[each], start[each] + step, _hash128(view[x : x + length] for x in (first[each] + step).tolist())))
+                size += len(each) * 36
+                if size >= PARCEL:
+                    yield from pack(held)
+                    held, size = [], 0
+        if held:
+            yield from pack(held)
+
+    return near.mapInArrow(run, "kind string, k1 long, k2 long, place int, least long, content binary")
+
+
+def count_parcels(content: DataFrame, length: int, shards: int) -> DataFrame:
+    """Runs (lo to hi) of starts of repeated strings among those in parcels."""
+    asks = content.where("kind = 'ask'").select("k1", "k2", "place", "content").repartition(shards, "place").sortWithinPartitions("place")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in grouped(batches, ["place"]):
+            blobs = t.column("content").to_pylist()
+            n = [len(x) // 17 for x in blobs]
+            h = np.concatenate([np.frombuffer(x, np.int64, 2 * m).reshape(-1, 2) for x, m in zip(blobs, n)])
+            twice = np.concatenate([np.frombuffer(x, bool, m, 16 * m) for x, m in zip(blobs, n)])
+            order = np.lexsort((h[:, 1], h[:, 0]))
+            same = (h[order][1:] == h[order][:-1]).all(axis=1)
+            twice[order[1:][same]] = True
+            twice[order[:-1][same]] = True
+            cut = np.cumsum([0, *n])
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("k1", "k2", "place")), pa.array([twice[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], ["k1", "k2", "place", "content"])
+
+    keys = content.where("kind = 'key'").select("k1", "k2", "place", "content")
+    both = keys.unionByName(asks.mapInArrow(answer, "k1 long, k2 long, place int, content binary")).repartition("k1", "k2").sortWithinPartitions("k1", "k2", "place")
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in grouped(batches, ["k1", "k2"]):
+            key, *blobs = t.column("content").to_pylist()
+            k1, k2, at, place = np.frombuffer(key, np.int64).reshape(4, -1)
+            hit = np.frombuffer(b"".join(blobs), bool)[place]
+            k1, k2, at = k1[hit], k2[hit], at[hit]
+            if not len(at):
+                continue
+            new = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (at[1:] != at[:-1] + 1)])
+            last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(at) - 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(k1[new]), pa.array(k2[new]), pa.array(at[new]), pa.array(at[last] + length)], ["k1", "k2", "lo", "hi"])
 
-    return near.mapInArrow(run, "k1 long, k2 long, start int, least long, content binary, w1 long, w2 long")
+    return both.mapInArrow(back, "k1 long, k2 long, lo long, hi long")
 
 
 def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
@@ -179,13 +244,11 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
 
 def index_parts(cold: DataFrame, length: int, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """Runs (lo to hi) of starts of repeated strings in cold segments, by run-length indexes over whole least hashes."""
-    dealt = cold.select("k1", "k2", "start", "least", "content").repartition("least").sortWithinPartitions("least")
+    dealt = cold.select("k1", "k2", F.col("place").alias("start"), "least", "content").repartition("least").sortWithinPartitions("least")
 
     def flush(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         t = pa.concat_tables(held)
-        k = np.stack([t.column(c).to_numpy() for c in ("k1", "k2", "start")], axis=1)
-        _, one = np.unique(k, axis=0, return_index=True)  # equal rows bring a segment twice
-        k, content = k[one], t.column("content").take(pa.array(one)).to_pylist()
+        k, content = np.stack([t.column(c).to_numpy() for c in ("k1", "k2", "start")], axis=1), t.column("content").to_pylist()
         out = []
         for i, starts in enumerate(repeated_starts(content, length)):
             if len(starts):
@@ -220,12 +283,9 @@ def spans(keyed: DataFrame, length: int = 400, hot: int = 256) -> DataFrame:
     kept = stored(distinct.join(many, "least").select("least", "s1", "s2", "copies", "different", "first.*"), "repeated")
     whole = segs.join(kept.where("copies > 1").select("least", "s1", "s2"), ["least", "s1", "s2"]).select("k1", "k2", F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("n") + length - 1).cast("long").alias("hi"))
     wanted = kept.where("different > 1 OR (within AND copies = 1)").select("k1", "k2", "start", "n", "least", (F.col("different") > hot).alias("hot"))
-    content = stored(fetch(wanted, keyed, length), "contents")
-    cold = index_parts(content.where("content IS NOT NULL"), length)
-    strings = content.where("content IS NULL").select("w1", "w2", F.struct("k1", "k2", "start").alias("place"))
-    twice = strings.groupBy("w1", "w2").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a != b").select("w1", "w2")
-    warm = strings.join(twice, ["w1", "w2"], "left_semi").select("place.k1", "place.k2", F.col("place.start").cast("long").alias("lo"), (F.col("place.start") + length).cast("long").alias("hi"))
-    return whole.unionByName(cold).unionByName(warm)
+    shards = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    content = stored(fetch(wanted, keyed, length, shards), "contents")
+    return whole.unionByName(index_parts(content.where("kind = 'cold'"), length)).unionByName(count_parcels(content, length, shards))
 
 
 def union_of(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
