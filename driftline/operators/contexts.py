@@ -20,7 +20,6 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), *m.span()) for m in _WORD.finditer(text)]
 
 
-@F.pandas_udf(SPANS)
 def _spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
         yield s.map(lambda t: [{"token": w, "begin": a, "end": b} for w, a, b in spans_of(t or "")])
@@ -28,7 +27,7 @@ def _spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def token_spans(texts: DataFrame) -> DataFrame:
     """The columns of texts with token, begin, end: a row for each word and its place in the text."""
-    return texts.select("*", F.explode(_spans("text")).alias("s")).select(*texts.columns, "s.token", "s.begin", "s.end")
+    return texts.select("*", F.explode(F.pandas_udf(_spans, SPANS)("text")).alias("s")).select(*texts.columns, "s.token", "s.begin", "s.end")
 
 
 def dict_matches(texts: DataFrame, terms: list[str]) -> DataFrame:
@@ -88,14 +87,13 @@ def context_of(text: str, begin: int, end: int, least: int = 7, side: int = 32)
     return " ".join([*left[-side:], middle, *right[:side]])
 
 
-@F.pandas_udf("string")
 def _context(text: pd.Series, begin: pd.Series, end: pd.Series) -> pd.Series:
     return pd.Series([context_of(t, a, b) for t, a, b in zip(text, begin, end)], dtype=object)
 
 
 def contexts(occurrences: DataFrame) -> DataFrame:
     """Occurrences (text, begin, end) with context; drop_reason is mask_lost where there is none."""
-    out = occurrences.withColumn("context", _context("text", "begin", "end"))
+    out = occurrences.withColumn("context", F.pandas_udf(_context, "string")("text", "begin", "end"))
     return out.withColumn("drop_reason", F.when(F.col("context").isNull(), "mask_lost"))
 
 

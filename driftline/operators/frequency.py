@@ -181,7 +181,7 @@ def missing_half_years(freq: DataFrame) -> DataFrame:
     """Half-years between the first and the last that have no row."""
     have = freq.select("half_year").distinct()
     span = have.agg(F.min(tx.ordinal(F.col("half_year"))).alias("a"), F.max(tx.ordinal(F.col("half_year"))).alias("b")).where("a IS NOT NULL")
-    return span.select(tx.label(F.explode(F.sequence("a", "b"))).alias("half_year")).join(have, "half_year", "left_anti")
+    return span.select(F.explode(F.sequence("a", "b")).alias("n")).select(tx.label(F.col("n")).alias("half_year")).join(have, "half_year", "left_anti")
 
 
 def month_coverage(months: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -26,3 +29,19 @@ def spread(df: DataFrame) -> DataFrame:
     """df over the cluster's cores where it comes from fewer partitions (one small file, or one that cannot be split) and a costly expression follows; as it is elsewhere."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not held:
+        held = "file://" + tempfile.mkdtemp(prefix="driftline-")
+        spark.conf.set("spark.checkpoint.dir", held)
+    return held.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: it is computed once and its lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

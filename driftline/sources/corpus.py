@@ -112,8 +112,8 @@ def terms(lines_: DataFrame) -> DataFrame:
 
 
 def answer_keywords(lines_: DataFrame) -> DataFrame:
-    """Distinct keywords of lines `keyword: other; other`."""
-    return lines_.where("trim(value) <> ''").select(F.lower(F.trim(F.split("value", ":")[0])).alias("keyword")).where("keyword <> ''").distinct()
+    """Distinct keywords of lines `keyword: other; other`; blank lines, # lines and lines without a colon are skipped."""
+    return lines_.where("trim(value) NOT LIKE '#%' AND contains(value, ':')").select(F.lower(F.trim(F.split("value", ":")[0])).alias("keyword")).where("keyword <> ''").distinct()
 
 
 def csv_column(spark: SparkSession, path: str, column: str) -> DataFrame:
