@@ -7,6 +7,13 @@ count and compared tile against tile with exclusive-or and bit counts; tile pair
 apart than the radius are skipped. A large bucket is dealt out as pairs of tiles over many tasks. From a tile pair
 come only the links of a spanning forest, so a group of n copies gives about n links.
 
+A radius of a few bits finds copies with small edits only. For a similarity of shingle sets (0.8 in the pipeline) near_duplicates
+takes `wide`, a radius on a second fingerprint of 256 bits: at similarity 0.8 two of them differ in about 39 bits, give
+or take 6. Blocks of bits can't find such pairs, so these are compared, by the same tiles, within buckets of texts that
+share one of their `SKETCH` least shingle hashes; a pair of similarity 0.8 misses all buckets once in 400,000. A text
+with `COLD` or more hashes in moderate buckets leaves the large ones, so a passage that very many texts share brings no
+task all of them; in a large bucket the rest is there once for each component that the small radius has found.
+
 Defined cases: a null or empty text has no shingle and fingerprint zero, linked like any other; fewer words than a
 shingle: the whole sequence is the one shingle; repeated rows share a fingerprint and so a component; null ids take
 no part in a component's least id (a component of null ids only has a null component_id).
@@ -27,36 +34,57 @@ from driftline.llm.components import components
 
 #: Fingerprints in a tile of the comparison, and in a tile that is dealt to a task.
 TILE, DEALT = 512, 2048
+#: Words of a wide fingerprint, least shingle hashes of a text, and how many of them have to be in moderate buckets.
+WIDE, SKETCH, COLD = 4, 8, 3
+MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """The unsigned 64-bit SimHash of a text's bytes."""
+def shingle_hashes(text: bytes | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """The XXH64 hashes of a text's shingles, repeats included."""
     words = (text or b"").lower().split()
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(b" ".join(words), seed)]
-    else:
-        hashes = [digest(b" ".join(x), seed) for x in zip(*(words[i:] for i in range(shingle)))]
-    n = len(hashes)
-    ones = np.zeros(64, np.int64)
-    every = np.array(hashes, np.uint64)
-    for at in range(0, n, 1 << 15):
-        ones += np.unpackbits(every[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(docs: DataFrame, text: str = "text", carry: list[str] | None = None, shingle: int = 3) -> DataFrame:
-    """docs (the columns of carry; all) with fp, the fingerprint as a signed long."""
-    own = [c for c in (docs.columns if carry is None else carry) if c != "fp"]
+        return np.array([digest(b" ".join(words), seed)] if words else [], np.uint64)
+    return np.fromiter((digest(b" ".join(x), seed) for x in zip(*(words[i:] for i in range(shingle)))), np.uint64, len(words) - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """A row of words with each bit set that is set in over half of the rows of hashes."""
+    ones = np.zeros(64 * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), 1 << 13):
+        ones += np.unpackbits(np.ascontiguousarray(hashes[at : at + (1 << 13)]).view(np.uint8).reshape(-1, len(ones) // 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """WIDE independent hashes for each one."""
+    x = hashes[:, None] * MIXERS[None, :]
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
+    """The unsigned 64-bit SimHash of a text's bytes."""
+    return int(majority(shingle_hashes(text, shingle, seed)[:, None])[0])
+
+
+def fingerprints(docs: DataFrame, text: str = "text", carry: list[str] | None = None, shingle: int = 3, wide: bool = False) -> DataFrame:
+    """docs (the columns of carry; all) with fp, the fingerprint as a signed long; wide: also wide, of WIDE words, and sketch, the least hashes."""
+    own = [c for c in (docs.columns if carry is None else carry) if c not in ("fp", "wide", "sketch")]
     read = docs.select(*own, F.col(text).alias("__text"))
-    schema = docs.select(*own, F.lit(0).cast("long").alias("fp")).schema
+    names = ["fp", "wide", "sketch"] if wide else ["fp"]
+    kinds = {"fp": "long", "wide": "binary", "sketch": "array<long>"}
+    schema = docs.select(*own, *[F.lit(None).cast(kinds[n]).alias(n) for n in names]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__text"):
-            fps = np.array([fingerprint(x, shingle) for x in as_bytes(ids_of(b, "__text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(ids_of(b, c) for c in own), pa.array(fps)], [*own, "fp"])
+            hashes = [shingle_hashes(x, shingle) for x in as_bytes(ids_of(b, "__text"))]
+            cols = [pa.array(np.array([majority(h[:, None])[0] for h in hashes], np.uint64).view(np.int64))]
+            if wide:
+                cols.append(pa.array([majority(mixed(h)).tobytes() for h in hashes], pa.binary()))
+                cols.append(pa.array([np.unique(h)[:SKETCH].view(np.int64) for h in hashes], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([*(ids_of(b, c) for c in own), *cols], [*own, *names])
 
     return read.mapInArrow(run, schema)
 
@@ -68,12 +96,14 @@ def blocks(radius: int) -> list[tuple[int, int]]:
 
 
 def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect what is within the radius among a (b: between a and b), without every pair: one from each fingerprint of a tile to the least of its own component in a tile pair."""
+    """Links that connect what is within the radius among the rows of a (b: between a and b), without every pair: one from each row of a tile to the least of its own component in a tile pair. Links are row numbers of a and of b (or a)."""
     out = []
-    a = a[np.argsort(np.bitwise_count(a), kind="stable")]
-    b = a if b is None else b[np.argsort(np.bitwise_count(b), kind="stable")]
-    same = b is a
-    pa_, pb = np.bitwise_count(a).astype(int), np.bitwise_count(b).astype(int)
+    weight = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+    at_a = np.argsort(weight(a), kind="stable")
+    at_b = at_a if b is None else np.argsort(weight(b), kind="stable")
+    same = b is None
+    a, b = a[at_a], a[at_a] if same else b[at_b]
+    pa_, pb = weight(a), weight(b)
     for i in range(0, len(a), TILE):
         x, lo, hi = a[i : i + TILE], pa_[i], pa_[min(i + TILE, len(a)) - 1]
         for j in range(i if same else 0, len(b), TILE):
@@ -82,36 +112,66 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[np.nd
             if pb[min(j + TILE, len(b)) - 1] < lo - radius:
                 continue
             y = b[j : j + TILE]
-            near = np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
+            apart = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]).astype(np.uint16)
+            for w in range(1, a.shape[1]):
+                apart += np.bitwise_count(x[:, None, w] ^ y[None, :, w])
+            near = apart <= radius
             if same and i == j:
                 np.fill_diagonal(near, False)
             rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
             if not len(rows):
                 continue
             sub = near[np.ix_(rows, cols)]
+            u, v = at_a[i + rows], at_b[j + cols]
             # The least row that each side can reach, until it settles; then one link a row or column to where it got that from.
             label = np.arange(len(rows))
             big = len(rows)
-            parent_col = parent_row = None
+            first = True
             while True:
                 col_from = np.where(sub, label[:, None], big).argmin(axis=0)
                 col = label[col_from]
                 row_from = np.where(sub, col[None, :], big).argmin(axis=1)
                 new = np.minimum(label, col[row_from])
-                if parent_col is None:
-                    parent_col, parent_row = col_from, row_from
-                    out.append((x[rows][col_from], y[cols]))
-                    out.append((x[rows], y[cols][row_from]))
-                changed = new < label
-                if not changed.any():
+                if first:
+                    first = False
+                    out.append((u[col_from], v))
+                    out.append((u, v[row_from]))
+                k = np.flatnonzero(new < label)
+                if not len(k):
                     break
-                k = np.flatnonzero(changed)
-                out.append((x[rows][k], y[cols][row_from[k]]))
-                out.append((x[rows][col_from], y[cols]))
+                out.append((u[k], v[row_from[k]]))
+                out.append((u[col_from], v))
                 label = new
     return out
 
 
+KEYS = ["block", "value", "t1", "t2"]
+
+
+def compared(dealt: DataFrame, radius: int, content: str = "fp") -> DataFrame:
+    """(u, v): links within the groups of KEYS. dealt: KEYS, side (0 or 1, of a pair of tiles), fp and content, what is compared (fp itself or a wide fingerprint)."""
+    cols = list(dict.fromkeys([*KEYS, "side", "fp", content]))
+    ordered = dealt.select(*cols).repartition(*KEYS).sortWithinPartitions(*KEYS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in grouped(batches, KEYS):
+            fp, side = rows.column("fp").to_numpy(), rows.column("side").to_numpy()
+            x = fp.view(np.uint64)[:, None] if content == "fp" else np.frombuffer(b"".join(rows.column(content).to_pylist()), np.uint64).reshape(len(fp), -1)
+            if key[2] == key[3]:
+                left = right = np.arange(len(fp))
+                found = forest(x, None, radius)
+            else:
+                left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                found = forest(x[left], x[right], radius)
+            if found:
+                u, v = fp[left[np.concatenate([p for p, _ in found])]], fp[right[np.concatenate([p for _, p in found])]]
+                pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+    return ordered.mapInArrow(run, "u long, v long")
+
+
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """(u, v): links that connect the distinct fingerprints (column fp) within the radius of each other."""
     each = fps.select("fp").distinct()
@@ -125,39 +185,46 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     many = many.withColumn("other", F.explode(F.sequence(F.col("pc") - radius, F.col("pc") + radius))).where("other BETWEEN 0 AND 64").withColumn("second", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     mine, theirs = F.col("pc") * 65536 + F.col("part"), F.col("other") * 65536 + F.col("second")
     many = many.select("block", "value", F.least(mine, theirs).alias("t1"), F.greatest(mine, theirs).alias("t2"), F.when(mine <= theirs, 0).otherwise(1).alias("side"), "fp")
-    keys = ["block", "value", "t1", "t2"]
-    dealt = one.unionByName(many).repartition(*keys).sortWithinPartitions(*keys)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in grouped(batches, keys):
-            fp, side = rows.column("fp").to_numpy().view(np.uint64), rows.column("side").to_numpy()
-            found = forest(fp, None, radius) if key[2] == key[3] else forest(fp[side == 0], fp[side == 1], radius)
-            if found:
-                u, v = np.concatenate([x for x, _ in found]).view(np.int64), np.concatenate([x for _, x in found]).view(np.int64)
-                pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-
-    return dealt.mapInArrow(run, "u long, v long")
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """A row for each row of docs: key, fp, component_id (least key reachable) and copies (rows of the same fingerprint)."""
-    marked = stored(fingerprints(docs, text, [key], shingle), "fingerprints")
-    fps = stored(marked.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("copies")), "distinct")
-    roots = components(links(fps, radius))
+    return compared(one.unionByName(many), radius)
+
+
+def wide_links(fps: DataFrame, roots: DataFrame, radius: int) -> DataFrame:
+    """(u, v): links between fingerprints (fp, wide, sketch) whose wide ones are within the radius and that share a least shingle hash. roots: (node, root) of what is linked already."""
+    laid = stored(fps.select("fp", "wide", F.size("sketch").alias("of"), F.explode("sketch").alias("value")), "sketches")
+    near = laid.join(laid.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "value").withColumns({"block": F.lit(-1), "t1": F.lit(0), "t2": F.lit(0), "side": F.lit(0)})
+    few = compared(near.where(F.col("n") <= DEALT), radius, "wide")
+    hot = near.where(F.col("n") > DEALT).select("fp", "wide", "of", "value")
+    bound = hot.groupBy("fp").agg((F.max("of") - F.count("*")).alias("cold")).where(F.col("cold") < COLD).select("fp")
+    named = hot.join(bound, "fp").join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    lean = stored(named.groupBy("value", "root").agg(F.min(F.struct("fp", "wide")).alias("x")).select("value", "x.*"), "hot")
+    parts = lean.groupBy("value").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("tiles"))
+    many = lean.join(parts, "value").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")).withColumn("second", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    many = many.select(F.lit(-1).alias("block"), "value", F.least("part", "second").alias("t1"), F.greatest("part", "second").alias("t2"), F.when(F.col("part") <= F.col("second"), 0).otherwise(1).alias("side"), "fp", "wide")
+    return few.unionByName(compared(many, radius, "wide"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, wide: int | None = None) -> DataFrame:
+    """A row for each row of docs: key, fp, component_id (least key reachable) and copies (rows of the same fingerprint). wide: a radius on wide fingerprints, links by which count too."""
+    marked = stored(fingerprints(docs, text, [key], shingle, wide is not None), "fingerprints")
+    more = [F.min(F.struct("wide", "sketch")).alias("w")] if wide is not None else []
+    fps = stored(marked.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("copies"), *more), "distinct")
+    edges = links(fps, radius)
+    if wide is not None:
+        edges = stored(edges, "links")
+        edges = edges.unionByName(wide_links(fps.select("fp", "w.wide", "w.sketch"), components(edges), wide))
+    roots = components(edges)
     tied = stored(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")), "tied")
     ids = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     named = tied.join(ids, "root").select("fp", "copies", "component_id")
-    return marked.join(named, "fp").select(key, "fp", "component_id", "copies")
+    return marked.select(key, "fp").join(named, "fp").select(key, "fp", "component_id", "copies")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 6) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 3, wide: int | None = 46) -> DataFrame:
     """docs without near duplicates: of each component the document of the least key stays, of repeated rows of it one.
 
     Rows without a key are each other's duplicates only where a component has no key at all; then one stays.
     """
-    marks = near_duplicates(docs, key, text, shingle, radius).where(F.col(key).eqNullSafe(F.col("component_id"))).select(key, "fp").distinct()
+    marks = near_duplicates(docs, key, text, shingle, radius, wide).where(F.col(key).eqNullSafe(F.col("component_id"))).select(key, "fp").distinct()
     clash = f"__{key}"
     lean = docs.join(marks.select(F.col(key).alias(clash)).distinct(), F.col(key).eqNullSafe(F.col(clash)), "left_semi")
     return lean.dropDuplicates([key])

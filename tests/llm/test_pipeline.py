@@ -4,7 +4,7 @@ import corpus_pipeline
 from driftline.llm import quality, secrets
 from tests.llm.test_decontam import brute as brute_hits
 from tests.llm.test_mixing import check
-from tests.llm.test_simhash import brute_components, brute_fp
+from tests.llm.test_simhash import brute_near
 
 
 def test_against_brute_force(spark, sf):
@@ -12,7 +12,7 @@ def test_against_brute_force(spark, sf):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     kept = [d for d in docs if quality.judge(d["text"])["kept"]]
     assert 0 < len(kept) < len(docs)
-    root = brute_components({d["doc_id"]: brute_fp(d["text"], 5) for d in kept}, 6)
+    root = brute_near({d["doc_id"]: d["text"] for d in kept}, 5, 3, 46)
     one = [d for d in kept if root[d["doc_id"]] == d["doc_id"]]
     assert len(one) < len(kept)
     hits = brute_hits([(d["doc_id"], d["text"]) for d in one], bench)

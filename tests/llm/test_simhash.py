@@ -36,6 +36,76 @@ def brute_components(fps, radius):
     return {i: find(i) for i in ids}
 
 
+def joined(ids, linked):
+    """Least id reachable over the pairs of ids that linked says are near."""
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(ids)
+    for a in range(len(ids)):
+        for b in range(a):
+            if linked(ids[a], ids[b]):
+                x, y = sorted((find(ids[a]), find(ids[b])))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def brute_wide(text, k):
+    w = (text or "").encode().lower().split()
+    hs = [xxhash.xxh64(b" ".join(w[i : i + k]), seed=42).intdigest() for i in range(max(1, len(w) - k + 1))] if w else []
+    out = 0
+    for n, m in enumerate(simhash.MIXERS.tolist()):
+        own = []
+        for h in hs:
+            x = h * m % (1 << 64)
+            x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+            own.append(x ^ (x >> 32))
+        out |= sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > len(own)) << (64 * n)
+    return out, set(sorted(set(hs))[:8])
+
+
+def brute_near(texts, k, radius, wide):
+    """ids and texts -> least id reachable by either fingerprint."""
+    fps, wides = {i: brute_fp(t, k) for i, t in texts.items()}, {i: brute_wide(t, k) for i, t in texts.items()}
+    near = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= radius or ((wides[a][0] ^ wides[b][0]).bit_count() <= wide and wides[a][1] & wides[b][1])
+    return joined(texts, near)
+
+
+def edited(rnd, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rnd.randrange(len(words))] = f"new{rnd.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("dealt", [2048, 8])
+def test_similar_texts_meet(spark, monkeypatch, dealt):
+    """Pairs of similarity 0.8 or more end in one component, texts that share a passage do not; dealt 8: by way of large buckets."""
+    monkeypatch.setattr(simhash, "DEALT", dealt)
+    rnd = random.Random(5)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    passage = " ".join(word() for _ in range(40))
+    texts = {}
+    for g in range(12):
+        base = [word() for _ in range(rnd.randrange(100, 300))]
+        for i in range(rnd.randrange(1, 30)):
+            texts[100 * g + i] = edited(rnd, base, len(base) * rnd.randrange(3) // 200)
+    for i in range(60):
+        texts[5000 + i] = " ".join([word() for _ in range(60)] + [passage] + [word() for _ in range(60)])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, shingle=5, radius=3, wide=46).collect()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    pairs = [(a, b) for a in texts for b in texts if a < b and alike(a, b) >= 0.8]
+    assert len(pairs) > 300 and sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+    assert all(got[i] == i for i in texts if i >= 5000)
+    assert all(got[i] // 100 == i // 100 for i in texts if i < 5000)
+
+
 def test_spark_hash_is_xxh64(spark):
     got = spark.range(1).select(F.xxhash64(F.lit("a b ü")).alias("h")).first().h
     assert got % (1 << 64) == xxhash.xxh64("a b ü".encode(), seed=42).intdigest()
@@ -82,10 +152,10 @@ def test_links_reach_what_brute_force_reaches(spark, monkeypatch, radius):
 def test_tiles_of_a_large_group():
     rng = np.random.default_rng(1)
     a = np.unique(np.uint64(1 << 40) ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64)))
-    found = simhash.forest(a, None, 2)
+    found = simhash.forest(a[:, None], None, 2)
     n = sum(len(x) for x, _ in found)
     assert n < 40 * len(a)
-    assert all((np.bitwise_count(x ^ y) <= 2).all() for x, y in found)
+    assert all((np.bitwise_count(a[x] ^ a[y]) <= 2).all() for x, y in found)
 
 
 def test_cases(spark):
