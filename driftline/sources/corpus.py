@@ -20,10 +20,11 @@ def lines(spark: SparkSession, *paths: str, tolerant: bool = False) -> DataFrame
     own = list(dict.fromkeys(paths))
     reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", str(tolerant).lower())
     parts = [(reader.option("pathGlobFilter", "*.{zst,jsonl}") if not re.search(r"\.\w+$|\*", p) else reader.option("pathGlobFilter", "*")).text(p) for p in own]
-    out = parts[0]
-    for p in parts[1:]:
+    named = [p.select("value", F.col("_metadata.file_path").alias("file")) for p in parts]
+    out = named[0]
+    for p in named[1:]:
         out = out.unionByName(p)
-    return out.select("value", F.col("_metadata.file_path").alias("file"))
+    return out
 
 
 def months_of(files: DataFrame) -> DataFrame:
