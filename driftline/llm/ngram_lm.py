@@ -36,7 +36,7 @@ from driftline.llm.common import as_bytes, grouped, ids_of, slices, stored
 from driftline.llm.trie import NAME, VALUES, Trie
 
 #: Bytes of text in a batch.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 16 << 20
 #: Shards that a shuffle partition holds; one shard's trie is in memory at a time.
 SHARDS_A_PART = 4
 START, END = b"\x00 start", b"\x00 end"  # no word has a space
