@@ -10,9 +10,9 @@ come only the links of a spanning forest, so a group of n copies gives about n l
 A radius of a few bits finds copies with small edits only. For a similarity of shingle sets (0.8 in the pipeline) near_duplicates
 takes `wide`, a radius on a second fingerprint of 256 bits: at similarity 0.8 two of them differ in about 39 bits, give
 or take 6. Blocks of bits can't find such pairs, so these are compared, by the same tiles, within buckets of texts that
-share one of their `SKETCH` least shingle hashes; a pair of similarity 0.8 misses all buckets once in 400,000. A text
-with `COLD` or more hashes in moderate buckets leaves the large ones, so a passage that very many texts share brings no
-task all of them; in a large bucket the rest is there once for each component that the small radius has found.
+share one of their `SKETCH` least shingle hashes; a pair of similarity 0.8 misses all buckets once in 400,000. Every text
+stays in all of its buckets; large ones are dealt as tile pairs, so a passage that very many texts share brings no task
+all of them.
 
 Defined cases: a null or empty text has no shingle and fingerprint zero, linked like any other; fewer words than a
 shingle: the whole sequence is the one shingle; repeated rows share a fingerprint and so a component; null ids take
@@ -34,8 +34,8 @@ from driftline.llm.components import components
 
 #: Fingerprints in a tile of the comparison, and in a tile that is dealt to a task.
 TILE, DEALT = 512, 2048
-#: Words of a wide fingerprint, least shingle hashes of a text, and how many of them have to be in moderate buckets.
-WIDE, SKETCH, COLD = 4, 8, 3
+#: Words of a wide fingerprint, and least shingle hashes of a text.
+WIDE, SKETCH = 4, 8
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -188,19 +188,16 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return compared(one.unionByName(many), radius)
 
 
-def wide_links(fps: DataFrame, roots: DataFrame, radius: int) -> DataFrame:
-    """(u, v): links between fingerprints (fp, wide, sketch) whose wide ones are within the radius and that share a least shingle hash. roots: (node, root) of what is linked already."""
-    laid = stored(fps.select("fp", "wide", F.size("sketch").alias("of"), F.explode("sketch").alias("value")), "sketches")
-    near = laid.join(laid.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "value").withColumns({"block": F.lit(-1), "t1": F.lit(0), "t2": F.lit(0), "side": F.lit(0)})
-    few = compared(near.where(F.col("n") <= DEALT), radius, "wide")
-    hot = near.where(F.col("n") > DEALT).select("fp", "wide", "of", "value")
-    bound = hot.groupBy("fp").agg((F.max("of") - F.count("*")).alias("cold")).where(F.col("cold") < COLD).select("fp")
-    named = hot.join(bound, "fp").join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    lean = stored(named.groupBy("value", "root").agg(F.min(F.struct("fp", "wide")).alias("x")).select("value", "x.*"), "hot")
-    parts = lean.groupBy("value").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("tiles"))
-    many = lean.join(parts, "value").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")).withColumn("second", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    many = many.select(F.lit(-1).alias("block"), "value", F.least("part", "second").alias("t1"), F.greatest("part", "second").alias("t2"), F.when(F.col("part") <= F.col("second"), 0).otherwise(1).alias("side"), "fp", "wide")
-    return few.unionByName(compared(many, radius, "wide"))
+def wide_links(fps: DataFrame, radius: int) -> DataFrame:
+    """(u, v): links between fingerprints (fp, wide, sketch) whose wide ones are within the radius and that share a least shingle hash."""
+    laid = stored(fps.select("fp", "wide", F.explode("sketch").alias("value")), "sketches")
+    full = laid.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / DEALT).cast("int"))
+    near = laid.join(full, "value").withColumn("block", F.lit(-1))
+    one = near.where("tiles = 1").select("block", "value", F.lit(0).alias("t1"), F.lit(0).alias("t2"), F.lit(0).alias("side"), "fp", "wide")
+    # A large bucket: every tile meets every tile, with all of their texts.
+    many = near.where("tiles > 1").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")).withColumn("second", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    many = many.select("block", "value", F.least("part", "second").alias("t1"), F.greatest("part", "second").alias("t2"), F.when(F.col("part") <= F.col("second"), 0).otherwise(1).alias("side"), "fp", "wide")
+    return compared(one.unionByName(many), radius, "wide")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, wide: int | None = None) -> DataFrame:
@@ -210,8 +207,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     fps = stored(marked.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("copies"), *more), "distinct")
     edges = links(fps, radius)
     if wide is not None:
-        edges = stored(edges, "links")
-        edges = edges.unionByName(wide_links(fps.select("fp", "w.wide", "w.sketch"), components(edges), wide))
+        edges = edges.unionByName(wide_links(fps.select("fp", "w.wide", "w.sketch"), wide))
     roots = components(edges)
     tied = stored(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")), "tied")
     ids = tied.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -106,6 +106,25 @@ def test_similar_texts_meet(spark, monkeypatch, dealt):
     assert all(got[i] // 100 == i // 100 for i in texts if i < 5000)
 
 
+def test_texts_stay_in_large_buckets(spark, monkeypatch):
+    """Versions that differ from each other share large buckets only; hashes that no other text has take none of them out."""
+    monkeypatch.setattr(simhash, "DEALT", 8)
+    rnd = random.Random(3)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+    texts = {i: edited(rnd, base, 6) for i in range(400)}
+    wides = {i: brute_wide(t, 5) for i, t in texts.items()}
+    shared = {}
+    for i in texts:
+        for h in wides[i][1]:
+            shared[h] = shared.get(h, 0) + 1
+    outside = [i for i in texts if sum(shared[h] <= 8 for h in wides[i][1]) >= 3]
+    assert outside
+    want = joined(texts, lambda a, b: (wides[a][0] ^ wides[b][0]).bit_count() <= 46 and wides[a][1] & wides[b][1])
+    df = spark.createDataFrame([(int(i), np.array([wides[i][0] >> 64 * n & (1 << 64) - 1 for n in range(4)], np.uint64).tobytes(), [int(np.uint64(h).view(np.int64)) for h in wides[i][1]]) for i in texts], "fp long, wide binary, sketch array<long>")
+    got = {r.node: r.root for r in components(simhash.wide_links(df, 46)).collect()}
+    assert {i: got.get(i, i) for i in texts} == want
+
+
 def test_spark_hash_is_xxh64(spark):
     got = spark.range(1).select(F.xxhash64(F.lit("a b ü")).alias("h")).first().h
     assert got % (1 << 64) == xxhash.xxh64("a b ü".encode(), seed=42).intdigest()
