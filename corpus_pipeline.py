@@ -14,8 +14,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (SimHash over five-word shingles, similarity of about 0.8 or more) the document of the least id stays."""
-    return simhash.one_of_each(docs, shingle=5, radius=3, wide=46)
+    """Of each group of near duplicates (exact sets of five-word shingles of similarity 0.8 or more; SimHash brings up the candidates) the document of the least id stays."""
+    return simhash.one_of_each(docs, shingle=5, similar=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

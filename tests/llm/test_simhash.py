@@ -125,6 +125,24 @@ def test_texts_stay_in_large_buckets(spark, monkeypatch):
     assert {i: got.get(i, i) for i in texts} == want
 
 
+@pytest.mark.parametrize("dealt", [2048, 8])
+def test_exact_similarity(spark, sf, monkeypatch, dealt):
+    """Components are those of exact sets of shingles of similarity 0.8; dealt 8: by way of large buckets and groups."""
+    monkeypatch.setattr(simhash, "DEALT", dealt)
+    rnd = random.Random(8)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for g in range(12):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randrange(40, 300))]
+        for i in range(12):
+            texts[10**6 + 100 * g + i] = edited(rnd, base, len(base) * rnd.randrange(6) // 100)
+    texts[10**7], texts[10**7 + 1] = "a b c d e f " * 2, "a b c d e f " * 50  # the same set
+    sets = {i: set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for i, t in texts.items()}
+    want = joined(texts, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, shingle=5, wide=46, similar=0.8).collect()}
+    assert got == want
+
+
 def test_spark_hash_is_xxh64(spark):
     got = spark.range(1).select(F.xxhash64(F.lit("a b ü")).alias("h")).first().h
     assert got % (1 << 64) == xxhash.xxh64("a b ü".encode(), seed=42).intdigest()
