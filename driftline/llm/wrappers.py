@@ -52,10 +52,15 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 #: Elements that end an open p; elements that end an open one of their own kind.
 BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul", "figure", "menu"}
 OWN_KIND = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
-CLASSES = re.compile(
-    r"(?:^|[\s_\-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|aside|rail|widget\w*|footer\w*|masthead|site-?header|page-?header|top-?bar|toolbar|cookie\w*|consent\w*|gdpr|notice\w*|notification\w*|alert\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|trending|comment\w*|disqus\w*|respon[ds]\w*|replies|reply|discussion|pagination|pager|tags?|search\w*|legal|copyright|paywall|skip\w*)(?:$|[\s_\-])",
-    re.I,
+#: Whole names that say that an element is no main text; a name that only begins like one (table-responsive, navy, search-algorithms) says nothing.
+NAMES = set(
+    "ad ads advert adverts advertisement advertisements advertising adsense ad-slot ad-container ad-banner ad-wrapper sponsor sponsors sponsored promo promos promotion banner cookie-banner"
+    " nav navbar nav-bar navigation main-nav site-nav menu main-menu site-menu nav-menu breadcrumb breadcrumbs sidebar side-bar widget widgets footer site-footer page-footer masthead site-header siteheader page-header pageheader"
+    " topbar top-bar toolbar cookie cookies cookie-notice cookie-consent cookie-bar consent gdpr popup modal newsletter newsletter-signup subscribe signup login share sharing share-buttons social social-share social-links"
+    " related related-posts related-articles related-links recommended recommendations trending comment comments comment-list comment-form comments-area disqus disqus_thread respond replies pagination pager search-form search-box searchbox copyright paywall skip-link skip-to-content skip-nav".split()
 )
+#: Elements outside articles whose id is read too; ids of headings, sections and tables are made from their titles.
+NAMED = {"div", "ul", "ol"}
 
 
 class Node:
@@ -108,10 +113,10 @@ def parse(page: str) -> Element:
                 del stack[depth:]
             continue
         a = _attributes(m[2])
-        name = f"{a.get('class', '')} {a.get('id', '')}".strip()
-        hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-        aloof = tag not in ("article", "main", "body", "html") and bool(CLASSES.search(name))
         inner = any(e.tag in ("article", "main") for e in stack)
+        names = a.get("class", "").lower().split() + ([a.get("id", "").lower()] if tag in NAMED and not inner else [])
+        hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+        aloof = tag not in ("article", "main", "body", "html") and not NAMES.isdisjoint(names)
         e = Element(tag, f"{tag}.{a.get('class', '')}", tag in DROPPED or hidden or a.get("role", "").lower() in ROLES or aloof or (tag == "header" and not inner))
         if tag in BLOCKS and (i := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in BLOCKS and stack[i].tag != "p"), 0)) and stack[i].tag == "p":
             del stack[i:]

@@ -55,6 +55,13 @@ def test_alignment():
     assert "<li.> # </>" in e and "(<h2.> 'more' </>)?" in e and "<div.> 't' </>" in e
 
 
+def test_names_that_only_begin_like_a_menu():
+    parts = ["<h2 id='discussion'>Discussion</h2>", "<section id='search-algorithms'>a</section>", "<div class='table-responsive'>b</div>", "<p class='navy'>c</p>", "<p class='commentary'>d</p>", "<section id='legal-issues'>e</section>", "<p class='tags'>f</p>", "<div id='comments'>g</div>"]
+    for tag in ("article", "main"):
+        assert w.main_text(f"<{tag}>{''.join(parts)}<div class='x comments'>no</div><div class='Sidebar'>no</div></{tag}>") == "Discussion a b c d e f g"
+    assert w.main_text("".join(parts)) == "Discussion a b c d e f"
+
+
 def test_cases(spark):
     rows = [(1, "http://a.b/", None), (2, None, ""), (3, "http://a.b/x", "<p>"), (4, "x", "plain &lt;text&gt;\xa0here"), (5, "http://a.b/y", "<article><h1>T</h1>one<br>two <i>th</i>ree<aside>no</aside><div class='comments'>c</div>"), (5, "http://a.b/y", "<article><h1>T</h1>one<br>two <i>th</i>ree<aside>no</aside><div class='comments'>c</div>"), (6, "http://a.b/z", "<div><b>" * 5000 + "deep" + "<div>" * 5000), (7, "http://q/", "<p>a < b and c > d</p><!-- x"), (8, "http://q/", "<article><p>" + "long " * 50000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
