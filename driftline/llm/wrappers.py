@@ -9,8 +9,8 @@ all pages of a large host.
 
 A page is read against its host's wrapper: text that the wrapper holds constant over `SUPPORT` different pages or more is
 template text. Of what is left, elements that are no main text by their tag, role or class (menus, headers, footers,
-sidebars, notices, adverts, forms, comments) go; the main text is the largest article or main element, or without one the
-element that most slot text stands in.
+sidebars, notices, adverts, forms, comments) go; the main text is that of all article elements, or of all main elements, or without
+one all that is left.
 
 Defined cases: a null, empty or text-less page has an empty text; a page without a host belongs to the empty host; a
 host with one page has no template text; text inside an article is never taken for template text, as copies of a page
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,12 +65,12 @@ NAMED = {"div", "ul", "ol"}
 
 
 class Node:
-    """An element (or slot, key "#") of a page or wrapper. text: its constant, None for a slot; pages: how many different pages it stands in."""
+    """An element (or slot, key "#") of a page or wrapper. text: its constant, None for a slot; a hash of it if it is long; pages: hashes of different pages (by their text) in which it stands, SUPPORT at most."""
 
     __slots__ = ("key", "kids", "optional", "pages", "repeated", "text")
 
-    def __init__(self, key: str, text: str | None = None):
-        self.key, self.text, self.kids, self.optional, self.repeated, self.pages = key, text, [], False, False, 1
+    def __init__(self, key: str, text: str | None = None, pages: tuple[int, ...] = ()):
+        self.key, self.text, self.kids, self.optional, self.repeated, self.pages = key, text, [], False, False, pages
 
     def __getstate__(self):
         return (self.key, self.text, self.kids, self.optional, self.repeated, self.pages)
@@ -138,47 +139,54 @@ def parse(page: str) -> Element:
     return root
 
 
-def pattern(e: Element) -> Node:
+def constant(text: str) -> str:
+    """A text as a wrapper holds it: as it is up to 400 characters, else by a hash."""
+    return text if len(text) <= 400 else "\0" + xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def pattern(e: Element, pages: tuple[int, ...] | None = None) -> Node:
     """The wrapper of one page: its elements with repeated siblings folded."""
-    node = Node(e.key)
+    if pages is None:
+        pages = (xxhash.xxh3_64_intdigest(" ".join(text_of(e).split()).encode("utf-8", "surrogatepass")),)
+    node = Node(e.key, None, pages)
     for k in e.kids:
         if isinstance(k, str):
             if (t := " ".join(k.split())) and not (node.kids and node.kids[-1].key == "#"):
-                node.kids.append(Node("#", t if len(t) <= 400 else None))
+                node.kids.append(Node("#", constant(t), pages))
             elif t:
                 node.kids[-1].text = None
         elif k.tag not in INLINE or k.out:
-            kid = pattern(k)
+            kid = pattern(k, pages)
             if node.kids and node.kids[-1].key == kid.key:
-                align(node.kids[-1], kid, False)
+                align(node.kids[-1], kid)
                 node.kids[-1].repeated = True
             else:
                 node.kids.append(kid)
         elif not (node.kids and node.kids[-1].key == "#"):  # inline elements are part of a text
             t = " ".join(text_of(k).split())
-            node.kids.append(Node("#", t if len(t) <= 400 else None))
+            node.kids.append(Node("#", constant(t), pages))
         else:
             node.kids[-1].text = None
     return node
 
 
-def align(a: Node, b: Node, other: bool = True) -> Node:
-    """a, made to match what b matches too. other: b stems from other pages (else it is a repetition in the same page)."""
+def align(a: Node, b: Node) -> Node:
+    """a, made to match what b matches too."""
     a.optional |= b.optional
     a.repeated |= b.repeated
     if a.key == "#" and a.text != b.text:
         a.text = None
-    if other:
-        a.pages += b.pages
+    if a.pages != b.pages and len(a.pages) < SUPPORT:
+        a.pages = tuple(sorted({*a.pages, *b.pages}))[:SUPPORT]
     x, y = [k.key for k in a.kids], [k.key for k in b.kids]
     if x == y:
         for p, q in zip(a.kids, b.kids):
-            align(p, q, other)
+            align(p, q)
         return a
     out = []
     for op, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
         if op == "equal":
-            out += [align(p, q, other) for p, q in zip(a.kids[i:j], b.kids[k:m])]
+            out += [align(p, q) for p, q in zip(a.kids[i:j], b.kids[k:m])]
         else:
             for n in (*a.kids[i:j], *b.kids[k:m]):
                 n.optional = True
@@ -187,7 +195,7 @@ def align(a: Node, b: Node, other: bool = True) -> Node:
     a.kids = []
     for n in out:
         if a.kids and n.key != "#" and a.kids[-1].key == n.key:
-            align(a.kids[-1], n, False)
+            align(a.kids[-1], n)
             a.kids[-1].repeated = True
         else:
             a.kids.append(n)
@@ -231,7 +239,7 @@ def template_out(e: Element, n: Node | None) -> None:
             continue
         at = i
         if isinstance(k, str):
-            if kids[i].text is not None and kids[i].pages >= SUPPORT and " ".join(k.split()) == kids[i].text:
+            if kids[i].text is not None and len(kids[i].pages) >= SUPPORT and constant(" ".join(k.split())) == kids[i].text:
                 kept.append(" ")
                 continue
         else:
@@ -240,12 +248,16 @@ def template_out(e: Element, n: Node | None) -> None:
     e.kids = kept
 
 
-def _walk(e: Element) -> Iterator[Element]:
-    if not e.out:
+def _outer(e: Element, tag: str) -> Iterator[Element]:
+    """The kept elements of a tag that stand in no other one of it."""
+    if e.out:
+        return
+    if e.tag == tag:
         yield e
-        for k in e.kids:
-            if not isinstance(k, str):
-                yield from _walk(k)
+        return
+    for k in e.kids:
+        if not isinstance(k, str):
+            yield from _outer(k, tag)
 
 
 def main_text(page: str | None, wrapper: Node | None = None) -> str:
@@ -253,21 +265,10 @@ def main_text(page: str | None, wrapper: Node | None = None) -> str:
     if not page:
         return ""
     root = parse(page)
-    if wrapper is not None and wrapper.pages >= SUPPORT:
+    if wrapper is not None and len(wrapper.pages) >= SUPPORT:
         template_out(root, wrapper)
-    size = lambda e: len(text_of(e))
-    found = [e for e in _walk(root) if e.tag == "article"] or [e for e in _walk(root) if e.tag == "main"]
-    if found:
-        best = max(found, key=size)
-    else:
-        best = root
-        while True:  # down to the element that holds most of the text
-            inner = [k for k in best.kids if not isinstance(k, str) and not k.out and k.tag not in INLINE]
-            most = max(inner, key=size, default=None)
-            if most is None or most.tag in ("p", "h1", "h2", "h3", "h4", "ul", "ol", "table", "pre", "blockquote") or size(most) < 0.7 * size(best):
-                break
-            best = most
-    return " ".join(text_of(best).split())
+    found = list(_outer(root, "article")) or list(_outer(root, "main")) or [root]
+    return " ".join(" ".join(text_of(e) for e in found).split())
 
 
 def merged(blobs: list[bytes]) -> Node:

@@ -62,6 +62,17 @@ def test_names_that_only_begin_like_a_menu():
     assert w.main_text("".join(parts)) == "Discussion a b c d e f"
 
 
+def test_no_text_of_the_page_is_lost(spark):
+    assert w.main_text("<div><h1>T</h1><p>lead</p><div>" + "body " * 50 + "</div></div>").startswith("T lead body")
+    assert w.main_text("<article>one</article><article>two two</article>") == "one two two"
+    copy, long = "<div><h1>Title</h1><p>text</p></div>", "constant " * 100
+    rows = [(i, f"http://copies.example/?ref={i}", copy) for i in range(4)]
+    rows += [(10 + i, f"http://long.example/{i}", f"<div>{long}</div><p>own {i}</p>") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in w.extracted(df).collect()}
+    assert got == {**{i: "Title text" for i in range(4)}, **{10 + i: f"own {i}" for i in range(4)}}
+
+
 def test_cases(spark):
     rows = [(1, "http://a.b/", None), (2, None, ""), (3, "http://a.b/x", "<p>"), (4, "x", "plain &lt;text&gt;\xa0here"), (5, "http://a.b/y", "<article><h1>T</h1>one<br>two <i>th</i>ree<aside>no</aside><div class='comments'>c</div>"), (5, "http://a.b/y", "<article><h1>T</h1>one<br>two <i>th</i>ree<aside>no</aside><div class='comments'>c</div>"), (6, "http://a.b/z", "<div><b>" * 5000 + "deep" + "<div>" * 5000), (7, "http://q/", "<p>a < b and c > d</p><!-- x"), (8, "http://q/", "<article><p>" + "long " * 50000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
