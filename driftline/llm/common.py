@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,3 +109,41 @@ def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
 
 def ids_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def squeezed(arrays: list[np.ndarray]) -> bytes:
+    """Whole numbers by byte planes, compressed: small numbers take a few bits each."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays))
+
+
+class Planes:
+    """Reads what squeezed made, in turn."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.at = zstandard.ZstdDecompressor().decompress(raw), 0
+
+    def take(self, kind, n: int) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        out = np.frombuffer(self.raw, np.uint8, size * n, self.at).reshape(size, n).T
+        self.at += size * n
+        return np.ascontiguousarray(out).view(kind).reshape(n)
+
+
+def to_ipc(t: pa.Table) -> bytes:
+    """A table as one compressed string."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def from_ipc(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
+def flat_column(t: pa.Table, name: str) -> pa.Array:
+    """A column in one piece."""
+    c = t.column(name).combine_chunks()
+    if isinstance(c, pa.ChunkedArray):
+        return c.chunk(0) if c.num_chunks else pa.array([], c.type)
+    return c

@@ -26,13 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import as_bytes, grouped, ids_of, slices, stored
+from driftline.llm.common import Planes, as_bytes, flat_column, from_ipc, grouped, ids_of, slices, squeezed, stored, to_ipc
 from driftline.llm.trie import NAME, VALUES, Trie
 
 #: Bytes of text in a batch.
@@ -125,24 +124,6 @@ class Batch:
             yield s, b"".join([np.array([len(packed), *(c[s + 1] - c[s] for c in cuts)], np.int64).tobytes(), packed, *names])
 
 
-def squeezed(arrays: list[np.ndarray]) -> bytes:
-    """Whole numbers by byte planes, compressed: small numbers take a few bits each."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays))
-
-
-class Planes:
-    """Reads what squeezed made, in turn."""
-
-    def __init__(self, raw: bytes):
-        self.raw, self.at = zstandard.ZstdDecompressor().decompress(raw), 0
-
-    def take(self, kind, n: int) -> np.ndarray:
-        size = np.dtype(kind).itemsize
-        out = np.frombuffer(self.raw, np.uint8, size * n, self.at).reshape(size, n).T
-        self.at += size * n
-        return np.ascontiguousarray(out).view(kind).reshape(n)
-
-
 def opened(blob: bytes, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
     """words, counts by level, parents and names by further level."""
     packed, *sizes = np.frombuffer(blob, np.int64, order + 1).tolist()
@@ -239,11 +220,6 @@ def _batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.
         yield named()
 
 
-def _flat(t: pa.Table, name: str) -> pa.Array:
-    c = t.column(name).combine_chunks()
-    return c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
-
-
 def scored(docs: DataFrame, train: Column, text: str = "text", carry: list[str] | None = None, order: int = 3, discount: float = 0.75, shards: int | None = None, batch_bytes: int = BATCH_BYTES, stable: bool = False) -> DataFrame:
     """docs (the columns of carry; all) with held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
@@ -257,7 +233,7 @@ def scored(docs: DataFrame, train: Column, text: str = "text", carry: list[str]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, a, b in _batches(batches, batch_bytes):
-            asks = list(Batch(as_bytes(_flat(t, "__text")), _flat(t, "__train").to_numpy(zero_copy_only=False), order, places=False).asks(shards))
+            asks = list(Batch(as_bytes(flat_column(t, "__text")), flat_column(t, "__train").to_numpy(zero_copy_only=False), order, places=False).asks(shards))
             for i in range(0, len(asks), 8):
                 some = asks[i : i + 8]
                 yield pa.RecordBatch.from_arrays([pa.array([a] * len(some)), pa.array([b] * len(some)), pa.array([s for s, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], ["b1", "b2", "shard", "blob"])
@@ -277,10 +253,7 @@ def scored(docs: DataFrame, train: Column, text: str = "text", carry: list[str]
 
     def parcel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, a, b in _batches(batches, batch_bytes):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(t)
-            yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([b]), pa.array([-1], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["b1", "b2", "shard", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([b]), pa.array([-1], pa.int32()), pa.array([to_ipc(t)], pa.binary())], ["b1", "b2", "shard", "blob"])
 
     both = read.mapInArrow(parcel, "b1 long, b2 long, shard int, blob binary").unionByName(replies.select("b1", "b2", "shard", "blob"))
     both = both.repartition(parts, "b1", "b2").sortWithinPartitions("b1", "b2", "shard")
@@ -292,11 +265,11 @@ def scored(docs: DataFrame, train: Column, text: str = "text", carry: list[str]
             blobs = dict(zip(shard, t.column("blob").to_pylist()))
             if -1 not in blobs:
                 raise RuntimeError("a batch of texts was not made again as before; call scored with stable=False")
-            rows = pa.ipc.open_stream(blobs.pop(-1)).read_all()
-            batch = Batch(as_bytes(_flat(rows, "__text")), _flat(rows, "__train").to_numpy(zero_copy_only=False), order)
+            rows = from_ipc(blobs.pop(-1))
+            batch = Batch(as_bytes(flat_column(rows, "__text")), flat_column(rows, "__train").to_numpy(zero_copy_only=False), order)
             known, base, own_score = score(batch, blobs, shards, total, kinds)
             n = rows.num_rows
-            cols = [*(_flat(rows, c) for c in own), pa.array(~_flat(rows, "__train").to_numpy(zero_copy_only=False)), pa.array(batch.n_tokens), pa.array(known), pa.array(np.full(n, total)), pa.array(base), pa.array(own_score)]
+            cols = [*(flat_column(rows, c) for c in own), pa.array(~flat_column(rows, "__train").to_numpy(zero_copy_only=False)), pa.array(batch.n_tokens), pa.array(known), pa.array(np.full(n, total)), pa.array(base), pa.array(own_score)]
             yield pa.RecordBatch.from_arrays(cols, [*own, *names])
 
     return both.mapInArrow(finish, schema)

@@ -1,22 +1,30 @@
 """Removal of long byte strings that occur more than once in the corpus (suffix-array dedup).
 
 Every byte is removed that is covered by a string of `length` bytes which starts anywhere else too, in another document
-or the same one. A run-length index (runindex.py) finds these strings, but no index of a whole corpus fits one task, so
-the corpus is cut into parts that cannot miss a match: each string of `length` bytes is dealt by the least hash of the
-`GRAM`-byte strings inside it. Consecutive strings with the same least hash form one segment; equal strings have the
-same least hash, so they meet in the same part, and as each string starts in exactly one segment none meets itself.
-
-1. One pass over the texts gives the segments: least hash, content hash, place. No text moves.
-2. Segments of equal content are counted with partial sums: what occurs twice as a whole is a repeat as a whole, however
-   many copies there are, and goes on as one segment. Least hashes that occur once, at one place, are done.
-3. What is left, different segments of one least hash and segments that have it at several places, is fetched and goes through the run-length index, part by part.
-   A hash with more than `hot` different segments (a passage in very many different surroundings) would fill one task;
-   its strings are dealt once more, each by its own content hash, and counted; they travel in parcels.
-4. Repeated strings go back to their documents as spans.
-
-Matches are exact up to 128-bit hash collisions. Defined cases: null and empty texts, and texts shorter than `length`,
-keep all bytes; rows that are equal in id and text count as separate documents and get the same result; null ids are
-allowed; an empty table gives no rows.
+or the same one. Repeated passages are told besides: runs of bytes that repeated strings of `deal` bytes (240, shorter
+than most passages of 50 words) cover and that hold over 50 words. A run-length index (runindex.py) finds repeated
+strings by streamed matching statistics, but no index of a whole corpus fits one task, so the corpus is cut into parts
+that cannot miss a match: each string is dealt by the least hash of the `GRAM`-byte strings inside it. Consecutive
+strings with the same least hash form one segment; equal strings have the same least hash, so they meet in the same
+part, and as each string starts in exactly one segment none meets itself.
+
+1. One pass packs the texts into parcels of some MB, written once, and asks the parts about the parcels' segments: least
+   hash and content hash, once for equal ones of a parcel, many in a row of the shuffle.
+2. A part answers for each: is the content elsewhere too (then it is a repeat as a whole, however many copies there
+   are), does it have to be sent (the first copy of a content whose least hash has others), or nothing at all (the
+   least hash is alone: most of a corpus). A parcel with over `crowd` contents of one least hash only says so.
+3. Sent segments go through the run-length index, part by part. A least hash with more than `hot` contents or from a
+   crowded parcel (a passage in very many different surroundings) would fill one task; the strings of its segments are
+   dealt once more, each by its own content hash, and counted; they travel in parcels. Both ways are exact.
+4. Repeated strings go back to their parcels as spans. Steps 1 to 3 run for strings of `deal` bytes over whole texts and
+   then for strings of `length` bytes over what those cover: a longer repeated string is covered by shorter ones.
+
+Rows of the shuffles grow with the segments asked about, never with pairs. Matches are exact up to 128-bit hash
+collisions. Defined cases: null and empty texts, and texts shorter than `length`, keep all bytes (a null text reads as
+empty, also in `kept`); rows that are equal in id and text count as separate documents and get the same result; null
+ids are allowed; an empty table gives no rows; a text of any length is read whole, in steps of 2 MB, and fits one
+parcel of its own (below 2 GB); ties do not occur, as no copy is preferred; columns that have a result's name are
+replaced, no other name can clash.
 """
 
 from __future__ import annotations
@@ -27,22 +35,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.llm import runindex
-from driftline.llm.common import grouped, ids_of, offsets_of, row_key, slices, stored
+from driftline.llm.common import Planes, flat_column, from_ipc, grouped, ids_of, offsets_of, slices, squeezed, stored, to_ipc
 
 #: Bytes of the strings whose least hash deals a longer string.
 GRAM = 32
+#: Bytes of the strings that are looked for first, and words that a passage has more than.
+DEAL, WORDS = 240, 50
 #: Starts in a segment at most; longer ones (periodic texts) are cut.
 MOST_STARTS = 4096
 #: Bytes that one run-length index takes; parts are gathered up to this.
 INDEX_BYTES = 1 << 20
+#: Bytes of text in a parcel.
+PARCEL = 8 << 20
+#: Parts that a shuffle partition answers for, one at a time.
+SHARDS_A_PART = 4
 _rng = np.random.default_rng(20240501)
 BYTE_HASH = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15 | 1
+#: What a part answers about a content: it occurs elsewhere too; send it; its least hash is hot.
+WHOLE, SEND, HEAT = 1, 2, 4
+#: What a parcel says of a content: several copies; its own strings may be equal; too many contents to name.
+SEVERAL, WITHIN, CROWDED = 1, 2, 4
 
 
 #: Low bits of a least hash that hold the place of the leftmost string that has it.
@@ -118,94 +137,188 @@ def _hash128(parts: Iterator[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), np.int64).reshape(-1, 2)
 
 
-def cut_up(keyed: DataFrame, length: int) -> DataFrame:
-    """The segments of all texts: k1, k2 (of the row), start, n (starts), least, within (its own strings may be equal), s1, s2 (hash of the content)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            off, data = offsets_of(ids_of(b, "text"))
-            row, start, n, least, within = segments(off, data, length)
-            if not len(row):
-                continue
-            view = memoryview(data)
-            a = (off[row] + start).tolist()
-            s = _hash128(view[x:y] for x, y in zip(a, (off[row] + start + n + length - 1).tolist()))
-            k1, k2 = (ids_of(b, k).to_numpy()[row] for k in ("k1", "k2"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, start.astype(np.int32), n.astype(np.int32), least, within, s[:, 0].copy(), s[:, 1].copy())], ["k1", "k2", "start", "n", "least", "within", "s1", "s2"])
-
-    return keyed.mapInArrow(run, "k1 long, k2 long, start int, n int, least long, within boolean, s1 long, s2 long")
-
-
-#: Bytes of texts whose hot strings are packed into one parcel.
-PARCEL = 8 << 20
 
+def _items(least: np.ndarray, s: np.ndarray, within: np.ndarray, crowd: int) -> tuple[np.ndarray, ...]:
+    """The different contents of a parcel by least hash: least, s, flags, and the number of each segment's content. A least hash of over `crowd` contents has one entry without a content."""
+    order = np.lexsort((s[:, 1], s[:, 0], least))
+    l, c = least[order], s[order]
+    fresh_least = np.append([True], l[1:] != l[:-1])
+    fresh = fresh_least | np.append([True], (c[1:] != c[:-1]).any(axis=1))
+    group = np.cumsum(fresh_least) - 1
+    crowded = np.bincount(group, weights=fresh)[group] > crowd
+    fresh = np.where(crowded, fresh_least, fresh)
+    at = np.flatnonzero(fresh)
+    item = np.empty(len(order), np.int64)
+    item[order] = np.cumsum(fresh) - 1
+    flags = np.where(crowded[at], CROWDED, np.where(np.diff(np.append(at, len(l))) > 1, SEVERAL, 0))
+    flags = flags | np.where(np.bincount(item, weights=within) > 0, WITHIN, 0)
+    return l[at], np.where(crowded[at][:, None], 0, c[at]), flags.astype(np.uint8), item
+
+
+PARCELS = "parcel long, shard int, texts binary, segs binary, ask binary"
+
+
+def parcel_rows(name: int, rows: pa.Table, off: np.ndarray, data: np.ndarray, length: int, crowd: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """A parcel (PARCELS; shard -1: the rows, with the segments of their texts) and what it asks each shard."""
+    row, start, n, least, within = segments(off, data, length)
+    asks, segs = [], np.int64(len(row)).tobytes()
+    if len(row):
+        view, begin = memoryview(data), off[row] + start
+        own, s, flags, item = _items(least, _hash128(view[x:y] for x, y in zip(begin.tolist(), (begin + n + length - 1).tolist())), within, crowd)
+        segs += squeezed([np.diff(row, prepend=0).astype(np.uint32), start.astype(np.uint32), n.astype(np.uint32), item.astype(np.uint32)])
+        shard = (own.astype(np.uint64) * np.uint64(shards)) >> np.uint64(64 - PLACE)
+        cut = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+        for i in np.flatnonzero(np.diff(cut)).tolist():
+            a, z = cut[i], cut[i + 1]
+            asks.append((i, np.int64(z - a).tobytes() + squeezed([np.diff(own[a:z], prepend=0), s[a:z, 0], s[a:z, 1], flags[a:z]])))
+    names = [f.split()[0] for f in PARCELS.split(", ")]
+    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1], pa.int32()), pa.array([to_ipc(rows)], pa.binary()), pa.array([segs], pa.binary()), pa.array([None], pa.binary())], names)
+    for i in range(0, len(asks), 256):
+        some = asks[i : i + 256]
+        none = pa.nulls(len(some), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array([x for x, _ in some], pa.int32()), none, none, pa.array([x for _, x in some], pa.binary())], names)
+
+
+def parcelled(read: DataFrame, length: int, crowd: int, shards: int, parcel_bytes: int) -> DataFrame:
+    """The parcels of texts (PARCELS)."""
 
-def fetch(wanted: DataFrame, keyed: DataFrame, length: int, shards: int) -> DataFrame:
-    """The content of wanted segments, in rows of three kinds.
-
-    cold: a segment (k1, k2, place: start, least, content: its bytes). ask: a parcel's hashes of hot strings for one
-    shard (k1, k2: the parcel's name, place: shard, content). key: where a parcel's strings stand. Strings travel by the
-    parcel, equal ones of a parcel once; a row of the shuffle holds many.
-    """
-    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "least", "hot")).alias("segs"))
-    near = keyed.join(lists, ["k1", "k2"]).dropDuplicates(["k1", "k2"])  # equal rows bring a text twice
-
-    def rows(kind: str, k1, k2, place, least, content: list[bytes]) -> pa.RecordBatch:
-        n = len(content)
-        wide = lambda x, t: pa.array(np.broadcast_to(np.asarray(x, t), n).copy())
-        return pa.RecordBatch.from_arrays([pa.array([kind] * n), wide(k1, np.int64), wide(k2, np.int64), wide(place, np.int32), wide(least, np.int64), pa.array(content, pa.binary())], ["kind", "k1", "k2", "place", "least", "content"])
-
-    def pack(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        k1, k2, at, w = (np.concatenate(x) for x in zip(*held))
-        unique, inverse, count = np.unique(w.view("V16").ravel(), return_inverse=True, return_counts=True)
-        h = unique.view(np.int64).reshape(-1, 2)
-        shard = ((h[:, 0].view(np.uint64) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-        order = np.argsort(shard, kind="stable")
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order))
-        name = np.frombuffer(xxhash.xxh3_128_digest(k1.tobytes() + k2.tobytes() + at.tobytes()), np.int64)
-        cut = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
-        yield rows("key", name[0], name[1], -1, 0, [b"".join(x.tobytes() for x in (k1, k2, at.astype(np.int64), place[inverse].astype(np.int64)))])
-        some = np.flatnonzero(np.diff(cut))
-        yield rows("ask", name[0], name[1], some, 0, [h[order[cut[i] : cut[i + 1]]].tobytes() + (count[order[cut[i] : cut[i + 1]]] > 1).tobytes() for i in some])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = TaskContext.get().partitionId() << 24
+        for b in slices(batches, "text", parcel_bytes):
+            yield from parcel_rows(name, pa.Table.from_batches([b]), *offsets_of(ids_of(b, "text")), length, crowd, shards)
+            name += 1
+
+    return read.mapInArrow(run, PARCELS)
+
+
+def answers(asks: list[bytes], hot: int) -> list[bytes]:
+    """A part's answers to the parcels' asks: a code for each content, and the least hashes of those to be indexed."""
+    sizes, opened = [], []
+    for x in asks:
+        n = int(np.frombuffer(x, np.int64, 1)[0])
+        read = Planes(x[8:])
+        sizes.append(n)
+        opened.append((np.cumsum(read.take(np.int64, n)), read.take(np.int64, n), read.take(np.int64, n), read.take(np.uint8, n)))
+    least, s1, s2, flags = (np.concatenate(x) for x in zip(*opened))
+    order = np.lexsort((s2, s1, least))  # stable: of equal contents the parcel that comes first leads
+    least, s1, s2, flags = least[order], s1[order], s2[order], flags[order]
+    fresh_least = np.append([True], least[1:] != least[:-1])
+    fresh = fresh_least | np.append([True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]))
+    group, content = np.cumsum(fresh_least) - 1, np.cumsum(fresh) - 1
+    crowded = flags & CROWDED > 0
+    different = np.bincount(group, weights=fresh)[group]
+    heat = (np.bincount(group, weights=crowded)[group] > 0) | (different > hot)
+    whole = ~crowded & (np.bincount(content, weights=1 + (flags & SEVERAL))[content] > 1)
+    send = crowded | fresh & (heat | (different > 1) | ((flags & WITHIN > 0) & ~whole))
+    code = np.empty(len(order), np.uint8)
+    code[order] = WHOLE * whole + SEND * send + HEAT * (heat & send)
+    back = np.empty(len(order), np.int64)
+    back[order] = least
+    out = []
+    for c, l in zip(np.split(code, np.cumsum(sizes)[:-1]), np.split(back, np.cumsum(sizes)[:-1])):
+        l = l[c & (SEND | HEAT) == SEND]
+        out.append(np.array([len(c), len(l)], np.int64).tobytes() + squeezed([c, l]))
+    return out
+
+
+def packed_spans(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> bytes:
+    """Spans of a parcel: row, from, to."""
+    return np.stack([row, lo, hi]).astype(np.int32).tobytes()
+
+
+def spans_of(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, from and to of the maximal runs that all spans cover, in order."""
+    if not blobs:
+        return tuple(np.zeros((3, 0), np.int64))
+    row, lo, hi = np.concatenate([np.frombuffer(x, np.int32).reshape(3, -1) for x in blobs], axis=1).astype(np.int64)
+    order = np.lexsort((lo, row))
+    row, lo, hi = row[order], lo[order], hi[order]
+    reach = np.maximum.accumulate((row << 32) + hi)  # a later row's is above all of an earlier one's
+    new = np.append([True], (row << 32)[1:] + lo[1:] > reach[:-1])
+    last = np.append(np.flatnonzero(new)[1:], len(row)) - 1
+    return row[new], lo[new], reach[last] - (row[new] << 32)
+
+
+CONTENT = "parcel long, kind int, row int, start int, least long, blob binary"
+COLD, SPAN, ASK, KEY = range(4)
+
+
+def _content(kind: int, parcel: int, row, start, least, blobs: list[bytes]) -> pa.RecordBatch:
+    n = len(blobs)
+    wide = lambda x, t: pa.array(np.broadcast_to(np.asarray(x, t), n).copy())
+    return pa.RecordBatch.from_arrays([wide(parcel, np.int64), wide(kind, np.int32), wide(row, np.int32), wide(start, np.int32), wide(least, np.int64), pa.array(blobs, pa.binary())], [f.split()[0] for f in CONTENT.split(", ")])
+
+
+def _strings(parcel: int, row: np.ndarray, at: np.ndarray, h: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """A parcel's single strings, equal ones once, by the shard that counts them (ASK; row is the shard), and where they stand (KEY)."""
+    unique, inverse, count = np.unique(h.view("V16").ravel(), return_inverse=True, return_counts=True)
+    h = unique.view(np.int64).reshape(-1, 2)
+    shard = ((h[:, 0].view(np.uint64) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    order = np.argsort(shard, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    cut = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+    yield _content(KEY, parcel, -1, 0, 0, [np.stack([row, at, place[inverse]]).astype(np.int64).tobytes()])
+    some = np.flatnonzero(np.diff(cut))
+    yield _content(ASK, parcel, some, 0, 0, [h[order[cut[i] : cut[i + 1]]].tobytes() + (count[order[cut[i] : cut[i + 1]]] > 1).tobytes() for i in some])
+
+
+def sent(both: DataFrame, length: int, shards: int) -> DataFrame:
+    """What the answers ask for (CONTENT): segments to be indexed, spans of segments that are repeats as a whole, and strings of hot ones. both: texts and answers of parcels, sorted by parcel and shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in slices(batches, "text", 1 << 20):
-            off, data = offsets_of(ids_of(b, "text"))
-            segs = ids_of(b, "segs")
-            flat = segs.flatten()
-            row = np.repeat(np.arange(len(segs)), segs.value_lengths().to_numpy())
-            start, n, least, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            k1, k2 = (ids_of(b, k).to_numpy()[row] for k in ("k1", "k2"))
-            first = off[row] + start
+        for (parcel, *_), t in grouped(batches, ["parcel"]):
+            n, *_ = np.frombuffer(segs := t.column("segs")[0].as_py(), np.int64, 1).tolist()
+            if not n:
+                continue
+            read = Planes(segs[8:])
+            row, start, starts, item = (read.take(np.uint32, n).astype(np.int64) for _ in range(4))
+            row = np.cumsum(row)
+            codes, leasts = [], []
+            for x in t.column("answer").to_pylist()[1:]:
+                m, k = np.frombuffer(x, np.int64, 2).tolist()
+                read = Planes(x[16:])
+                codes.append(read.take(np.uint8, m))
+                leasts.append(read.take(np.int64, k))
+            codes = np.concatenate(codes)
+            code = codes[item]
+            off, data = offsets_of(flat_column(from_ipc(t.column("texts")[0].as_py()), "text"))
             view = memoryview(data)
-            cold = np.flatnonzero(~hot)
-            if len(cold):
-                yield rows("cold", k1[cold], k2[cold], start[cold], least[cold], [bytes(view[x:y]) for x, y in zip(first[cold].tolist(), (first + n + length - 1)[cold].tolist())])
-            warm = np.flatnonzero(hot)
-            if len(warm):
-                reps = n[warm].astype(np.int64)
-                step = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                each = np.repeat(warm, reps)
-                held.append((k1[each], k2[each], start[each] + step, _hash128(view[x : x + length] for x in (first[each] + step).tolist())))
-                size += len(each) * 36
-                if size >= PARCEL:
-                    yield from pack(held)
-                    held, size = [], 0
-        if held:
-            yield from pack(held)
-
-    return near.mapInArrow(run, "kind string, k1 long, k2 long, place int, least long, content binary")
-
-
-def count_parcels(content: DataFrame, length: int, shards: int) -> DataFrame:
-    """Runs (lo to hi) of starts of repeated strings among those in parcels."""
-    asks = content.where("kind = 'ask'").select("k1", "k2", "place", "content").repartition(shards, "place").sortWithinPartitions("place")
+            begin, end = off[row] + start, off[row] + start + starts + length - 1
+            if len(k := np.flatnonzero(code & WHOLE)):
+                yield _content(SPAN, parcel, 0, 0, 0, [packed_spans(row[k], start[k], start[k] + starts[k] + length - 1)])
+            # One copy of each content that is to be indexed.
+            named = np.flatnonzero(codes & (SEND | HEAT) == SEND)
+            first = np.full(len(codes), -1, np.int64)
+            first[item[::-1]] = np.arange(n)[::-1]
+            leasts, k = np.concatenate(leasts), first[named]
+            for i in range(0, len(k), 4096):
+                j = k[i : i + 4096]
+                yield _content(COLD, parcel, row[j], start[j], leasts[i : i + 4096], [bytes(view[x:y]) for x, y in zip(begin[j].tolist(), end[j].tolist())])
+            if len(k := np.flatnonzero(code & HEAT)):
+                k = k[(code[k] & WHOLE == 0) | (first[item[k]] == k)]  # copies of a named content bring no more
+                at = np.arange(starts[k].sum()) - np.repeat(np.cumsum(starts[k]) - starts[k], starts[k])
+                k = np.repeat(k, starts[k])
+                at += start[k]
+                yield from _strings(parcel, row[k], at, _hash128(view[i : i + length] for i in (off[row[k]] + at).tolist()), shards)
+
+    return both.mapInArrow(run, CONTENT)
+
+
+def _runs(owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last indices of stretches of consecutive places of one owner."""
+    new = np.append([True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1))
+    first = np.flatnonzero(new)
+    return first, np.append(first[1:], len(at)) - 1
+
+
+def counted(content: DataFrame, length: int, shards: int) -> DataFrame:
+    """(parcel, spans) of repeated strings among the single ones."""
+    asks = content.where(F.col("kind") == ASK).select("parcel", F.col("row").alias("shard"), "blob").repartition(shards, "shard").sortWithinPartitions("shard", "parcel")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in grouped(batches, ["place"]):
-            blobs = t.column("content").to_pylist()
+        for _, t in grouped(batches, ["shard"]):
+            blobs = t.column("blob").to_pylist()
             n = [len(x) // 17 for x in blobs]
             h = np.concatenate([np.frombuffer(x, np.int64, 2 * m).reshape(-1, 2) for x, m in zip(blobs, n)])
             twice = np.concatenate([np.frombuffer(x, bool, m, 16 * m) for x, m in zip(blobs, n)])
@@ -214,55 +327,48 @@ def count_parcels(content: DataFrame, length: int, shards: int) -> DataFrame:
             twice[order[1:][same]] = True
             twice[order[:-1][same]] = True
             cut = np.cumsum([0, *n])
-            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("k1", "k2", "place")), pa.array([twice[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], ["k1", "k2", "place", "content"])
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("parcel", "shard")), pa.array([twice[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], ["parcel", "shard", "blob"])
 
-    keys = content.where("kind = 'key'").select("k1", "k2", "place", "content")
-    both = keys.unionByName(asks.mapInArrow(answer, "k1 long, k2 long, place int, content binary")).repartition("k1", "k2").sortWithinPartitions("k1", "k2", "place")
+    keys = content.where(F.col("kind") == KEY).select("parcel", F.col("row").alias("shard"), "blob")
+    both = keys.unionByName(asks.mapInArrow(answer, "parcel long, shard int, blob binary")).repartition("parcel").sortWithinPartitions("parcel", "shard")
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in grouped(batches, ["k1", "k2"]):
-            key, *blobs = t.column("content").to_pylist()
-            k1, k2, at, place = np.frombuffer(key, np.int64).reshape(4, -1)
-            hit = np.frombuffer(b"".join(blobs), bool)[place]
-            k1, k2, at = k1[hit], k2[hit], at[hit]
-            if not len(at):
+        for (parcel, *_), t in grouped(batches, ["parcel"]):
+            key, *blobs = t.column("blob").to_pylist()
+            row, at, place = np.frombuffer(key, np.int64).reshape(3, -1)
+            hit = np.flatnonzero(np.frombuffer(b"".join(blobs), bool)[place])
+            if not len(hit):
                 continue
-            new = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (at[1:] != at[:-1] + 1)])
-            last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(at) - 1]])
-            yield pa.RecordBatch.from_arrays([pa.array(k1[new]), pa.array(k2[new]), pa.array(at[new]), pa.array(at[last] + length)], ["k1", "k2", "lo", "hi"])
-
-    return both.mapInArrow(back, "k1 long, k2 long, lo long, hi long")
+            hit = hit[np.lexsort((at[hit], row[hit]))]
+            row, at = row[hit], at[hit]
+            a, z = _runs(row, at)
+            yield pa.RecordBatch.from_arrays([pa.array([parcel]), pa.array([packed_spans(row[a], at[a], at[z] + length)], pa.binary())], ["parcel", "spans"])
 
+    return both.mapInArrow(back, "parcel long, spans binary")
 
-def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
-    """For each string the places where a repeated string of `length` bytes starts; strings are different from each other."""
-    index, starts = runindex.build(strings)
-    found = np.flatnonzero(index.matching_statistics() >= length)
-    cuts = np.searchsorted(found, starts)
-    return [f - s for f, s in zip(np.split(found, cuts[1:]), starts)]
 
-
-def index_parts(cold: DataFrame, length: int, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """Runs (lo to hi) of starts of repeated strings in cold segments, by run-length indexes over whole least hashes."""
-    dealt = cold.select("k1", "k2", F.col("place").alias("start"), "least", "content").repartition("least").sortWithinPartitions("least")
+def indexed(content: DataFrame, length: int, index_bytes: int) -> DataFrame:
+    """(parcel, spans) of repeated strings in sent segments, by run-length indexes over whole least hashes."""
+    dealt = content.where(F.col("kind") == COLD).drop("kind").repartition("least").sortWithinPartitions("least", "parcel", "row", "start")
 
     def flush(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         t = pa.concat_tables(held)
-        k, content = np.stack([t.column(c).to_numpy() for c in ("k1", "k2", "start")], axis=1), t.column("content").to_pylist()
-        out = []
-        for i, starts in enumerate(repeated_starts(content, length)):
-            if len(starts):
-                cut = np.flatnonzero(np.diff(starts) > 1)
-                lo, hi = starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])]
-                out.append((np.repeat(k[i : i + 1], len(lo), axis=0), lo, hi))
-        if out:
-            key, lo, hi = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array((key[:, 2] + lo).astype(np.int64)), pa.array((key[:, 2] + hi + length).astype(np.int64))], ["k1", "k2", "lo", "hi"])
+        parcel, row, start = (t.column(c).to_numpy().astype(np.int64) for c in ("parcel", "row", "start"))
+        index, first = runindex.build(t.column("blob").to_pylist())
+        at = np.flatnonzero(index.matching_statistics() >= length)
+        if len(at):
+            owner = np.searchsorted(first, at, side="right") - 1
+            a, z = _runs(owner, at)
+            o = owner[a]
+            parcel, row, lo, hi = parcel[o], row[o], start[o] + at[a] - first[o], start[o] + at[z] - first[o] + length
+            order = np.argsort(parcel, kind="stable")
+            own, cut = np.unique(parcel[order], return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([packed_spans(row[k], lo[k], hi[k]) for k in np.split(order, cut[1:])], pa.binary())], ["parcel", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for _, rows in grouped(batches, ["least"]):
-            own = rows.column("content").nbytes
+            own = rows.column("blob").nbytes
             if held and size + own > index_bytes:
                 yield from flush(held)
                 held, size = [], 0
@@ -271,64 +377,108 @@ def index_parts(cold: DataFrame, length: int, index_bytes: int = INDEX_BYTES) ->
         if held:
             yield from flush(held)
 
-    return dealt.mapInArrow(run, "k1 long, k2 long, lo long, hi long")
-
-
-def spans(keyed: DataFrame, length: int = 400, hot: int = 256) -> DataFrame:
-    """(k1, k2, lo, hi): byte ranges of repeated strings, by row key."""
-    segs = stored(cut_up(keyed, length), "segments")
-    first = F.min(F.struct("k1", "k2", "start", "n", "within")).alias("first")
-    distinct = segs.groupBy("least", "s1", "s2").agg(F.count("*").alias("copies"), first)
-    many = distinct.groupBy("least").agg(F.count("*").alias("different"), F.sum("copies").alias("total"), F.max("first.within").alias("any")).where("total > 1 OR any").drop("total", "any")
-    kept = stored(distinct.join(many, "least").select("least", "s1", "s2", "copies", "different", "first.*"), "repeated")
-    whole = segs.join(kept.where("copies > 1").select("least", "s1", "s2"), ["least", "s1", "s2"]).select("k1", "k2", F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("n") + length - 1).cast("long").alias("hi"))
-    wanted = kept.where("different > 1 OR (within AND copies = 1)").select("k1", "k2", "start", "n", "least", (F.col("different") > hot).alias("hot"))
-    shards = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    content = stored(fetch(wanted, keyed, length, shards), "contents")
-    return whole.unionByName(index_parts(content.where("kind = 'cold'"), length)).unionByName(count_parcels(content, length, shards))
-
-
-def union_of(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs that the ranges cover; ranges that touch are one run."""
-    order = np.argsort(lo, kind="stable")
-    lo, hi = lo[order], np.maximum.accumulate(hi[order])
-    new = np.concatenate([[True], lo[1:] > hi[:-1]])
-    return lo[new], hi[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(lo) - 1]])]
-
-
-def removed(docs: DataFrame, text: str = "text", length: int = 400, carry: list[str] | None = None, with_text: bool = True, hot: int = 256) -> DataFrame:
-    """docs (the columns of carry; all) with n_bytes, n_removed, n_spans, kept_sha256, and with_text the rest of the bytes (kept) and the spans removed."""
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "spans"] if with_text else [])]
-    own = [c for c in (docs.columns if carry is None else carry) if c not in names]
-    body = F.coalesce(F.col(text), F.lit(""))
-    cols = [F.col(c) for c in own]
-    keyed = row_key(docs.select(*cols, body.alias("__text")), *own, "__text")
-    lean = keyed.select("k1", "k2", F.col("__text").alias("text"))
-    found = spans(lean, length, hot).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("__spans"))
-    read = keyed.join(found, ["k1", "k2"], "left").select(*own, "__text", "__spans")
-    extra = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
-    if with_text:
-        extra += [T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))]
-    schema = T.StructType([f for f in read.schema.fields if f.name in own] + extra)
+    return dealt.mapInArrow(run, "parcel long, spans binary")
+
+
+def repeated(parcels: DataFrame, length: int, hot: int, index_bytes: int, parts: int) -> DataFrame:
+    """(parcel, spans): what repeated strings of `length` bytes cover in parcels, which were made for that length."""
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in grouped(batches, ["shard"]):
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("parcel", "shard")), pa.array(answers(t.column("ask").to_pylist(), hot), pa.binary())], ["parcel", "shard", "answer"])
+
+    asked = parcels.where("shard >= 0").select("parcel", "shard", "ask").repartition(parts, "shard").sortWithinPartitions("shard", "parcel")
+    told = asked.mapInArrow(reply, "parcel long, shard int, answer binary")
+    none = F.lit(None).cast("binary")
+    both = parcels.where("shard < 0").select("parcel", "shard", "texts", "segs", none.alias("answer")).unionByName(told.select("parcel", "shard", none.alias("texts"), none.alias("segs"), "answer"))
+    content = stored(sent(both.repartition(parts, "parcel").sortWithinPartitions("parcel", "shard"), length, SHARDS_A_PART * parts), "contents")
+    whole = content.where(F.col("kind") == SPAN).select("parcel", F.col("blob").alias("spans"))
+    return whole.unionByName(indexed(content, length, index_bytes)).unionByName(counted(content, length, SHARDS_A_PART * parts))
+
+
+def with_spans(parcels: DataFrame, parts: int, **found: DataFrame) -> DataFrame:
+    """The parcels' texts, each followed by its spans, in columns by the names of found."""
+    none = F.lit(None).cast("binary")
+    names = ["texts", *found]
+    each = {"texts": parcels.where("shard < 0").select("parcel", "texts")} | {n: df.select("parcel", F.col("spans").alias(n)) for n, df in found.items()}
+    both = None
+    for n, df in each.items():
+        df = df.select("parcel", *[F.col(n) if n == m else none.alias(m) for m in names])
+        both = df if both is None else both.unionByName(df)
+    return both.repartition(parts, "parcel").sortWithinPartitions(F.col("parcel"), F.col("texts").isNull())
+
+
+def _wide(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs in which a string of `length` bytes fits."""
+    k = hi - lo >= length
+    return row[k], lo[k], hi[k]
+
+
+def regions(held: DataFrame, length: int, crowd: int, shards: int) -> DataFrame:
+    """Parcels (PARCELS) of the runs that shorter strings cover, in order of row and place; a parcel keeps its name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text"):
-            off, data = offsets_of(ids_of(b, "__text"))
-            held = ids_of(b, "__spans")
-            flat, ends = held.flatten(), np.concatenate([[0], np.cumsum(np.nan_to_num(held.value_lengths().to_numpy(zero_copy_only=False)))]).astype(np.int64)
-            lo, hi = (flat.field(i).to_numpy() for i in (0, 1))
-            rows = []
-            for i in range(b.num_rows):
-                raw = memoryview(data)[off[i] : off[i + 1]]
-                a, z = ends[i], ends[i + 1]
-                if a == z:
-                    rows.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), bytes(raw) if with_text else None, []))
-                    continue
-                x, y = union_of(lo[a:z], hi[a:z])
-                rest = b"".join(raw[p:q] for p, q in zip([0, *y.tolist()], [*x.tolist(), len(raw)]))
-                rows.append((len(raw), len(raw) - len(rest), len(x), hashlib.sha256(rest).hexdigest(), rest, [list(p) for p in zip(x.tolist(), y.tolist())]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.list_(pa.int64()))]
-            cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)][: len(names)]
-            yield pa.RecordBatch.from_arrays([*(ids_of(b, c) for c in own), *cols], [*own, *names])
-
-    return read.mapInArrow(run, schema)
+        for (parcel, *_), t in grouped(batches, ["parcel"]):
+            row, lo, hi = _wide(*spans_of([x for x in t.column("short").to_pylist() if x is not None]), length)
+            if not len(row):
+                continue
+            off, data = offsets_of(flat_column(from_ipc(t.column("texts")[0].as_py()), "text"))
+            view = memoryview(data)
+            texts = pa.array([bytes(view[x:y]) for x, y in zip((off[row] + lo).tolist(), (off[row] + hi).tolist())], pa.binary())
+            yield from parcel_rows(parcel, pa.table({"text": texts}), *offsets_of(texts), length, crowd, shards)
+
+    return held.mapInArrow(run, PARCELS)
+
+
+def words_in(raw: bytes, lo: int, hi: int) -> int:
+    """Words of a text that lie whole between two places."""
+    n = len(raw[lo:hi].split())
+    cut = lambda at: 0 < at < len(raw) and not raw[at - 1 : at].isspace() and not raw[at : at + 1].isspace()
+    return max(0, n - (n > 0 and cut(lo)) - (n > 0 and cut(hi)))
+
+
+def removed(docs: DataFrame, text: str = "text", length: int = 400, carry: list[str] | None = None, with_text: bool = True, hot: int = 256, deal: int | None = None, over: int = WORDS, crowd: int = 64, index_bytes: int = INDEX_BYTES, parcel_bytes: int = PARCEL) -> DataFrame:
+    """docs (the columns of carry; all) with n_bytes, n_removed, n_spans, kept_sha256, n_passages and passage_words (repeated passages of over `over` words, and their words), and with_text the rest of the bytes (kept) and the spans removed."""
+    deal = min(deal or DEAL, length)
+    if deal < GRAM:
+        raise ValueError(f"strings of at least {GRAM} bytes are found")
+    kinds = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType(), "n_passages": T.LongType(), "passage_words": T.LongType()}
+    kinds |= {"kept": T.BinaryType(), "spans": T.ArrayType(T.ArrayType(T.LongType()))} if with_text else {}
+    own = [c for c in (docs.columns if carry is None else carry) if c not in kinds]
+    read = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards, crowd = SHARDS_A_PART * parts, min(crowd, hot)
+    parcels = stored(parcelled(read, deal, crowd, shards, parcel_bytes), "parcels")
+    short = stored(repeated(parcels, deal, hot, index_bytes, parts), "spans")
+    if deal < length:
+        inner = stored(regions(with_spans(parcels, parts, short=short), length, crowd, shards), "regions")
+        last = with_spans(parcels, parts, short=short, long=repeated(inner, length, hot, index_bytes, parts))
+    else:
+        last = with_spans(parcels, parts, short=short).withColumn("long", F.lit(None).cast("binary"))
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in own] + [T.StructField(n, k) for n, k in kinds.items()])
+    arrow = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.list_(pa.int64()))]
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in grouped(batches, ["parcel"]):
+            rows = from_ipc(t.column("texts")[0].as_py())
+            off, data = offsets_of(flat_column(rows, "text"))
+            row, lo, hi = spans_of([x for x in t.column("short").to_pylist() if x is not None])
+            far = (row, lo, hi)
+            if deal < length:
+                own_row, own_lo, _ = _wide(row, lo, hi, length)
+                r, x, y = spans_of([x for x in t.column("long").to_pylist() if x is not None])
+                far = (own_row[r], own_lo[r] + x, own_lo[r] + y)
+            cuts = [np.searchsorted(x, np.arange(rows.num_rows + 1)) for x in (row, far[0])]
+            out = []
+            for i in range(rows.num_rows):
+                raw = bytes(memoryview(data)[off[i] : off[i + 1]])
+                a, z = cuts[0][i], cuts[0][i + 1]
+                passages = [n for x, y in zip(lo[a:z].tolist(), hi[a:z].tolist()) if (n := words_in(raw, x, y)) > over]
+                a, z = cuts[1][i], cuts[1][i + 1]
+                x, y = far[1][a:z].tolist(), far[2][a:z].tolist()
+                rest = b"".join(raw[p:q] for p, q in zip([0, *y], [*x, len(raw)])) if x else raw
+                out.append((len(raw), len(raw) - len(rest), len(x), hashlib.sha256(rest).hexdigest(), len(passages), sum(passages), rest, [list(p) for p in zip(x, y)]))
+            cols = [pa.array(c, k) for c, k in zip(zip(*out), arrow)][: len(kinds)]
+            yield pa.RecordBatch.from_arrays([*(flat_column(rows, f"c{i}") for i in range(len(own))), *cols], [*own, *kinds])
+
+    return last.mapInArrow(finish, schema)

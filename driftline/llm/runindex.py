@@ -1,11 +1,13 @@
 """A run-length index over a repetitive collection of strings.
 
-The suffixes of the collection are sorted, the Burrows-Wheeler transform is cut into its runs, and only the ends of
-runs are sampled: for the first and last row of every run the text position and the length it shares with the row
-before (after). Inside a run, stepping one place to the left in the text keeps neighbours together, so a position's
-longest match elsewhere is that of the nearest sampled position to its left, less the distance. Streaming over the text
-once therefore gives the matching statistics of the collection against the rest of itself from about two numbers a
-run.
+The suffixes of the collection are sorted once and its Burrows-Wheeler transform is cut into runs. What is kept is the
+run-compressed transform alone: where each run starts, its symbol, the row to which the LF step takes its first row
+(symbols before it and equal ones in earlier runs, added up over runs), and a sample for each end of a run: the length
+that its first row shares with the row above, and its last row with the row below. No suffix array and no text stays.
+
+Matching statistics are streamed: every string enters at the row of its end mark and is walked to its start by LF steps,
+all strings side by side. Inside a run the step keeps neighbours together, so the longest match elsewhere of a position
+whose row is no end of a run is that of the position to its left, less one; at ends of runs the samples give it.
 """
 
 from __future__ import annotations
@@ -14,108 +16,115 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Symbols packed into the first sorting key, nine bits each (256 bytes and a mark below them).
-PACK = 7
-
 
 @dataclass
 class RunIndex:
-    n: int
-    n_runs: int
-    heads: np.ndarray  # text positions of the first rows of runs, in text order
-    head_match: np.ndarray  # length shared with the row before
-    tails: np.ndarray
-    tail_match: np.ndarray  # length shared with the row after
+    n: int  # symbols, marks included
+    symbols: np.ndarray  # of the runs; 0 for a mark, which is a run of its own
+    starts: np.ndarray  # first rows of the runs, in order
+    base: np.ndarray  # where the LF step takes these rows
+    head_match: np.ndarray  # length that a run's first row shares with the row above
+    tail_match: np.ndarray  # length that a run's last row shares with the row below
+    ends: np.ndarray  # rows of the strings' end marks
+    lengths: np.ndarray  # of the strings
+
+    @property
+    def n_runs(self) -> int:
+        return len(self.starts)
+
+    def step(self, rows: np.ndarray, runs: np.ndarray) -> np.ndarray:
+        """The LF step: rows of the suffixes that are one symbol longer."""
+        return self.base[runs] + (rows - self.starts[runs])
 
     def matching_statistics(self) -> np.ndarray:
-        """For every text position the length of its longest match that starts anywhere else."""
-        out = np.zeros(self.n, np.int64)
-        for at, match in ((self.heads, self.head_match), (self.tails, self.tail_match)):
-            reach = np.full(self.n, -1, np.int64)
-            reach[at] = at + match
-            np.maximum.accumulate(reach, out=reach)
-            np.maximum(out, reach - np.arange(self.n), out=out)
-        return out
-
-
-def suffix_ranks(text: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """The suffix array by doubling, and the ranks by prefixes of growing length. marks: where a string ends; each is a symbol of its own, so no two suffixes are equal and none matches past a mark."""
-    n = len(text)
-    ended = np.zeros(n + PACK, bool)
-    ended[:n] = marks
-    ended[n:] = True
-    symbol = np.zeros(n + PACK, np.int64)
-    symbol[:n] = text.astype(np.int64) + 1
-    key = np.zeros(n, np.int64)
+        """For every position of the collection (a string, its mark, the next string) the length of its longest match that starts anywhere else."""
+        first = np.concatenate([[0], np.cumsum(self.lengths + 1)[:-1]])
+        lasts = np.append(self.starts[1:], self.n) - 1
+        by = np.argsort(-self.lengths, kind="stable")  # long strings first: those still on their way are a prefix
+        left = np.searchsorted(-self.lengths[by], -np.arange(self.lengths.max(initial=0)), side="left")
+        run_of = np.repeat(np.arange(self.n_runs, dtype=np.int32), np.diff(np.append(self.starts, self.n)))  # rank over runs, by row while streaming
+        rows, at = self.ends[by], (first + self.lengths)[by]
+        runs = run_of[rows]
+        reach = np.full(self.n, -1, np.int64)
+        for k in left.tolist():
+            rows = self.step(rows[:k], runs[:k])
+            runs = run_of[rows]
+            at = at[:k] - 1
+            head, tail = rows == self.starts[runs], rows == lasts[runs]
+            best = np.maximum(np.where(head, self.head_match[runs], -1), np.where(tail, self.tail_match[runs], -1))
+            some = np.flatnonzero(best >= 0)
+            reach[at[some]] = at[some] + best[some]
+        # A string's first symbol follows a mark, so it is an end of a run; no match passes a mark.
+        return np.maximum(np.maximum.accumulate(reach) - np.arange(self.n), 0)
+
+
+def suffix_ranks(codes: np.ndarray, bits: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]], int]:
+    """The suffix array, the ranks by prefixes of growing length, and by how much that grows. codes: of the symbols, 0 for a mark; each mark is a symbol of its own, in order of place, so no two suffixes are equal and none matches past a mark."""
+    n, pack = len(codes), 1
+    key = codes.astype(np.int64)
+    while 2 * pack * bits <= 63:
+        key = np.append(key << (pack * bits), np.zeros(pack, np.int64))[:n] | np.append(key[pack:], np.zeros(pack, np.int64))[:n]
+        pack *= 2
+    marks = np.flatnonzero(codes == 0)
     open_ = np.ones(n, bool)
-    own = np.full(n, -1, np.int64)  # the mark that a short prefix runs into
-    for j in range(PACK):
-        end = ended[j : j + n]
-        hit = open_ & end
-        own[hit] = np.flatnonzero(hit) + j
-        open_ &= ~end
-        key = (key << 9) | np.where(open_, symbol[j : j + n], 0)
-    # Prefixes that end in a mark are told apart by it: order by key, then by mark.
-    order = np.lexsort((own, key))
+    for j in range(min(pack, n)):  # j symbols before a mark: what comes after the mark goes
+        at = marks[marks >= j] - j
+        at = at[open_[at]]
+        key[at] = key[at] >> ((pack - j) * bits) << ((pack - j) * bits) if j else 0
+        open_[at] = False
+    order = np.argsort(key, kind="stable")  # prefixes that end in a mark are put in order by it, which is by place
     new = np.empty(n, bool)
-    new[0] = True
-    new[1:] = (key[order][1:] != key[order][:-1]) | (own[order][1:] != own[order][:-1])
+    new[:1] = True
+    key = key[order]
+    new[1:] = (key[1:] != key[:-1]) | ~open_[order[1:]]
+    # A rank is the number of suffixes before its class, so that classes split in place.
+    begin = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(new) - 1
-    levels = [(PACK, rank.astype(np.int32))]
-    k = PACK
-    while True:
-        counts = np.bincount(rank, minlength=n)
-        todo = np.flatnonzero(counts[rank] > 1)
-        if not len(todo):
-            break
-        # Ranks leave gaps: a rank is the number of suffixes before its class, so that classes split in place.
-        base = np.concatenate([[0], np.cumsum(counts)])[:-1] if k == PACK else None
-        if base is not None:
-            rank = base[rank]
-            levels[0] = (PACK, rank.astype(np.int32))
-        second = np.where(todo + k < n, rank[np.minimum(todo + k, n - 1)], -1)
-        pair = rank[todo] * np.int64(n + 1) + second + 1
-        by = np.argsort(pair, kind="stable")
+    rank[order] = begin
+    alone = new & np.append(new[1:], True)
+    todo = order[~alone]
+    ways, width = (3, 21) if n < (1 << 21) - 1 else (2, 31)
+    k, levels = pack, [(pack, rank.astype(np.int32))]
+    while len(todo):
+        pair = rank[todo]
+        for i in range(1, ways):
+            at = todo + i * k
+            pair = (pair << width) | np.where(at < n, rank[np.minimum(at, n - 1)] + 1, 0)
+        by = np.argsort(pair)
         todo, pair = todo[by], pair[by]
         fresh = np.empty(len(todo), bool)
         fresh[0] = True
         fresh[1:] = pair[1:] != pair[:-1]
         old = rank[todo]
-        first_of_class = np.empty(len(todo), bool)
-        first_of_class[0] = True
-        first_of_class[1:] = old[1:] != old[:-1]
+        first = np.empty(len(todo), bool)
+        first[0] = True
+        first[1:] = old[1:] != old[:-1]
         place = np.arange(len(todo))
-        class_start = np.maximum.accumulate(np.where(first_of_class, place, 0))
-        sub_start = np.maximum.accumulate(np.where(fresh, place, 0))
-        rank = rank.copy()
-        rank[todo] = old + sub_start - class_start
-        k *= 2
+        rank[todo] = old + np.maximum.accumulate(np.where(fresh, place, 0)) - np.maximum.accumulate(np.where(first, place, 0))
+        todo = todo[~(fresh & np.append(fresh[1:], True))]
+        k *= ways
         levels.append((k, rank.astype(np.int32)))
     sa = np.empty(n, np.int64)
-    if len(levels) == 1:
-        sa[rank] = np.arange(n)
-    else:
-        sa[levels[-1][1]] = np.arange(n)
-    return sa, levels
+    sa[rank] = np.arange(n)
+    return sa, levels, ways
 
 
-def shared(a: np.ndarray, b: np.ndarray, text: np.ndarray, marks: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
+def shared(a: np.ndarray, b: np.ndarray, codes: np.ndarray, levels: list[tuple[int, np.ndarray]], ways: int) -> np.ndarray:
     """Lengths that the suffixes at a and at b have in common."""
-    n = len(text)
-    a, b = a.copy(), b.copy()
-    out = np.zeros(len(a), np.int64)
+    n, pack = len(codes), levels[0][0]
+    a, b, out = a.copy(), b.copy(), np.zeros(len(a), np.int64)
     for k, rank in reversed(levels):
-        ok = (a < n) & (b < n)
-        same = ok & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)]) & (a != b)
-        out[same] += k
-        a[same] += k
-        b[same] += k
-    live = np.ones(len(a), bool)
-    for _ in range(PACK - 1):
-        live &= (a < n) & (b < n)
-        x, y = np.minimum(a, n - 1), np.minimum(b, n - 1)
-        live &= (text[x] == text[y]) & ~marks[x] & ~marks[y]
+        for _ in range(ways - 1):
+            same = np.flatnonzero((a < n) & (b < n) & (a != b) & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)]))
+            if not len(same):
+                break
+            out[same] += k
+            a[same] += k
+            b[same] += k
+    live = np.arange(len(a))
+    for _ in range(pack - 1):
+        live = live[(a[live] < n) & (b[live] < n)]
+        live = live[(codes[a[live]] == codes[b[live]]) & (codes[a[live]] > 0)]
         out[live] += 1
         a[live] += 1
         b[live] += 1
@@ -123,20 +132,27 @@ def shared(a: np.ndarray, b: np.ndarray, text: np.ndarray, marks: np.ndarray, le
 
 
 def build(strings: list[bytes]) -> tuple[RunIndex, np.ndarray]:
-    """The index of the strings, each followed by a mark, and where each starts in its text."""
-    text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
+    """The index of the strings, each followed by a mark, and where each starts in the collection."""
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    marks = np.zeros(len(text), bool)
-    marks[starts + lengths] = True
-    n = len(text)
-    sa, levels = suffix_ranks(text, marks)
-    before = sa - 1  # -1 is the last mark
-    symbol = np.where(marks[before], 256 + np.arange(n), text[before].astype(np.int64))  # marks differ from each other
-    change = symbol[1:] != symbol[:-1]
-    head, tail = np.flatnonzero(np.concatenate([[True], change])), np.flatnonzero(np.concatenate([change, [True]]))
-    head_match, tail_match = np.zeros(len(head), np.int64), np.zeros(len(tail), np.int64)
-    head_match[1:] = shared(sa[head[1:] - 1], sa[head[1:]], text, marks, levels)
-    tail_match[:-1] = shared(sa[tail[:-1]], sa[tail[:-1] + 1], text, marks, levels)
-    by_head, by_tail = np.argsort(sa[head]), np.argsort(sa[tail])
-    return RunIndex(n, len(head), sa[head][by_head], head_match[by_head], sa[tail][by_tail], tail_match[by_tail]), starts
+    first = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+    text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
+    marks = first + lengths
+    used = np.bincount(text, minlength=256) > 0
+    code = np.cumsum(used)
+    codes = code[text]
+    codes[marks] = 0
+    sa, levels, ways = suffix_ranks(codes, int(code[-1]).bit_length())
+    before = codes[sa - 1]  # that of the first suffix is the last mark
+    change = (before[1:] != before[:-1]) | (before[1:] == 0)
+    starts = np.flatnonzero(np.concatenate([[True], change]))
+    lasts = np.append(starts[1:], len(sa)) - 1
+    symbols, size = before[starts], np.diff(np.append(starts, len(sa)))
+    by = np.argsort(symbols, kind="stable")
+    base = np.empty(len(starts), np.int64)
+    base[by] = np.cumsum(size[by]) - size[by]
+    head_match, tail_match = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    # The row above a run's first row is the last one of the run before.
+    head_match[1:] = shared(sa[lasts[:-1]], sa[starts[1:]], codes, levels, ways)
+    tail_match[:-1] = head_match[1:]
+    ends = levels[-1][1][marks].astype(np.int64)
+    return RunIndex(len(sa), symbols, starts, base, head_match, tail_match, ends, lengths), first
