@@ -52,7 +52,7 @@ MOST_STARTS = 4096
 #: Bytes that one run-length index takes; parts are gathered up to this.
 INDEX_BYTES = 1 << 20
 #: Bytes of text in a parcel.
-PARCEL = 8 << 20
+PARCEL = 4 << 20
 #: Parts that a shuffle partition answers for, one at a time.
 SHARDS_A_PART = 4
 _rng = np.random.default_rng(20240501)
