@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import text as tx
+from driftline.session import small
 
 MASK = "[MASK]"
 _WORD = re.compile(r"[^\W\d_](?:[\w'\-]*[^\W\d_])?")
@@ -25,9 +26,11 @@ def _spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: [{"token": w, "begin": a, "end": b} for w, a, b in spans_of(t or "")])
 
 
-def token_spans(texts: DataFrame) -> DataFrame:
-    """The columns of texts with token, begin, end: a row for each word and its place in the text."""
-    return texts.select("*", F.explode(F.pandas_udf(_spans, SPANS)("text")).alias("s")).select(*texts.columns, "s.token", "s.begin", "s.end")
+def token_spans(texts: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """The columns of texts with token, begin, end: a row for each word (only: for these words) and its place in the text."""
+    spans = F.pandas_udf(_spans, SPANS)("text")
+    spans = spans if only is None else F.filter(spans, lambda s: s["token"].isin(*only))
+    return texts.select("*", F.explode(spans).alias("s")).select(*texts.columns, "s.token", "s.begin", "s.end")
 
 
 def dict_matches(texts: DataFrame, terms: list[str]) -> DataFrame:
@@ -58,59 +61,63 @@ def dict_matches(texts: DataFrame, terms: list[str]) -> DataFrame:
     return texts.select("*", F.explode(find("text")).alias("s")).select(*texts.columns, "s.token", "s.begin", "s.end")
 
 
-def sentence_spans(text: str) -> list[tuple[int, int]]:
-    """Sentences end after a run of .!? that white space or the end follows."""
-    out, at = [], 0
-    for m in re.finditer(r"[.!?]+(?=\s|$)", text):
-        out.append((at, m.end()))
-        at = m.end()
-    if text[at:].strip():
-        out.append((at, len(text)))
-    return out
+#: Characters beside an occurrence that nearly always hold its context.
+NEAR = 600
 
 
-def context_of(text: str, begin: int, end: int, least: int = 7, side: int = 32) -> str | None:
-    """The sentence around an occurrence (the whole text, where it has under `least` words) with that occurrence masked and at most `side` words on each side; null where it is in no sentence."""
-    span = next(((a, b) for a, b in sentence_spans(text) if a <= begin and end <= b), None)
-    if span is None:
-        return None
-    a, b = span
-    if len(text[a:b].split()) < least:
-        a, b = 0, len(text)
-    left, right = text[a:begin].split(), text[end:b].split()
-    before, after = (text[a:begin][-1:].isspace() or not left), (text[end:b][:1].isspace() or not right)
-    middle = MASK
-    if not before:
-        middle = left.pop() + middle
-    if not after:
-        middle += right.pop(0)
-    return " ".join([*left[-side:], middle, *right[:side]])
+def _squeezed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, tx.SPACE, " "))
 
 
-def _context(text: pd.Series, begin: pd.Series, end: pd.Series) -> pd.Series:
-    return pd.Series([context_of(t, a, b) for t, a, b in zip(text, begin, end)], dtype=object)
+def _n_words(text: Column) -> Column:
+    """Words of a squeezed text."""
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
 
 
-def contexts(occurrences: DataFrame) -> DataFrame:
-    """Occurrences (text, begin, end) with context; drop_reason is mask_lost where there is none."""
-    out = occurrences.withColumn("context", F.pandas_udf(_context, "string")("text", "begin", "end"))
-    return out.withColumn("drop_reason", F.when(F.col("context").isNull(), "mask_lost"))
+def contexts(occurrences: DataFrame, least: int = 7, side: int = 32) -> DataFrame:
+    """Occurrences (text, begin, end) with context: the sentence around one (the whole text, where it has under `least` words) with that occurrence masked and at most `side` words on each side; words and mask stand apart by one space. drop_reason is mask_lost where the place is not in the text.
+
+    A sentence ends after a run of .!? that white space or the end of the text follows. All of it stays inside the JVM,
+    in steps, so that each part is worked out once. Only NEAR characters on each side are looked at where they hold more
+    words than a context takes; else the whole side.
+    """
+    text, begin, end = (F.col(c) for c in ("text", "begin", "end"))
+    inside = (begin >= 0) & (begin < end) & (end <= F.length(text))
+    enough = lambda part: _n_words(_squeezed(part)) > max(side, least) + 1  # noqa: E731  the word at the cut may be a part
+    out = occurrences.withColumns({"__last": F.substring(text, F.greatest(begin - NEAR, F.lit(0)) + 1, F.least(begin, F.lit(NEAR))), "__first": F.substring(text, end + 1, F.lit(NEAR)), "__own": F.substring(text, begin + 1, end - begin)})
+    out = out.withColumns({"__l": F.when(enough(F.col("__last")), F.col("__last")).otherwise(F.substring(text, F.lit(1), begin)), "__r": F.when(enough(F.col("__first")), F.col("__first")).otherwise(F.substring(text, end + 1, F.length(text)))})
+    space = r"[ \t\n\r\f\x0B]"
+    out = out.withColumns({"__nl": F.regexp_replace("__l", rf"(?s)^.*[.!?](?={space})", ""), "__nr": F.regexp_extract("__r", rf"(?s)^(.*?[.!?]+)(?={space}|\z)", 1)})
+    out = out.withColumn("__nr", F.when(F.col("__nr") == "", F.col("__r")).otherwise(F.col("__nr")))
+    out = out.withColumn("__sentence", _squeezed(F.concat("__nl", "__own", "__nr"))).withColumn("__whole", _n_words(F.col("__sentence")) < least)
+    out = out.withColumns({"__b": F.split(_squeezed(F.when(F.col("__whole"), F.col("__l")).otherwise(F.col("__nl"))), " "), "__a": F.split(_squeezed(F.when(F.col("__whole"), F.col("__r")).otherwise(F.col("__nr"))), " ")})
+    words = F.concat_ws(" ", F.array_join(F.slice("__b", F.greatest(F.size("__b") - side, F.lit(0)) + 1, F.lit(side)), " "), F.lit(MASK), F.array_join(F.slice("__a", F.lit(1), F.lit(side)), " "))
+    out = out.withColumn("context", F.when(inside, F.trim(words)))
+    return out.select(*[c for c in occurrences.columns if c not in ("context", "drop_reason")], "context", F.when(F.col("context").isNull(), "mask_lost").alias("drop_reason"))
 
 
 def gated(occurrences: DataFrame, eligible: DataFrame) -> DataFrame:
-    """Occurrences (token, half_year) of target words, with drop_reason before_eligible where the word was not eligible yet. The join comes before any costly scoring."""
-    own = eligible.select(F.col("word").alias("token"), "eligible_from")
+    """Occurrences (token, half_year) of target words, with drop_reason before_eligible where the word was not eligible yet. The join comes before any costly scoring; the word list is broadcast where it is small by bytes, so that occurrences need no shuffle by a word."""
+    own = small(eligible.select(F.col("word").alias("token"), "eligible_from"))
     return occurrences.join(own, "token").withColumn("drop_reason", F.when(F.col("half_year") < F.col("eligible_from"), "before_eligible"))
 
 
+#: Runs of word characters with what belongs to them inside, or single signs.
+PIECES = r"[\p{L}\p{N}_]+(?:[-'.][\p{L}\p{N}_]+)*|[^\s\p{L}\p{N}_]"
+
+
+def pieces(text: Column) -> Column:
+    """Tokens of a text with punctuation set apart; hyphens, apostrophes and points inside a word stay in it."""
+    return F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
+
+
 def masked_units(texts: DataFrame, keywords: list[str], longest: int | None = 150, by_sentence: bool = False) -> DataFrame:
-    """Units (records or sentences) of at most so many characters, once for each keyword in them, its first occurrence masked: record_id, half_year, unit_no, keyword, masked. Tokens are runs of non-space; case counts."""
+    """Units (records or sentences) of at most so many characters, once for each keyword in them, its first occurrence masked: record_id, half_year, unit_no, keyword, masked. Tokens are words and signs (pieces); case counts."""
     units = tx.sentences(F.col("text")) if by_sentence else F.array("text")
     out = texts.select("record_id", "half_year", F.posexplode(units).alias("unit_no", "unit"))
     if longest and longest > 0:
         out = out.where(F.length("unit") <= longest)
-    toks = F.split("unit", " ")
-    out = out.withColumn("tokens", toks).withColumn("keyword", F.explode(F.array_intersect(F.array(*[F.lit(k) for k in sorted(set(keywords))]), F.col("tokens"))))
+    out = out.withColumn("tokens", pieces(F.col("unit"))).withColumn("keyword", F.explode(F.array_intersect(F.array(*[F.lit(k) for k in sorted(set(keywords))]), F.col("tokens"))))
     at = F.array_position("tokens", F.col("keyword")).cast("int")
     masked = F.concat(F.slice("tokens", F.lit(1), at - 1), F.array(F.lit(MASK)), F.slice("tokens", at + 1, F.size("tokens")))
     return out.select("record_id", "half_year", "unit_no", "keyword", F.array_join(masked, " ").alias("masked"))
@@ -129,6 +136,61 @@ def token_window(texts: DataFrame, targets: list[str], side: int = 64) -> DataFr
     return out.select("record_id", "pos", "token", F.array_join(F.slice("tokens", first + 1, F.col("pos") + side + 1 - first), " ").alias("window"))
 
 
+def centred(tokens: Column, longest: int, mask: str = MASK) -> Column:
+    """At most `longest` less two tokens (a model adds a mark at either end) with the mask in the middle, as far as both ends allow; without a mask the middle of the text."""
+    n, budget = F.size(tokens), longest - 2
+    at = F.array_position(tokens, mask).cast("int") - 1
+    middle = F.when(at >= 0, at).otherwise(F.floor(n / 2).cast("int"))
+    first = F.least(F.greatest(middle - budget // 2, F.lit(0)), n - budget)
+    return F.when(n > budget, F.slice(tokens, first + 1, F.lit(budget))).otherwise(tokens)
+
+
+def words_as_pieces(text: str) -> list[tuple[str, int, int]]:
+    """A tokenizer for span_embeddings: the words of a text."""
+    return spans_of(text)
+
+
+class SpanEmbedder:
+    """A Python model for spans: load() makes it once a worker, tokens(text) cuts a text into (piece, begin, end), hidden(model, windows) gives for each window (a list of pieces) an array of a vector for each piece."""
+
+    def __init__(self, load: Callable[[], object], hidden: Callable[[object, list[list[str]]], list], tokens: Callable[[str], list[tuple[str, int, int]]] = words_as_pieces):
+        self.load, self.hidden, self.tokens = load, hidden, tokens
+
+
+def span_embeddings(occurrences: DataFrame, embedder: SpanEmbedder, side: int = 64, batch: int = 128) -> DataFrame:
+    """Occurrences (text, begin, end) with embedding: the mean hidden vector of the pieces that lie in the span, in a window of `side` pieces around them; null (skipped) where no piece does."""
+    load, hidden, tokens = embedder.load, embedder.hidden, embedder.tokens
+
+    @F.pandas_udf("array<double>")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        import numpy as np
+
+        model, last, cut = load(), None, []
+        for text, begin, end in parts:
+            out: list = [None] * len(text)
+            asked: list[tuple[int, list[str], list[int]]] = []
+            for i, (t, a, z) in enumerate(zip(text, begin, end)):
+                if t != last:  # occurrences of a text follow each other
+                    last, cut = t, tokens(t or "")
+                own = [k for k, (_, p, q) in enumerate(cut) if q > a and p < z]
+                if own:
+                    first = max(0, own[0] - side)
+                    asked.append((i, [w for w, _, _ in cut[first : own[-1] + 1 + side]], [k - first for k in own]))
+            for at in range(0, len(asked), batch):
+                some = asked[at : at + batch]
+                for (i, _, own), h in zip(some, hidden(model, [w for _, w, _ in some])):
+                    out[i] = np.asarray(h, float)[own].mean(axis=0).tolist()
+            yield pd.Series(out, dtype=object)
+
+    return occurrences.withColumn("embedding", run("text", "begin", "end"))
+
+
+def embedding_stats(embedded: DataFrame) -> DataFrame:
+    """matched, embedded and skipped occurrences, and whether they add up."""
+    out = embedded.agg(F.count("*").alias("matches_found"), F.count("embedding").alias("embedded"), F.count_if(F.col("embedding").isNull()).alias("skipped_no_tokens"))
+    return out.withColumn("balanced", F.col("matches_found") == F.col("embedded") + F.col("skipped_no_tokens"))
+
+
 def first_place(text: Column, word: Column) -> Column:
     """Where a whole word first stands in a text (1-based, 0 if nowhere), without regard to case."""
     return F.regexp_instr(text, F.concat(F.lit(r"(?i)\b"), word, F.lit(r"\b")))

@@ -151,11 +151,33 @@ def variants(term: Column) -> Column:
     return F.filter(F.array_distinct(tried), lambda v: v.isNotNull() & (v != term))
 
 
-def variant_rescue(freq: DataFrame, terms: DataFrame) -> DataFrame:
-    """Terms that are no word themselves, with the variants that are, and their counts."""
-    have = freq.groupBy(F.col("word").alias("variant")).agg(F.sum("c").alias("n"))
-    absent = terms.join(have.select(F.col("variant").alias("term")), "term", "left_anti")
-    return absent.select("term", F.explode(variants(F.col("term"))).alias("variant")).join(have, "variant")
+def variant_rescue(freq: DataFrame, terms: DataFrame, floors: tuple[float, ...] = ABSOLUTE_FLOORS) -> DataFrame:
+    """floor, term, variants, rescued: terms that are words, but reach the floor in no half-year, with their variants that are words (joined by `;`), and whether term and variants together reach it in some half-year."""
+    own = terms.join(freq.select(F.col("word").alias("term")).distinct(), "term", "left_semi").distinct()
+    tried = own.select("term", F.explode(variants(F.col("term"))).alias("word"))
+    near = tried.join(freq.select("word").distinct(), "word", "left_semi").groupBy("term").agg(F.array_join(F.array_sort(F.collect_set("word")), ";").alias("variants"))  # seven a term at most
+    cells = tried.withColumn("own", F.lit(0)).unionByName(own.select("term", F.col("term").alias("word"), F.lit(1).alias("own"))).join(freq, "word")
+    by = cells.groupBy("term", "half_year").agg(F.sum("c").alias("together"), F.sum(F.col("c") * F.col("own")).alias("alone"))
+    top = by.groupBy("term").agg(F.max("alone").alias("alone"), F.max("together").alias("together"))
+    grid = F.broadcast(freq.sparkSession.createDataFrame([(float(f),) for f in floors], "floor double"))
+    lost = top.crossJoin(grid).where(F.col("alone") < F.col("floor")).join(near, "term", "left")
+    return lost.select("floor", "term", F.coalesce("variants", F.lit("")).alias("variants"), (F.col("together") >= F.col("floor")).alias("rescued"))
+
+
+def positive_vocabulary(freq: DataFrame, half_year: str) -> DataFrame:
+    """The words that occur in a half-year."""
+    return freq.where((F.col("half_year") == half_year) & (F.col("c") > 0)).select("word").distinct()
+
+
+def first_words(freq: DataFrame, n: int) -> DataFrame:
+    """Cells of the first n words by name; each task keeps n words at most before they meet."""
+    own = freq.select("word").distinct().orderBy("word").limit(n)
+    return freq.join(F.broadcast(own), "word", "left_semi")  # n is a parameter
+
+
+def unpivoted(wide: DataFrame, by: str = "half_year", name: str = "word", value: str = "value") -> DataFrame:
+    """A wide table (a row for each label, a column for each name) as a long one."""
+    return wide.unpivot(by, [c for c in wide.columns if c != by], name, value)
 
 
 def log_rate(freq: DataFrame) -> DataFrame:

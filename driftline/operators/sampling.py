@@ -27,6 +27,12 @@ def weighted(rows: DataFrame, k: int, weight: str, key: str, seed: int = 0) -> D
     return rows.where(F.col(weight) > 0).withColumn("priority", F.pow(unit(seed, key), 1 / F.col(weight).cast("double"))).orderBy(F.col("priority").desc(), key).limit(k)
 
 
+def sample(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """n rows, uniformly; each task keeps n at most."""
+    return rows.orderBy(draw(seed, key), key).limit(n)
+
+
 def split(rows: DataFrame, k: int, key: str, seed: int = 0) -> DataFrame:
-    """rows with part: pilot for k of them, heldout for the rest. For lists of words, which are short."""
-    return rows.withColumn("part", F.when(F.row_number().over(Window.orderBy(draw(seed, key), key)) <= k, "pilot").otherwise("heldout"))
+    """rows with part: pilot for k of them, heldout for the rest. Keys are different; the k keys of the pilot (a parameter) go to each task."""
+    pilot = sample(rows.select(key), k, key, seed).select(key, F.lit("pilot").alias("part"))
+    return rows.join(F.broadcast(pilot), key, "left").select(*rows.columns, F.coalesce("part", F.lit("heldout")).alias("part"))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.session import small
+
 RANKS = (5, 10, 15, 20, 50)
 
 
@@ -40,11 +42,13 @@ class CountScorer:
         self.smoothing = smoothing
 
     def logits(self, contexts: DataFrame) -> DataFrame:
-        """contexts: ctx, left, right (the words around the mask). Only tokens seen on a side are scored."""
-        a = contexts.join(self.pairs, contexts["left"] == self.pairs["before"]).select("ctx", "token", F.col("n").alias("l"), F.lit(0).alias("r"))
-        b = contexts.join(self.pairs.select(F.col("token").alias("right"), F.col("before").alias("token"), "n"), "right").select("ctx", "token", F.lit(0).alias("l"), F.col("n").alias("r"))
-        both = a.unionByName(b).groupBy("ctx", "token").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-        return both.select("ctx", "token", (F.ln(F.col("l") + self.smoothing) + F.ln(F.col("r") + self.smoothing)).alias("logit"))
+        """contexts: ctx, left, right (the words around the mask). Only tokens seen on a side are scored, once for equal surroundings."""
+        asked = contexts.select("left", "right").distinct()
+        a = asked.join(self.pairs.withColumnRenamed("before", "left"), "left").select("left", "right", "token", F.col("n").alias("l"), F.lit(0).alias("r"))
+        b = asked.join(self.pairs.select(F.col("token").alias("right"), F.col("before").alias("token"), "n"), "right").select("left", "right", "token", F.lit(0).alias("l"), F.col("n").alias("r"))
+        both = a.unionByName(b).groupBy("left", "right", "token").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+        scored = both.select("left", "right", "token", (F.ln(F.col("l") + self.smoothing) + F.ln(F.col("r") + self.smoothing)).alias("logit"))
+        return contexts.select("ctx", "left", "right").join(scored, ["left", "right"]).select("ctx", "token", "logit")
 
 
 class PandasScorer:
@@ -70,22 +74,30 @@ def vocabulary_exclusions(vocabulary: DataFrame, token: str = "token") -> DataFr
     return vocabulary.where(t.rlike(r"^\[.*\]$") | t.startswith("##") | ~t.rlike(r"[\p{L}\p{N}]"))
 
 
+def term_ids(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(id, term) of the terms that are one token of a vocabulary (token, id); terms of several pieces are left out, and that none is left is an error."""
+    out = small(terms.select("term").distinct()).join(vocabulary.select(F.col("token").alias("term"), "id"), "term").groupBy("id").agg(F.max("term").alias("term"))
+    if out.isEmpty():
+        raise ValueError("no term is a single token of the vocabulary")
+    return out
+
+
 def mlm_score(logits: DataFrame, excluded: Column | None = None) -> DataFrame:
-    """ctx, best_rank, soft_score: the rank of the best topic token (ties share it) and the topic's probability. Excluded tokens take no part."""
+    """ctx, best_rank, soft_score: the rank of the best topic token (ties share it) and the topic's probability. Excluded tokens take no part. No context's vocabulary is sorted or gathered: the largest logits come first, from partial sums, then the sums over them."""
     rows = logits if excluded is None else logits.where(~excluded)
-    w = Window.partitionBy("ctx")
-    rows = rows.withColumns({"mx": F.max("logit").over(w), "best": F.max(F.when(F.col("topic"), F.col("logit"))).over(w)})
-    e = F.exp(F.col("logit") - F.col("mx"))
     by = [c for c in ("ctx", "half_year", "word") if c in rows.columns]
+    tops = rows.groupBy("ctx").agg(F.max("logit").alias("mx"), F.max(F.when(F.col("topic"), F.col("logit"))).alias("best"))
+    rows = rows.select(*by, "topic", "logit").join(tops, "ctx")
+    e = F.exp(F.col("logit") - F.col("mx"))
     return rows.groupBy(*by).agg((1 + F.sum(F.when(F.col("logit") > F.col("best"), 1).otherwise(0))).cast("long").alias("best_rank"), (F.sum(F.when(F.col("topic"), e).otherwise(0.0)) / F.sum(e)).alias("soft_score"))
 
 
 def top_k(logits: DataFrame, k: int = 50) -> DataFrame:
-    """The k likeliest tokens of each context with rank and probability over the whole vocabulary; ties by token."""
-    w = Window.partitionBy("ctx")
-    rows = logits.withColumn("e", F.exp(F.col("logit") - F.max("logit").over(w)))
-    rows = rows.withColumns({"p": F.col("e") / F.sum("e").over(w), "rank": F.row_number().over(w.orderBy(F.col("logit").desc(), "token"))})
-    return rows.where(F.col("rank") <= k).drop("e")
+    """The k likeliest tokens of each context with rank and probability over the whole vocabulary; ties by token. Ranks are cut before the shuffle, so that k tokens of a context leave a task; the vocabulary only goes into partial sums."""
+    best = logits.withColumn("rank", F.row_number().over(Window.partitionBy("ctx").orderBy(F.col("logit").desc(), "token"))).where(F.col("rank") <= k)
+    tops = logits.groupBy("ctx").agg(F.max("logit").alias("mx"))
+    total = logits.select("ctx", "logit").join(tops, "ctx").groupBy("ctx", "mx").agg(F.sum(F.exp(F.col("logit") - F.col("mx"))).alias("total"))
+    return best.join(total, "ctx").withColumn("p", F.exp(F.col("logit") - F.col("mx")) / F.col("total")).select(*logits.columns, "p", "rank")
 
 
 def informative(ranked: DataFrame, keyword: Column, threshold: int = 5, excluded: Column | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import text as tx
+from driftline.session import small
 
 
 def monthly(instances: DataFrame, alias: Column | None = None) -> DataFrame:
@@ -35,4 +36,4 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def group_rates(periods: DataFrame, groups: DataFrame) -> DataFrame:
     """group, period: mean and population deviation of the words' rates."""
-    return periods.join(F.broadcast(groups), "word").groupBy("group", "period").agg(F.avg(F.col("hits") / F.col("total")).alias("mean_rate"), F.stddev_pop(F.col("hits") / F.col("total")).alias("std_rate"), F.count("*").alias("n_words"))
+    return periods.join(small(groups), "word").groupBy("group", "period").agg(F.avg(F.col("hits") / F.col("total")).alias("mean_rate"), F.stddev_pop(F.col("hits") / F.col("total")).alias("std_rate"), F.count("*").alias("n_words"))

@@ -216,7 +216,13 @@ def nearest_profiles(spark, d):
     return _near(spark, d).withColumn("place", F.col("place").cast("long"))
 
 
-@query()
+_DRAW = "md5('0:' || target || ':' || word), word"
+
+
+@query(f"""WITH {q.SIGNAL}, x AS (SELECT a.word AS target, b.word, round(sqrt(sum((a.value - b.value) ** 2)), 6) AS distance FROM signal a JOIN signal b USING (half_year) WHERE a.word IN ('Brand#1', 'Brand#7') AND b.word NOT IN ('Brand#1', 'Brand#7') GROUP BY ALL),
+near AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY distance, word) AS place FROM x QUALIFY place <= 5), a AS (SELECT target, word FROM near WHERE target = 'Brand#1' AND place <= 3 ORDER BY {_DRAW} LIMIT 1),
+b AS (SELECT target, word FROM (SELECT *, row_number() OVER (ORDER BY place) AS i FROM near WHERE target = 'Brand#7' AND word NOT IN (SELECT word FROM a)) WHERE i <= 3 ORDER BY {_DRAW} LIMIT 1)
+SELECT * FROM a UNION ALL SELECT * FROM b""")
 def pilot_negatives(spark, d):
     return vx.greedy_negatives(_near(spark, d), 1, 3)
 
@@ -297,9 +303,19 @@ def bh_qvalues(spark, d):
     return series.q_values(series.upward(signal(spark, d)).select("word", p.alias("p_value")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {q.SEGMENTS}, rise AS (SELECT word, max(-s[t + 1] * sqrt(n / CAST(t * (n - t) AS DOUBLE))) AS max_up_stat FROM (SELECT *, unnest(range(3, n - 2)) AS t FROM sums) GROUP BY 1),
+up AS (SELECT word, arg_max(half_year, jump) AS onset, arg_max(level_before, jump) AS b, arg_max(level_after, jump) AS a, max(jump) AS jump FROM jumps WHERE jump > 0 GROUP BY 1),
+told AS (SELECT word, count(*) AS k, string_agg(half_year, ';' ORDER BY half_year) AS held FROM jumps GROUP BY 1)
+SELECT word, n AS n_valid, coalesce(k, 0) AS n_changepoints, coalesce(held, '') AS changepoints, coalesce(onset, '') AS onset_half_year, b AS level_before, a AS level_after, coalesce(jump, 0e0) AS shift, max_up_stat
+FROM sums LEFT JOIN told USING (word) LEFT JOIN up USING (word) LEFT JOIN rise USING (word)""", "level_before level_after shift max_up_stat")
 def changepoints(spark, d):
-    return series.change_points(signal(spark, d), WIDE).drop("jumps")
+    return series.change_points(signal(spark, d), WIDE).drop("jumps", "p_value")
+
+
+@query()
+def rise_p_values(spark, d):
+    """By permutations of NumPy's generator, which SQL does not have."""
+    return series.change_points(signal(spark, d), WIDE).select("word", "p_value")
 
 
 def results(spark, d):
@@ -311,7 +327,7 @@ def cpd_results(spark, d):
     return series.with_rates(results(spark, d)).drop("jumps")
 
 
-@query()
+@query(f"WITH RECURSIVE {q.SEGMENTS} SELECT * FROM jumps", "level_before level_after jump")
 def cpd_changepoints(spark, d):
     return series.jump_table(series.change_points(signal(spark, d), WIDE))
 
@@ -326,7 +342,7 @@ def cpd_scoreboard(spark, d):
     return series.scoreboard(series.evaluated(results(spark, d), GROUPS))
 
 
-@query()
+@query(f"WITH RECURSIVE {q.SEGMENTS} SELECT half_year, word, value, segment, change, level FROM levelled", "value level")
 def cpd_fitted(spark, d):
     s = signal(spark, d)
     return series.fitted(s, series.change_points(s, WIDE))
@@ -374,20 +390,27 @@ def stream_snapshot(spark, d):
     return changes.snapshot(changes.latest(arriving(spark, d)), RULES).drop("jumps")
 
 
-@query()
+@query(f"""WITH {q.TOKENS}, pairs AS (SELECT a.token AS before, b.token AS after, count(*) AS n FROM tokens a JOIN tokens b ON a.record_id = b.record_id AND b.pos = a.pos + 1 GROUP BY ALL),
+c AS (SELECT t.record_id || ':' || t.pos AS ctx, l.token AS lw, r.token AS rw FROM tokens t JOIN tokens l ON t.record_id = l.record_id AND l.pos = t.pos - 1 JOIN tokens r ON t.record_id = r.record_id AND r.pos = t.pos + 1 WHERE t.token IN ('ononst', 'inoran')),
+s AS (SELECT ctx, after AS token, n AS l, 0 AS r FROM c JOIN pairs ON before = lw UNION ALL SELECT ctx, before, 0, n FROM c JOIN pairs ON after = rw),
+g AS (SELECT ctx, token, ln(sum(l) + 0.1e0) + ln(sum(r) + 0.1e0) AS logit FROM s GROUP BY ALL), e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY ctx)) AS e FROM g)
+SELECT ctx, token, row_number() OVER (PARTITION BY ctx ORDER BY logit DESC, token) AS rank, e / sum(e) OVER (PARTITION BY ctx) AS p FROM e QUALIFY rank <= 5""", "p")
 def count_lm_scores(spark, d):
-    """Contexts of target words scored by bigram counts of the corpus: the five likeliest words for each."""
+    """Contexts of two target words (the query's own term list) scored by bigram counts of the corpus: the five likeliest words for each."""
     tokens = stored(fq.tokens(fx.texts(spark, d)), "tokens")
     near = lambda k, name: tokens.select("record_id", (F.col("pos") - k).alias("pos"), F.col("token").alias(name))
     at = tokens.where(F.col("token").isin("ononst", "inoran")).join(near(-1, "left"), ["record_id", "pos"]).join(near(1, "right"), ["record_id", "pos"])
-    contexts = at.select(F.xxhash64("record_id", "pos").alias("ctx"), "left", "right")
+    contexts = at.select(F.concat_ws(":", "record_id", "pos").alias("ctx"), "left", "right")
     logits = sc.CountScorer(tokens).logits(contexts)
-    return sc.top_k(logits, 5).select("ctx", "token", "rank", "p")
+    return sc.top_k(logits, 5).select("ctx", "token", F.col("rank").cast("long").alias("rank"), "p")
 
 
-@query()
+@query(f"""WITH {q.COUNTS}, {q.SPANS.removeprefix(q.TEXTS + ", ")}, el AS (SELECT word AS token, min(half_year) AS eligible_from FROM freq WHERE c >= 30 GROUP BY 1),
+own AS (SELECT s.* FROM spans s JOIN el ON s.token = el.token AND s.half_year >= eligible_from), {q.contexts("own")} SELECT * FROM context""")
 def eligible_contexts(spark, d):
     """Masked contexts of the words that were eligible: spans, the gate, then the context."""
-    spans = cx.token_spans(fx.texts(spark, d))
-    words = fq.eligible_from(fq.prefiltered(fq.counts(fx.texts(spark, d))), 30)
-    return cx.contexts(cx.gated(spans, words).where("drop_reason IS NULL")).select("record_id", "half_year", "token", "begin", "context", "drop_reason")
+    texts = fx.texts(spark, d)
+    words = fq.eligible_from(fq.prefiltered(fq.counts(texts)), 30)
+    spans = cx.token_spans(texts).drop("text")  # texts meet only those that pass the gate
+    kept = cx.gated(spans, words).where("drop_reason IS NULL").join(texts.select("record_id", "text"), "record_id")
+    return cx.contexts(kept).select("record_id", "half_year", "token", "begin", "context", "drop_reason")

@@ -11,6 +11,7 @@ from driftline.operators import frequency as fq
 from driftline.operators import sampling
 from driftline.plans import sql as q
 from driftline.plans.registry import query
+from driftline.session import small
 from driftline.sources import corpus as cp
 from driftline.sources import fixtures as fx
 
@@ -174,8 +175,12 @@ def variants(spark, d):
     return cp.terms(lines(spark, TERMS)).select("term", F.explode(fq.variants(F.col("term"))).alias("variant"))
 
 
-@query(f"""WITH {q.COUNTS}, {_TERMS}, {_VARIANTS}, have AS (SELECT word AS variant, CAST(sum(c) AS BIGINT) AS n FROM freq GROUP BY 1)
-SELECT term, variant, n FROM variants JOIN have USING (variant) WHERE term NOT IN (SELECT variant FROM have)""")
+@query(f"""WITH {q.COUNTS}, {_TERMS}, {_VARIANTS}, words AS (SELECT DISTINCT word FROM freq), own AS (SELECT DISTINCT term FROM terms JOIN words ON term = word),
+near AS (SELECT term, variant FROM variants JOIN own USING (term) JOIN words ON variant = word),
+merged AS (SELECT term, half_year, sum(c) AS together, sum(CASE WHEN word = term THEN c ELSE 0 END) AS alone FROM (SELECT term, term AS word FROM own UNION ALL SELECT term, variant FROM near) JOIN freq USING (word) GROUP BY ALL),
+top AS (SELECT term, max(together) AS together, max(alone) AS alone FROM merged GROUP BY 1), listed_ AS (SELECT term, string_agg(variant, ';' ORDER BY variant) AS variants FROM near GROUP BY 1),
+grid AS (SELECT CAST(unnest([{', '.join(map(str, FLOORS))}]) AS DOUBLE) AS floor)
+SELECT floor, term, coalesce(variants, '') AS variants, together >= floor AS rescued FROM top CROSS JOIN grid LEFT JOIN listed_ USING (term) WHERE alone < floor""")
 def variant_rescue(spark, d):
     return fq.variant_rescue(kept(spark, d), cp.terms(lines(spark, TERMS)))
 
@@ -233,7 +238,7 @@ def scope_list(spark, d):
 @query(f"WITH {q.CORPUS}, {_SCOPE} SELECT record_id, lower(channel) AS channel FROM corpus WHERE lower(channel) IN (SELECT channel FROM scope)")
 def scope_filter(spark, d):
     c = fx.corpus(spark, d).select("record_id", tx.channel(F.concat(F.lit("r/"), "channel")).alias("channel"))
-    return c.join(F.broadcast(cp.scope_list(lines(spark, SCOPE))), "channel", "left_semi").select("record_id", "channel")
+    return c.join(small(cp.scope_list(lines(spark, SCOPE))), "channel", "left_semi").select("record_id", "channel")
 
 
 #: The raw records' fields and reasons restated over the corpus: what the fixture breaks, by record number.
@@ -254,7 +259,7 @@ def drop_reasons(spark, d):
     return cp.judged(fx.raw(spark, d), cp.scope_list(lines(spark, SCOPE)), (1996, 2000)).groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("drop_reason")).agg(F.count("*").alias("n"))
 
 
-_FIELDS = "CASE WHEN record_id % 3 = 0 THEN '  A title ' ELSE '' END", "left(body, 40)", "CASE WHEN record_id % 5 <> 0 THEN ' https://a.example/x ' END"
+_FIELDS = "CASE WHEN record_id % 3 = 0 THEN '  A title ' ELSE '' END", "body", "CASE WHEN record_id % 5 <> 0 THEN ' https://a.example/x ' END"
 
 
 @query(f"""WITH {q.CORPUS}, f AS (SELECT record_id, trim(concat_ws(' ', nullif({q.clean(_FIELDS[0])}, ''), nullif({q.clean(_FIELDS[1])}, ''), nullif({q.clean(_FIELDS[2])}, ''))) AS text FROM corpus)
@@ -287,7 +292,7 @@ def tokens(spark, d):
     return fq.tokens(fx.texts(spark, d)).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+@query(f'WITH {q.SPANS} SELECT record_id, half_year, token, "begin", "end" FROM spans')
 def token_spans(spark, d):
     return cx.token_spans(fx.texts(spark, d)).select("record_id", "half_year", "token", "begin", "end")
 
@@ -300,9 +305,16 @@ def sentences(spark, d):
     return fx.texts(spark, d).select("record_id", F.posexplode(tx.sentences(F.col("text"))).alias("sentence_no", "sentence")).withColumn("sentence_no", F.col("sentence_no").cast("long"))
 
 
-@query()
+MATCHED = [*TERMS, "of the", "the is", "that the"]
+
+
+@query(rf"""WITH {q.TEXTS}, {q.values("terms", "term", [(t,) for t in MATCHED])}, cut AS (SELECT record_id, half_year, lower(text) AS low, term, string_split(lower(text), term) AS g FROM texts JOIN terms ON contains(lower(text), term)),
+laid AS (SELECT record_id, half_year, low, term, unnest(range(1, len(g))) AS i, unnest(g[1:len(g) - 1]) AS gap FROM cut),
+found AS (SELECT record_id, half_year, low, term, CAST(sum(length(gap) + length(term)) OVER (PARTITION BY record_id, term ORDER BY i) AS INTEGER) AS "end" FROM laid)
+SELECT record_id, half_year, term AS token, CAST("end" - length(term) AS INTEGER) AS "begin", "end" FROM found
+WHERE NOT regexp_matches(CASE WHEN "end" > length(term) THEN low["end" - length(term)] ELSE '' END, '[\p{{L}}\p{{N}}]') AND NOT regexp_matches(low["end" + 1:"end" + 1], '[\p{{L}}\p{{N}}]')""")
 def dict_matches(spark, d):
-    return cx.dict_matches(fx.texts(spark, d), [*TERMS, "of the", "the is"]).select("record_id", "half_year", "token", "begin", "end")
+    return cx.dict_matches(fx.texts(spark, d), MATCHED).select("record_id", "half_year", "token", "begin", "end")
 
 
 def _occurrences(spark, d):
@@ -316,19 +328,20 @@ def _eligible(spark, d):
 @query(f"""WITH {q.COUNTS}, el AS (SELECT word AS token, min(half_year) AS eligible_from FROM freq WHERE c >= {LOW} GROUP BY 1)
 SELECT t.half_year, t.token, CASE WHEN t.half_year < eligible_from THEN 'before_eligible' END AS drop_reason, count(*) AS n FROM tokens t JOIN el USING (token) GROUP BY ALL""")
 def scored_occurrences(spark, d):
-    return cx.gated(_occurrences(spark, d), _eligible(spark, d)).groupBy("half_year", "token", "drop_reason").agg(F.count("*").alias("n"))
+    """Only counts are wanted, so occurrences are counted by half-year and word before they meet the list."""
+    by = counts(spark, d).select("half_year", F.col("word").alias("token"), "c")
+    return cx.gated(by, _eligible(spark, d)).select("half_year", "token", "drop_reason", F.col("c").alias("n"))
 
 
 @query(f"""WITH {q.COUNTS}, el AS (SELECT word AS token, min(half_year) AS eligible_from FROM freq WHERE c >= {LOW} GROUP BY 1)
 SELECT t.record_id, t.half_year, CAST(pos AS BIGINT) AS pos, t.token FROM tokens t JOIN el ON t.token = el.token AND t.half_year >= eligible_from""")
 def eligible_gate(spark, d):
-    e = _eligible(spark, d).withColumnRenamed("word", "token")
-    return _occurrences(spark, d).join(e, "token").where("half_year >= eligible_from").select("record_id", "half_year", F.col("pos").cast("long").alias("pos"), "token")
+    return cx.gated(_occurrences(spark, d), _eligible(spark, d)).where("drop_reason IS NULL").select("record_id", "half_year", F.col("pos").cast("long").alias("pos"), "token")
 
 
-@query()
+@query(f"""WITH {q.SPANS}, own AS (SELECT * FROM spans WHERE token IN ({', '.join(f"'{t}'" for t in TARGETS)})), {q.contexts("own")} SELECT * FROM context""")
 def contexts(spark, d):
-    spans = cx.token_spans(fx.texts(spark, d)).where(F.col("token").isin(*TARGETS))
+    spans = cx.token_spans(fx.texts(spark, d), TARGETS)
     return cx.contexts(spans).select("record_id", "half_year", "token", "begin", "context", "drop_reason")
 
 
@@ -336,7 +349,7 @@ _KEYS = ", ".join(f"'{k}'" for k in KEYWORDS)
 
 
 @query(f"""WITH {q.TEXTS}, s AS (SELECT record_id, half_year, {_SENTENCES} AS s FROM texts), u AS (SELECT record_id, half_year, unnest(range(len(s))) AS unit_no, unnest(s) AS unit FROM s),
-k AS (SELECT *, string_split(unit, ' ') AS w, unnest([{_KEYS}]) AS keyword FROM u WHERE length(unit) <= 150)
+k AS (SELECT *, regexp_extract_all(unit, '{cx.PIECES.replace(chr(39), chr(39) * 2)}') AS w, unnest([{_KEYS}]) AS keyword FROM u WHERE length(unit) <= 150)
 SELECT record_id, half_year, unit_no, keyword, array_to_string(list_concat(list_concat(w[1:list_position(w, keyword) - 1], ['[MASK]']), w[list_position(w, keyword) + 1:]), ' ') AS masked FROM k WHERE list_contains(w, keyword)""")
 def masked_units(spark, d):
     return cx.masked_units(fx.texts(spark, d), KEYWORDS, 150, by_sentence=True).withColumn("unit_no", F.col("unit_no").cast("long"))
@@ -363,7 +376,7 @@ def cap_per_group(spark, d):
 
 @query(f"WITH {q.COUNTS} SELECT half_year, word, c FROM counts WHERE word IN ({', '.join(chr(39) + t.replace(chr(39), chr(39) * 2) + chr(39) for t in TERMS)})")
 def semi_targets(spark, d):
-    return counts(spark, d).join(F.broadcast(cp.terms(lines(spark, TERMS)).withColumnRenamed("term", "word")), "word", "left_semi").select("half_year", "word", "c")
+    return counts(spark, d).join(small(cp.terms(lines(spark, TERMS)).withColumnRenamed("term", "word")), "word", "left_semi").select("half_year", "word", "c")
 
 
 @query(f"WITH {q.values('lines', 'value', [(x,) for x in ANSWERS])} SELECT DISTINCT lower(trim(string_split(value, ':')[1])) AS keyword FROM lines WHERE contains(value, ':') AND trim(value) NOT LIKE '#%'")

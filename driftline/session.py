@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -31,10 +32,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if len(df.inputFiles()) < n else df
 
 
+#: Bytes up to which small() broadcasts.
+SMALL_BYTES = 64 << 20
+
+
+def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """df, to be broadcast if it is small: counted first, by bytes (of its rows as JSON, an upper bound of what they take packed); as it is beyond that."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)) + 32 * F.count("*")).first()[0] if df.columns else 0
+    return F.broadcast(df) if size <= most else df
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a single machine a new one where that is unset. On a cluster it has to be set, as executors do not see each other's disks."""
     held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         held = "file://" + tempfile.mkdtemp(prefix="driftline-")
         spark.conf.set("spark.checkpoint.dir", held)
     return held.rstrip("/")

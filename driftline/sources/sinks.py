@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def frequency(counts: DataFrame, totals: DataFrame, path: str, meta: DataFrame | None = None, widest: int = 2**31 - 1) -> None:
-    """The count table by half-year, its axis labels and totals, and a one-line description of the run."""
+def frequency(counts: DataFrame, totals: DataFrame, path: str, meta: DataFrame | None = None, widest: int = 2**31 - 1, stop: tuple[str, ...] = (), scope: DataFrame | None = None) -> None:
+    """The count table by half-year, its axis labels and totals, a one-line description of the run, and the stop words and scope (column channel) that it was made with."""
     top = counts.agg(F.max("c")).first()[0] or 0
     if top > widest:
         raise OverflowError(f"a count of {top} does not fit")
@@ -17,6 +17,10 @@ def frequency(counts: DataFrame, totals: DataFrame, path: str, meta: DataFrame |
     totals.orderBy("half_year").coalesce(1).write.mode("overwrite").csv(f"{path}/freq_totals", header=True)
     if meta is not None:
         meta.coalesce(1).write.mode("overwrite").json(f"{path}/freq_meta")
+    if stop:
+        counts.sparkSession.createDataFrame([(w,) for w in sorted(stop)], "word string").coalesce(1).write.mode("overwrite").text(f"{path}/freq_stop_words")
+    if scope is not None:
+        scope.select("channel").distinct().orderBy("channel").coalesce(1).write.mode("overwrite").text(f"{path}/freq_scope")
 
 
 def csv(table: DataFrame, path: str) -> None:
@@ -31,10 +35,24 @@ def top_words(ranked: DataFrame, path: str) -> None:
     ranked.groupBy("half_year").agg(words.alias("words")).select(F.create_map("half_year", "words").alias("value")).select(F.to_json("value").alias("value")).write.mode("overwrite").text(path)
 
 
-def centroid(per_term: DataFrame, whole: DataFrame, path: str) -> None:
-    """Centroids of all terms (word, centroid, n) and the global one, as JSON."""
-    every = per_term.select("word", "centroid", "n").unionByName(whole.select(F.lit(None).cast("string").alias("word"), "centroid", "n"))
+def centroid(per_term: DataFrame, whole: DataFrame, path: str, months: DataFrame | None = None, stats: DataFrame | None = None) -> None:
+    """Centroids of all terms (word, centroid, n), with their counts by month where months (word, month, n) are given, and the global one, as JSON; stats (embedding_stats) beside it."""
+    every = per_term.select("word", "centroid", "n")
+    if months is not None:
+        by = months.groupBy("word").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("month", "n")))).alias("monthly_counts"))
+        every = every.join(by, "word", "left")
+    every = every.unionByName(whole.select(F.lit(None).cast("string").alias("word"), "centroid", "n"), allowMissingColumns=True)
     every.write.mode("overwrite").json(path)
+    if stats is not None:
+        stats.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}_stats")
+
+
+def alert_lines(alerts: DataFrame, path: str, checkpoint: str | None = None):
+    """Alerts as JSON lines: a stream's query that is to be started by the caller's trigger (with checkpoint, restartable), or of a table at once."""
+    told = alerts.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    if not alerts.isStreaming:
+        return told.write.mode("append").text(path)
+    return told.writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
 
 
 def dense(long: DataFrame, path: str) -> None:

@@ -40,11 +40,15 @@ class Rules:
             raise ValueError("min_valid_periods must be twice min_size or more")
 
 
-def observations(lines: DataFrame) -> DataFrame:
-    """Observations of JSON lines (value): one word a line, or a half-year with a list of them."""
-    j = lines.where(F.trim("value") != "").select(F.from_json("value", BATCHED, {"mode": "FAILFAST"}).alias("j"), *[c for c in lines.columns if c != "value"])
+def observations(lines: DataFrame, number: str = "line_no") -> DataFrame:
+    """Observations of JSON lines (value): one word a line, or a half-year with a list of them. A malformed line is an error that tells the line, and its number where lines have a column of that name."""
+    own = [c for c in lines.columns if c != "value"]
+    j = lines.where(F.trim("value") != "").withColumn("j", F.from_json("value", f"{BATCHED}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+    broken = F.col("j").isNull() | F.col("j._broken").isNotNull() | (F.col("j.observations").isNull() & F.col("j.word").isNull())
+    told = F.concat(F.lit("malformed line "), F.col(number).cast("string"), F.lit(": "), "value") if number in own else F.concat(F.lit("malformed line: "), "value")
     one = F.array(F.struct("j.word", "j.cosine", "j.n_occurrences"))
-    return j.withColumn("o", F.explode(F.coalesce("j.observations", one))).select("o.word", "j.half_year", "o.cosine", "o.n_occurrences", *[c for c in lines.columns if c != "value"])
+    each = F.when(broken, F.raise_error(told).cast("array<struct<word:string,cosine:double,n_occurrences:bigint>>")).otherwise(F.coalesce("j.observations", one))
+    return j.withColumn("o", F.explode(each)).select("o.word", "j.half_year", "o.cosine", "o.n_occurrences", *own)
 
 
 class Word:
@@ -92,9 +96,10 @@ class Changes(StatefulProcessor):
         held = {k[0]: (v[0], v[1]) for k, v in self.points.iterator()}
         last = self.flag.get() if self.flag.exists() else None
         word = Word(key[0], held, (last[0], last[1]) if last is not None and last[2] else None, last is not None)
-        new = pd.concat(list(rows)).sort_values(["arrived", "half_year"], kind="stable")
+        # What a micro-batch has of a word has to be put in order; its columns are held, not its frames.
+        held_rows = [x for f in rows for x in zip(f["arrived"], f["half_year"], f["cosine"], f["n_occurrences"])]
         alerts = []
-        for h, c, n in zip(new["half_year"], new["cosine"], new["n_occurrences"]):
+        for _, h, c, n in sorted(held_rows, key=lambda x: x[:2]):
             c = None if c is None or pd.isna(c) else float(c)
             if (alert := word.take(str(h).strip(), c, int(n), self.rules)) is not None:
                 alerts.append(alert)

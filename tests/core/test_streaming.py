@@ -1,19 +1,36 @@
+import json
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from driftline.operators import series
 from driftline.plans import signals
 from driftline.session import shared_dir
+from driftline.sources import sinks
 from driftline.streaming import changes
 
 
 def replay(rows, rules):
-    words, out = {}, []
+    """The alerts by the rules in words, with nothing of the engine's state: after each observation a word's usable half-years are laid out anew and analysed."""
+    seen, flags, out = {}, {}, []
+    cfg = rules.analysis
     for r in sorted(rows, key=lambda r: (r.arrived, r.half_year)):
-        w = words.setdefault(r.word, changes.Word(r.word, {}, None, False))
-        if (a := w.take(r.half_year, r.cosine, r.n_occurrences, rules)) is not None:
-            out.append(a)
+        own = seen.setdefault(r.word, {})
+        usable = lambda: {h: c for h, (c, n) in own.items() if n >= rules.min_occurrences and c is not None}
+        old = usable()
+        own[r.half_year] = (r.cosine, r.n_occurrences)
+        now = usable()
+        if now == old:
+            continue
+        found = series.analysed(r.word, sorted(now), np.array([now[h] for h in sorted(now)]), cfg, cfg.floor) if len(now) >= rules.min_valid_periods else None
+        flag = (found["changepoints"], round(found["shift"], 6)) if found and found["p_value"] < cfg.alpha and found["shift"] > 0 else None
+        had = flags.get(r.word)
+        flags[r.word] = flag
+        event = {(False, True): "emerged", (True, False): "cleared"}.get((had is not None, flag is not None), "revised" if flag != had else None)
+        if event:
+            out.append({"word": r.word, "half_year": r.half_year, "event": event, "changepoints": found["changepoints"] if found else "", "p_value": found["p_value"] if found else None})
     return out
 
 
@@ -23,6 +40,9 @@ def test_stream_gives_the_alerts_of_a_replay(spark, sf):
     got = signals.stream_alerts(spark, sf).collect()
     key = lambda a: (a["word"], a["half_year"], a["event"], a["changepoints"], round(a["p_value"], 9))
     assert sorted(map(key, (r.asDict() for r in got))) == sorted(map(key, want)) and want
+    path = f"{shared_dir(spark)}/alerts-{uuid.uuid4().hex}"
+    sinks.alert_lines(spark.createDataFrame(got), path)
+    assert sorted(json.loads(r.value)["word"] for r in spark.read.text(path).collect()) == sorted(r.word for r in got)
 
 
 def test_state_and_snapshot(spark):
@@ -51,5 +71,7 @@ def test_lines_and_rules(spark):
         changes.Word("a", {}, None, False).take("2000-H1", 1.0, 1, changes.Rules())
     with pytest.raises(ValueError):
         changes.Rules(min_valid_periods=5)
-    with pytest.raises(Exception):
-        changes.observations(spark.createDataFrame([("{broken",)], "value string")).select(F.count("*")).collect()
+    with pytest.raises(Exception, match="malformed line 7"):
+        changes.observations(spark.createDataFrame([("{broken", 7)], "value string, line_no long")).collect()
+    with pytest.raises(Exception, match="malformed line"):
+        changes.observations(spark.createDataFrame([("{}",)], "value string")).collect()

@@ -1,5 +1,8 @@
+import json
+import random
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
 import zstandard
@@ -7,7 +10,8 @@ from pyspark.sql import functions as F
 
 from driftline.functions import text as tx
 from driftline.operators import contexts as cx
-from driftline.operators import scoring, vectors
+from driftline.operators import checks, scoring, vectors
+from driftline.operators.order import placed
 from driftline.sources import corpus as cp
 from driftline.sources import fixtures as fx
 from driftline.sources import sinks
@@ -31,13 +35,77 @@ def test_dictionary(spark):
     assert cx.dict_matches(df, []).count() == 0
 
 
-def test_contexts():
-    t = "Short one. " + " ".join(f"w{i}" for i in range(100)) + " target, tail."
-    a = t.index("target")
-    c = cx.context_of(t, a, a + 6)
-    assert c.split()[-2:] == ["[MASK],", "tail."] and len(c.split()) == 34
-    assert cx.context_of("Go on. It is so. Now.", 7, 9) == "Go on. [MASK] is so. Now."
-    assert cx.context_of("abc", 2, 9) is None
+def context_by_hand(t, a, b):
+    ends = [m.end() for m in re.finditer(r"[.!?]+(?=\s|$)", t)]
+    begin = max((e for e in ends if e <= a), default=0)
+    end = min((e for e in ends if e > a), default=len(t))
+    if len(t[begin:end].split()) < 7:
+        begin, end = 0, len(t)
+    return " ".join([*t[begin:a].split()[-32:], "[MASK]", *t[b:end].split()[:32]])
+
+
+def test_contexts(spark):
+    long = "Short one. " + " ".join(f"w{i}" for i in range(100)) + " target, tail."
+    cases = [(long, long.index("target"), long.index("target") + 6), ("Go on. It is so. Now.", 7, 9), ("abc", 2, 9), (None, 0, 1), ("one", 0, 3), ("a " * 2000 + "x. y", 4000, 4001), ("v" * 3000 + " x yy", 3001, 3002)]
+    rnd = random.Random(8)
+    for _ in range(120):
+        t = "".join(rnd.choice(["a", "bb", "target", " ", " ", " ", ".", "!?", ","]) for _ in range(rnd.randrange(1, 400))).strip()
+        cases += [(t, m.start(), m.end()) for m in re.finditer("target", t)][:3]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], 'i long, text string, begin int, end int')
+    got = {r.i: (r.context, r.drop_reason) for r in cx.contexts(df).collect()}
+    for i, (t, a, b) in enumerate(cases):
+        assert got[i] == ((context_by_hand(t, a, b), None) if t and b <= len(t) else (None, "mask_lost")), cases[i]
+    assert got[0][0].split()[-3:] == ["[MASK]", ",", "tail."] and len(got[0][0].split()) == 35
+
+
+def test_whole_table_of_contexts(spark, sf):
+    t = fx.texts(spark, sf)
+    rows = cx.contexts(cx.token_spans(t, ["ononst", "inoran", "hehely"])).collect()
+    assert rows and all(r.context == context_by_hand(r.text, r.begin, r.end) for r in rows)
+
+
+def test_span_embeddings(spark):
+    df = spark.createDataFrame([(1, "one two three four", 4, 13), (2, "one two", 50, 60), (3, None, 0, 1)], "i long, text string, begin int, end int")
+    own = cx.SpanEmbedder(lambda: 10.0, lambda m, ws: [[[m, float(len(p)), float(len(w))] for p in w] for w in ws])
+    out = cx.span_embeddings(df, own, side=1, batch=1)
+    assert {r.i: r.embedding for r in out.collect()} == {1: [10.0, 4.0, 4.0], 2: None, 3: None}
+    assert tuple(cx.embedding_stats(out).first()) == (3, 1, 2, True)
+
+
+def test_checks():
+    checks.vocabulary_fits(5, 5)
+    checks.same_scope({"scope": {"mode": "all", "hash": None}}, "all", None)
+    for call in (lambda: checks.vocabulary_fits(6, 5), lambda: checks.same_scope({"scope": {"mode": "all"}}, "subreddits", "x")):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_checks_of_tables(spark):
+    s = spark.createDataFrame([("a", 1, "2001-02", "2001H1"), ("a", 2, "2001-08", "2001H2")], "scope string, floor int, month string, half_year string")
+    assert checks.agreed(s, scope="scope").count() == 2 and checks.in_place(s).count() == 2
+    with pytest.raises(ValueError, match="floor"):
+        checks.agreed(s, scope="scope", floor="floor")
+    with pytest.raises(ValueError, match="2001-08"):
+        checks.in_place(s.withColumn("half_year", F.lit("2001H1")))
+    assert checks.label_order(s.withColumn("half_year", F.lit("2001-H1"))).count() == 2
+    terms = spark.createDataFrame([("x",), ("a b",)], "term string")
+    vocabulary = spark.createDataFrame([("x", 7), ("y", 8)], "token string, id long")
+    assert [tuple(r) for r in scoring.term_ids(terms, vocabulary).collect()] == [(7, "x")]
+    with pytest.raises(ValueError):
+        scoring.term_ids(terms.where("term = 'a b'"), vocabulary)
+
+
+def test_vectors_of_any_length(spark):
+    df = spark.createDataFrame([("a", [float(i)] * 70) for i in range(3)], "word string, embedding array<double>")
+    assert len(vectors.centroids(df, ["word"]).first().centroid) == 70
+    assert vectors.centroids(df.where("false"), ["word"]).count() == 0
+    with pytest.raises(ValueError):
+        vectors.centroids(df.union(spark.createDataFrame([("a", [1.0])], df.schema)), ["word"])
+
+
+def test_places_in_order(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("x")).repartition(7)
+    assert {r.place - r.x for r in placed(df, "place", "x").collect()} == {1}
 
 
 def test_readers_and_writers(spark, tmp_path):
@@ -52,6 +120,40 @@ def test_readers_and_writers(spark, tmp_path):
     assert {r.file.rsplit("/", 1)[1]: (r.ok, r.n_lines) for r in status.collect() if r.ok} == {"RC_2010-01.zst": (True, 50), "RS_2010-03.jsonl": (True, 50)}
     months = cp.months_of(status).join(status, "file")
     assert {r.month: r.month_ok for r in cp.month_status(months).collect()} == {"2010-01": True, "2010-02": False, "2010-03": True}
+    (tmp_path / "with.dot").mkdir()
+    (tmp_path / "with.dot" / "RS_2011-01.jsonl").write_text(raw)
+    assert cp.lines(spark, str(tmp_path / "with.dot")).count() == 50
+    assert {r.file.rsplit("/", 1)[1] for r in cp.monthly_lines(spark, str(tmp_path), tolerant=True).select("file").distinct().collect()} >= {"RC_2010-01.zst"}
+    with pytest.warns(UserWarning):
+        assert [r.month for r in cp.pick_months(months, months=["2010-02", "1999-01"]).select("month").distinct().collect()] == ["2010-02"]
+    assert {r.month for r in cp.pick_months(months, first=2).collect()} == {"2010-01", "2010-02"} and cp.pick_months(months, first=2, at=5).count() == 0
+    with pytest.raises(FileNotFoundError):
+        cp.shards(spark, str(tmp_path))
+    (tmp_path / "m01.part.json").write_text("{}")
+    assert cp.shards(spark, str(tmp_path)).count() == 1
+    (tmp_path / "rows").mkdir()
+    for h in ("2010H1", "2010H2"):
+        np.savez(tmp_path / "rows" / f"cosine_{h}.npz", half_year=np.array(h), scores=np.array([0.5, np.nan], np.float32), occurrence_counts=np.array([3, 0]))
+    merged = cp.npz_rows(spark, str(tmp_path / "rows"), ["2010H1", "2010H2"], ["alpha", "beta"])
+    assert sorted(tuple(r) for r in merged.where("cosine IS NOT NULL").collect()) == [("2010H1", "alpha", 0.5, 3), ("2010H2", "alpha", 0.5, 3)] and merged.count() == 4
+    with pytest.raises(FileNotFoundError):
+        cp.npz_rows(spark, str(tmp_path / "rows"), ["2010H1", "2010H2", "2011H1"], ["alpha", "beta"])
+    with pytest.raises(ValueError):
+        cp.npz_rows(spark, str(tmp_path / "rows"), ["2010H1"], ["alpha", "beta"])
+    np.save(tmp_path / "m.npy", np.array([[1, 2]]))
+    (tmp_path / "hy.csv").write_text("half_year\n2010H1\n")
+    (tmp_path / "ws.csv").write_text("word\na\nb\n")
+    assert sorted(tuple(r) for r in cp.npy_matrix(spark, str(tmp_path / "m.npy"), str(tmp_path / "hy.csv"), str(tmp_path / "ws.csv")).collect()) == [("2010H1", "a", 1), ("2010H1", "b", 2)]
+    (tmp_path / "i.jsonl").write_text('{"word": "a", "sentence": "s", "timestamp": "2020-01-01", "category": "c"}\n')
+    assert cp.instances(spark, str(tmp_path / "i.jsonl")).first().sentence == "s"
+    ranked = spark.createDataFrame([("2010H1", 2, "b"), ("2010H1", 1, "a")], "half_year string, rank int, word string")
+    sinks.top_words(ranked, str(tmp_path / "top"))
+    assert json.loads(spark.read.text(str(tmp_path / "top")).first().value) == {"2010H1": ["a", "b"]}
+    sinks.csv(ranked.withColumn("many", F.array(F.lit("x"), F.lit("y"))), str(tmp_path / "csv"))
+    assert {r.many for r in spark.read.csv(str(tmp_path / "csv"), header=True).collect()} == {"x;y"}
+    cent = spark.createDataFrame([("a", [1.0], 2)], "word string, centroid array<double>, n long")
+    sinks.centroid(cent, cent.drop("word"), str(tmp_path / "cent"), spark.createDataFrame([("a", "2010-01", 2)], "word string, month string, n long"), spark.range(1))
+    assert spark.read.json(str(tmp_path / "cent")).count() == 2 and spark.read.json(str(tmp_path / "cent_stats")).count() == 1
     (tmp_path / "w.csv").write_text("﻿word,n\nalpha,1\n")
     (tmp_path / "x.csv").write_text("alpha\nbeta\n")
     assert [r.word for r in cp.csv_column(spark, str(tmp_path / "w.csv"), "word").collect()] == ["alpha"]
