@@ -1,4 +1,12 @@
-"""The corpus pipeline: five stages, each on what the one before it kept."""
+"""The corpus pipeline: five stages, each on what the one before it kept.
+
+All stages take texts of any length whole, null and empty ones too: quality rules reject those, and on a table that
+still has them near-dedup keeps one of them, decontamination and secret scans let them pass, and the mix takes none. Null
+ids and sources stand for themselves (a null source is one of its own; of near copies one with an id stays before one
+without). Rows that are equal in all columns are near copies of each other, as are ties in an id of equal texts; other
+rows are told apart by their columns, whatever these are called (`__k1` and `__k2` are used inside), and keep their values. An empty table gives an
+empty table at every stage.
+"""
 
 from __future__ import annotations
 
@@ -29,8 +37,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the number of times and words that the mix takes of them."""
-    return mixing.mixed(docs)
+    """The documents that the mix takes, with the number of times and words; a longer one is likelier to be taken once more. Those of which it takes no word go."""
+    return mixing.mixed(docs, size_power=0.5).where("taken > 0")
 
 
 STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("decontamination", decontamination), ("secret scans", secret_scans), ("mixing", mix)]

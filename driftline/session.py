@@ -36,10 +36,14 @@ def spread(df: DataFrame) -> DataFrame:
 SMALL_BYTES = 64 << 20
 
 
+def is_small(df: DataFrame, most: int = SMALL_BYTES) -> bool:
+    """Whether the rows of df, counted as JSON (an upper bound of what they take packed), are few bytes."""
+    return df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)) + 32 * F.count("*")).first()[0] <= most
+
+
 def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
-    """df, to be broadcast if it is small: counted first, by bytes (of its rows as JSON, an upper bound of what they take packed); as it is beyond that."""
-    size = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)) + 32 * F.count("*")).first()[0] if df.columns else 0
-    return F.broadcast(df) if size <= most else df
+    """df, to be broadcast if it is small by bytes; as it is beyond that."""
+    return F.broadcast(df) if is_small(df, most) else df
 
 
 def shared_dir(spark: SparkSession) -> str:
