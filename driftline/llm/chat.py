@@ -11,12 +11,12 @@ is a list of spans (begin, end, in code points of the rendered string) over the
 
 Defined cases: null text and null role are empty; rows of equal sequence are put in order by role and text, and equal
 rows are turns of their own; a null sequence comes first; rows of a null conversation form one conversation; an empty
-log gives no rows; a delta, edit or delete without a message before it in its slot starts (or leaves) nothing but its own text.
+log gives no rows; texts of any length are taken whole; other columns of the log are not read; a delta, edit or delete without a message before it in its slot starts (or leaves) nothing but its own text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, SHUT = "<turn role=", ">", "</turn>\n"
@@ -62,11 +62,15 @@ def rendered(log: DataFrame, regenerates: bool = True) -> DataFrame:
     regenerates: whether the log may hold that event; without it slots need no look at each other.
     """
     slots = folded(log)
-    if regenerates:
-        # A slot is dropped if an earlier one was generated again after it began.
-        redo = slots.where("again IS NOT NULL").select(F.col("conv").alias("c"), F.col("slot").alias("s"), F.col("again").alias("a"))
-        slots = slots.join(redo, F.col("conv").eqNullSafe(F.col("c")) & (F.col("s") < F.col("slot")) & (F.col("a") > F.col("seq")), "left_anti")
     chunk = F.floor(F.coalesce(F.col("slot").cast("double"), F.lit(-1.0)) / CHUNK)
+    if regenerates:
+        # A slot is dropped if an earlier one was generated again after it began: the latest such event so far, first over chunks of slots, then inside each.
+        so_far = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rangeBetween(Window.unboundedPreceding, -1)
+        placed = slots.where("slot IS NOT NULL").withColumn("chunk", chunk)
+        tops = placed.groupBy("conv", "chunk").agg(F.max("again").alias("top")).withColumn("before", F.max("top").over(so_far("conv", "chunk"))).select(F.col("conv").alias("c"), F.col("chunk").alias("k"), "before")
+        near = placed.withColumn("inside", F.max("again").over(so_far("conv", "chunk", "slot"))).join(tops, F.col("conv").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k")))
+        left = near.where(F.coalesce(F.greatest("inside", "before") <= F.col("seq"), F.lit(True))).select(*slots.columns)
+        slots = left.unionByName(slots.where("slot IS NULL"))
     turn = lambda m: F.struct(F.concat(F.lit(OPEN), escape(m["role"]), F.lit(CLOSE)).alias("head"), escape(m["text"]).alias("body"), (m["role"] == "assistant").alias("loss"))
     laid = slots.select("conv", "slot", chunk.alias("chunk"), F.transform("messages", turn).alias("turns"))
     chunks = laid.groupBy("conv", "chunk").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slot", "turns"))), lambda x: x["turns"])).alias("turns"))

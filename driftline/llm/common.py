@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from driftline.session import shared_dir
 
 #: Upper-case ASCII to lower case, nothing else.
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -22,13 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
-    held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not held:
-        held = "file://" + tempfile.mkdtemp(prefix="driftline-")
-        spark.conf.set("spark.checkpoint.dir", held)
-    return held.rstrip("/")
+def numbered_columns(docs: DataFrame, own: list[str], **more: Column) -> DataFrame:
+    """The columns of own as c0, c1, ... with what else an operator reads: no name of the input can clash with one inside."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], *[v.alias(k) for k, v in more.items()])
+
+
+def own_fields(docs: DataFrame, own: list[str]) -> list[T.StructField]:
+    """The schema of the columns of own, under their own names."""
+    return [T.StructField(c, docs.schema[c].dataType) for c in own]
+
+
+def own_arrays(batch: pa.RecordBatch | pa.Table, n: int) -> list[pa.Array]:
+    """The columns c0, c1, ... of a batch."""
+    return [batch.column(batch.schema.get_field_index(f"c{i}")) for i in range(n)]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

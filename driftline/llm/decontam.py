@@ -2,17 +2,20 @@
 
 The index is dealt out by documents: every task keeps, for the documents it reads, one posting list of positions for
 each term that the test items use. A query (a window of test words) takes the list of its rarest term, moves it by the
-term's offset to the places where the window would start, and intersects it with the other terms' lists, moved by
-their own offsets, from rare to frequent. What remains are exact phrase matches; `near` answers proximity queries from
-the same lists. Postings never leave the task that made them, only hits do.
+term's offset to the places where the window would start, and intersects it with the other terms' lists, moved by their
+own offsets, from rare to frequent; each intersection is a search in the other list. What remains are exact phrase
+matches. `near` answers proximity queries from the same lists: windows whose terms all stand within some words of a
+place of the rarest one. Postings never leave the task that made them, only hits do, so a lost executor costs a task.
 
-The test items' windows go to every task in blocks of at most `block_words` words (a checked size, broadcast one block
-at a time); hits of the blocks are merged by document where there are several. A benchmark of any size is answered in
-full.
+The test items' windows go to every task in blocks of at most `block_words` words, whose size is checked; each block is
+gathered and broadcast, and where there are several, each is a pass of its own and the passes' hits are merged by
+document. A benchmark of any size is answered in full, and one block or many give the same columns and rows.
 
 Defined cases: null and empty texts have no words; an item without words has no window and is never found; an item of
 fewer words than a window is one window; repeated items count once by their id (null ids are left out of the list of
-ids, but their windows hit); equal windows of different items hit for each item; equal document rows get equal results.
+ids, but their windows hit); equal windows of different items hit for each item; equal document rows get equal results;
+texts of any length are read whole; ties do not occur; an empty table gives no rows, an empty benchmark no hits; columns
+that have a result's name are replaced, no other name can clash.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import UPPER, as_bytes, ids_of, row_key, slices
+from driftline.llm.common import UPPER, as_bytes, ids_of, numbered_columns, own_arrays, own_fields, row_key, slices
 
 #: Bytes that are no part of a word become spaces, A-Z becomes a-z.
 TABLE = bytes(c + 32 if c in UPPER else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 32 for c in range(256))
@@ -76,72 +79,89 @@ class Segment:
         self.positions = at[order]
         self.counts = np.bincount(self.terms[at], minlength=len(number)) if len(number) else np.zeros(0, np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
+        #: All posting lists in one sorted row: term * length + position.
+        self.keys = self.terms[self.positions].astype(np.int64) * (len(self.terms) + 1) + self.positions
 
     def postings(self, term: int) -> np.ndarray:
         return self.positions[self.first[term] : self.first[term + 1]]
 
-    def phrases(self, windows: np.ndarray, at_once: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window number, start) of every occurrence of the windows, all of one length."""
-        n = windows.shape[1]
+    def holds(self, terms: np.ndarray, positions: np.ndarray) -> np.ndarray:
+        """Whether each position is in the posting list of its term."""
+        key = terms.astype(np.int64) * (len(self.terms) + 1) + positions
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return self.keys[at] == key
+
+    def rarest(self, windows: np.ndarray, at_once: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(window number, place of its rarest term, its terms' order from rare to frequent) of the windows that have postings for all terms, in portions."""
         df = self.counts[windows]
         alive = np.flatnonzero(df.min(axis=1) > 0)
         if not len(alive):
             return
-        order = np.argsort(df[alive], axis=1, kind="stable")  # a window's terms from rare to frequent
+        order = np.argsort(df[alive], axis=1, kind="stable")
         rare = windows[alive, order[:, 0]]
         sizes = self.counts[rare]
         cut = np.searchsorted(np.cumsum(sizes), np.arange(at_once, sizes.sum() + at_once, at_once))
         for part in np.split(np.arange(len(alive)), np.unique(cut[cut < len(alive)])):
-            if not len(part):
-                continue
-            reps = sizes[part]
-            which = np.repeat(part, reps)
-            within = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-            start = self.positions[self.first[rare[which]] + within] - order[which, 0]
+            if len(part):
+                which = np.repeat(part, sizes[part])
+                within = np.arange(len(which)) - np.repeat(np.cumsum(sizes[part]) - sizes[part], sizes[part])
+                yield alive[which], self.positions[self.first[rare[which]] + within], order[which]
+
+    def phrases(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window number, start) of every occurrence of the windows, all of one length."""
+        n = windows.shape[1]
+        for which, place, order in self.rarest(windows):
+            start = place - order[:, 0]
             ok = (start >= 0) & (start + n <= len(self.terms))
-            which, start = which[ok], start[ok]
             for k in range(1, n):
+                which, start, order = which[ok], start[ok], order[ok]
                 if not len(start):
                     break
-                offset = order[which, k]
-                # In the list of the k-th rarest term, moved by its offset: a position is in a term's list if that term stands there.
-                ok = self.terms[start + offset] == windows[alive[which], offset]
-                which, start = which[ok], start[ok]
+                ok = self.holds(windows[which, order[:, k]], start + order[:, k])
+            which, start = (which[ok], start[ok]) if len(start) else (which, start)
             if len(start):
-                yield alive[which], start
-
-    def near(self, terms: list[int], within: int) -> np.ndarray:
-        """Positions of the rarest of the terms around which every other one stands at most `within` words away, in the same document."""
-        lists = sorted((self.postings(t) for t in terms), key=len)
-        at = lists[0]
-        for other in lists[1:]:
-            if not len(other) or not len(at):
-                return np.zeros(0, np.int64)
-            i = np.searchsorted(other, at)
-            left, right = other[np.maximum(i - 1, 0)], other[np.minimum(i, len(other) - 1)]
-            doc = np.searchsorted(self.starts, at, side="right")
-            ok = [(np.abs(x - at) <= within) & (np.searchsorted(self.starts, x, side="right") == doc) for x in (left, right)]
-            at = at[ok[0] | ok[1]]
-        return at
+                yield which, start
+
+    def near(self, windows: np.ndarray, within: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window number, place) of the places of windows' rarest terms around which every other term stands at most `within` words away, in the same document."""
+        last = max(len(self.keys) - 1, 0)
+        for which, place, order in self.rarest(windows):
+            for k in range(1, windows.shape[1]):
+                if not len(place):
+                    break
+                base = windows[which, order[:, k]].astype(np.int64) * (len(self.terms) + 1)
+                i, doc = np.searchsorted(self.keys, base + place), self.doc_of(place)
+                ok = np.zeros(len(place), bool)
+                for j in (np.maximum(i - 1, 0), np.minimum(i, last)):
+                    other = self.keys[j] - base  # out of 0 to length, if it is another term's
+                    ok |= (np.abs(other - place) <= within) & (other >= 0) & (other < len(self.terms)) & (self.doc_of(other) == doc)
+                which, place, order = which[ok], place[ok], order[ok]
+            if len(place):
+                yield which, place
 
     def doc_of(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, positions, side="right") - 1
 
 
-def search(texts: list[bytes | None], q: Queries) -> tuple[np.ndarray, list[np.ndarray], list[set]]:
-    """Word counts, hit positions within each document and the items found there."""
+def search(texts: list[bytes | None], q: Queries, near: int | None = None) -> tuple[np.ndarray, list[np.ndarray], list[set], list[set]]:
+    """Word counts, hit positions within each document, the items found there, and those found by proximity."""
     seg = Segment(texts, q.number)
     cover = np.zeros(len(seg.terms) + 1, np.int32)
     items: list[set] = [set() for _ in texts]
+    close: list[set] = [set() for _ in texts]
     for n, windows in q.rows.items():
         for which, start in seg.phrases(windows):
             np.add.at(cover, start, 1)
             np.add.at(cover, start + n, -1)
             for d, w in set(zip(seg.doc_of(start).tolist(), which.tolist())):
                 items[d].update(q.items[n][w])
+        if near is not None:
+            for which, place in seg.near(windows, near):
+                for d, w in set(zip(seg.doc_of(place).tolist(), which.tolist())):
+                    close[d].update(q.items[n][w])
     hit = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
     cuts = np.searchsorted(hit, seg.starts)
-    return seg.n_words, [h - s for h, s in zip(np.split(hit, cuts[1:]), seg.starts)] if len(texts) else [], items
+    return seg.n_words, [h - s for h, s in zip(np.split(hit, cuts[1:]), seg.starts)] if len(texts) else [], items, close
 
 
 def summary(n_words: int, n_hit: int, items) -> tuple:
@@ -156,56 +176,60 @@ def item_blocks(benchmark: DataFrame, item: str, text: str, block_words: int) ->
     return [b.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)] if n > 1 else [b]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", carry: list[str] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs (the columns of carry; all) with n_words, n_hit, n_items, items_sha256, contaminated and items (sorted ids)."""
-    names = [n for n, _ in FIELDS] + ["items"]
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", carry: list[str] | None = None, block_words: int = BLOCK_WORDS, near: int | None = None) -> DataFrame:
+    """docs (the columns of carry; all) with n_words, n_hit, n_items, items_sha256, contaminated and items (sorted ids). near: also n_near, the items of which a window's words all stand at most so many words from a place of the rarest of them."""
+    fields = FIELDS + ([("n_near", T.LongType())] if near is not None else [])
+    names = [n for n, _ in fields] + ["items"]
     own = [c for c in (docs.columns if carry is None else carry) if c not in names]
-    read = docs.select(*own, F.col(text).alias("__text"))
+    read = numbered_columns(docs, own, text=F.col(f"`{text}`"))
     spark = docs.sparkSession
     held = []
     for block in item_blocks(benchmark, item, item_text, block_words):
         rows = [(r["item"], r["text"].encode() if r["text"] is not None else None) for r in block.toLocalIterator()]
         held.append(spark.sparkContext.broadcast(pickle.dumps(Queries(rows, window), 5)))
     if len(held) > 1:
-        return _merged(read, own, held)
+        return _merged(read, own, held, near)
     whole = held[0]
-    schema = T.StructType([f for f in read.schema.fields if f.name != "__text"] + [T.StructField(n, t) for n, t in FIELDS] + [T.StructField("items", T.ArrayType(T.StringType()))])
+    schema = T.StructType(own_fields(docs, own) + [T.StructField(n, t) for n, t in fields] + [T.StructField("items", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = pickle.loads(whole.value)
-        for b in slices(batches, "__text", 8 << 20):
-            n_words, hits, items = search(as_bytes(ids_of(b, "__text")), q)
+        for b in slices(batches, "text", 8 << 20):
+            n_words, hits, items, close = search(as_bytes(ids_of(b, "text")), q, near)
             rows = list(zip(*(summary(n, len(h), i) for n, h, i in zip(n_words, hits, items))))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-            cols = [pa.array(r, k) for r, k in zip(rows, kinds)]
-            yield pa.RecordBatch.from_arrays([*(ids_of(b, c) for c in own), *cols, pa.array([sorted(i) for i in items], pa.list_(pa.string()))], [*own, *names])
+            cols = [pa.array(r, k) for r, k in zip(rows, kinds)] + ([pa.array([len(c) for c in close], pa.int64())] if near is not None else [])
+            yield pa.RecordBatch.from_arrays([*own_arrays(b, len(own)), *cols, pa.array([sorted(i) for i in items], pa.list_(pa.string()))], [*own, *names])
 
     return read.mapInArrow(run, schema)
 
 
-def _merged(read: DataFrame, own: list[str], held: list) -> DataFrame:
-    """As above for several blocks: a pass for each, and hits brought together by document."""
-    keyed = row_key(read, *own, "__text")
+def _merged(read: DataFrame, own: list[str], held: list, near: int | None) -> DataFrame:
+    """As above for several blocks: a pass for each, the first over all documents, and hits brought together by the rows' content."""
+    keyed = row_key(read, *read.columns)
+    kind = "k1 long, k2 long, n_words long, hits array<long>, found array<string>, close array<string>"
 
-    def one(block):
+    def one(block, every: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = pickle.loads(block.value)
-            for b in slices(batches, "__text", 8 << 20):
-                _, hits, items = search(as_bytes(ids_of(b, "__text")), q)
-                some = pa.array([i for i, h in enumerate(hits) if len(h)], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids_of(b, "k1").take(some), ids_of(b, "k2").take(some), pa.array([hits[i.as_py()].tolist() for i in some], pa.list_(pa.int64())), pa.array([sorted(items[i.as_py()]) for i in some], pa.list_(pa.string()))], ["k1", "k2", "hits", "items"])
+            for b in slices(batches, "text", 8 << 20):
+                n_words, hits, items, close = search(as_bytes(ids_of(b, "text")), q, near)
+                k = [i for i in range(b.num_rows) if every or len(hits[i]) or close[i]]
+                at = pa.array(k, pa.int64())
+                cols = [pa.array([int(n_words[i]) for i in k], pa.int64()), pa.array([hits[i].tolist() for i in k], pa.list_(pa.int64())), *(pa.array([sorted(x[i]) for i in k], pa.list_(pa.string())) for x in (items, close))]
+                yield pa.RecordBatch.from_arrays([ids_of(b, "k1").take(at), ids_of(b, "k2").take(at), *cols], ["k1", "k2", "n_words", "hits", "found", "close"])
 
-        return keyed.select("k1", "k2", "__text").mapInArrow(run, "k1 long, k2 long, hits array<long>, items array<string>")
+        return keyed.select("k1", "k2", "text").mapInArrow(run, kind)
 
-    found = one(held[0])
+    found = one(held[0], True)
     for block in held[1:]:
-        found = found.unionByName(one(block))
-    found = found.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("found_items"))
-    n_words = F.coalesce(F.regexp_count(F.lower("__text"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
-    none = F.array().cast("array<string>")
-    out = keyed.join(found, ["k1", "k2"], "left").withColumns({"n_words": n_words, "n_hit": F.coalesce(F.size("hits"), F.lit(0)).cast("long"), "items": F.coalesce("found_items", none)})
-    out = out.withColumn("n_hit", F.when(F.col("n_hit") < 0, 0).otherwise(F.col("n_hit")))
-    return out.select(*own, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
+        found = found.unionByName(one(block, False))
+    together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)  # noqa: E731  a document's own hits
+    found = found.groupBy("k1", "k2").agg(F.max("n_words").alias("n_words"), *map(together, ("hits", "found", "close")))
+    out = keyed.drop("text").join(found, ["k1", "k2"])
+    size = lambda c: F.size(c).cast("long")
+    result = [F.col("n_words"), size("hits").alias("n_hit"), size("found").alias("n_items"), F.sha2(F.array_join("found", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated")]
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], *result, *([size("close").alias("n_near")] if near is not None else []), F.col("found").alias("items"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -213,5 +237,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) ->
     names = [n for n, _ in FIELDS] + ["items"]
     clash = {n: f"__own_{n}" for n in names if n in docs.columns}
     safe = docs.withColumnsRenamed(clash)
-    out = contamination(safe, benchmark, window).where("NOT contaminated").select(*safe.columns)
+    out = contamination(safe, benchmark, window).where("NOT contaminated").select(*[F.col(f"`{c}`") for c in safe.columns])
     return out.withColumnsRenamed({v: k for k, v in clash.items()})

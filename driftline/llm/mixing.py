@@ -9,7 +9,8 @@ in one task: sums over a histogram of the ranking number find the cell in which
 of that cell are put in order, cell by cell, on `levels` levels.
 
 Defined cases: null source forms a source of its own, last in order; null text and empty texts have size 0 and are
-taken 0 times; repeated rows have the same u and are told apart by nothing, so they are taken or left together at the
+taken 0 times; a text of any length is counted whole; columns that have a result's name are replaced, no other name can
+clash; repeated rows have the same u and are told apart by nothing, so they are taken or left together at the
 end of the order; an empty table gives an empty result. Reruns agree: u depends on the id and the seed alone.
 """
 
@@ -18,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import WORD, stored
+from driftline.llm.common import WORD, numbered_columns, stored
+from driftline.session import is_small
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: u has 39 bits, dealt to cells of 13 bits on each of the three levels.
@@ -26,12 +28,12 @@ BITS, CELL = 39, 13
 
 
 def word_count(text: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def unit(key: str, seed: int) -> Column:
     """A number of BITS bits from the key: the first 10 hex digits of an MD5 hash, without the last bit."""
-    digits = F.substring(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 10)
+    digits = F.substring(F.md5(F.concat(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 10)
     return F.shiftright(F.conv(digits, 16, 10).cast("long"), 40 - BITS)
 
 
@@ -61,38 +63,40 @@ def ranking(u: Column, inclusion_odds: Column) -> Column:
     return F.least(F.floor(q / (1 + q) * float(1 << BITS)), F.lit((1 << BITS) - 1)).cast("long")
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 7, prior: str | None = None, carry: list[str] | None = None) -> DataFrame:
+def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 7, prior: str | None = None, size_power: float = 0.0, carry: list[str] | None = None) -> DataFrame:
     """docs (the columns of carry; all) with size, source_size, target, copies and taken.
 
-    prior: a column of positive factors on a document's inclusion odds (none: all 1, so that the inclusion probability
-    is the same within a source and differs between sources).
+    A document's inclusion odds are those of its source's rate, times its size to the power size_power, times prior (a
+    column of positive factors). With neither, all documents of a source have the same odds.
     """
-    own = [c for c in (docs.columns if carry is None else carry) if c not in ("size", "source_size", "target", "copies", "taken")]
-    read = docs.withColumns({"__size": word_count(text), "__u": unit(key, seed), "__source": F.col(source), "__prior": F.coalesce(F.col(prior).cast("double"), F.lit(1.0)) if prior else F.lit(1.0)}).select(*own, "__size", "__u", "__source", "__prior")
-    slim = stored(read.select("__u", "__source", "__size", "__prior"), "mix")  # sizes are counted in the text once for all levels
+    names = ("size", "source_size", "target", "copies", "taken")
+    own = [c for c in (docs.columns if carry is None else carry) if c not in names]
+    size, factor = word_count(text), F.coalesce(F.col(f"`{prior}`").cast("double"), F.lit(1.0)) if prior else F.lit(1.0)
+    read = numbered_columns(docs, own, size=size, u=unit(key, seed), source=F.col(f"`{source}`"), factor=factor)
+    read = read.withColumn("prior", F.col("factor") * (F.pow(F.col("size").cast("double"), F.lit(size_power)) if size_power else F.lit(1.0))).drop("factor")
+    if carry is not None:
+        read = stored(read, "mix")  # words are counted in the texts once, for all levels and the result
+    slim = (read if carry is not None else stored(read.select("u", "source", "size", "prior"), "mix")).select(*[F.col(c).alias(f"__{c}") for c in ("u", "source", "size", "prior")])
     goal = targets(slim.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size")), share, most, weights)
     goal = goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     goal = goal.withColumn("whole", F.floor("rate")).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("odds", odds(F.col("rate") - F.col("whole")))
     goal = stored(goal, "mix-goal")
-    small = goal.count() <= FEW_SOURCES
-    plan = goal.join(threshold(slim, goal, small), F.col("source").eqNullSafe(F.col("at")), "left").select("source", "source_size", "target", "whole", "odds", F.coalesce("last", F.lit(-1)).alias("last"))
+    few = is_small(goal)
+    plan = goal.join(threshold(slim, goal, few), F.col("source").eqNullSafe(F.col("at")), "left").select(F.col("source").alias("of"), "source_size", "target", "whole", "odds", F.coalesce("last", F.lit(-1)).alias("last"))
     plan = stored(plan, "mix-plan")
-    out = read.join(F.broadcast(plan) if small else plan, read["__source"].eqNullSafe(plan["source"]), "left")
-    more = (F.col("last") >= 0) & (ranking(F.col("__u"), F.col("odds") * F.col("__prior")) <= F.col("last"))
-    copies = (F.coalesce(plan["whole"], F.lit(0)) + F.when(more, 1).otherwise(0)).cast("long")
-    return out.select(*[read[c] for c in own], F.col("__size").alias("size"), plan["source_size"].cast("long").alias("source_size"), F.coalesce(plan["target"], F.lit(0.0)).alias("target"), copies.alias("copies"), (copies * F.col("__size")).alias("taken"))
+    out = read.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("of")), "left")
+    more = (F.col("last") >= 0) & (ranking(F.col("u"), F.col("odds") * F.col("prior")) <= F.col("last"))
+    copies = (F.coalesce("whole", F.lit(0)) + F.when(more, 1).otherwise(0)).cast("long")
+    result = [F.col("size"), F.col("source_size").cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken")]
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], *result)
 
 
-#: Sources up to which their plan is broadcast: 5,000 rows of a few numbers and a name are well under 1 MB.
-FEW_SOURCES = 5_000
-
-
-def threshold(slim: DataFrame, goal: DataFrame, small: bool) -> DataFrame:
+def threshold(slim: DataFrame, goal: DataFrame, few: bool) -> DataFrame:
     """For each source the ranking number (last) up to which the words taken come nearest to need, by cells; each level looks into one cell of the level above."""
     state = goal.where("need > 0 AND odds > 0").select(F.col("source").alias("at"), "odds", F.lit(0).cast("long").alias("low"), "need", F.lit(0.0).alias("done"))
     shift = BITS
     while shift > 0:
-        inside = slim.join(F.broadcast(state) if small else state, slim["__source"].eqNullSafe(state["at"])).withColumn("r", ranking(F.col("__u"), F.col("odds") * F.col("__prior")))
+        inside = slim.join(F.broadcast(state) if few else state, slim["__source"].eqNullSafe(state["at"])).withColumn("r", ranking(F.col("__u"), F.col("odds") * F.col("__prior")))
         inside = inside.where((F.shiftright("r", shift) == F.col("low")) & (F.col("__size") > 0))
         shift -= CELL
         cells = inside.groupBy("at", "odds", "need", "done", F.shiftright("r", shift).alias("cell")).agg(F.sum("__size").cast("double").alias("words"))

@@ -15,7 +15,10 @@ Defined cases: a null or empty text is one end; null ids belong to the training
 scored each; an empty table gives no rows; with no training document all counts are 0 and P is 1 / (V + 1) = 1.
 Batches are made again for the second pass: `docs` must give the same rows in the same partitions when it is read
 again, as a scan of files does; otherwise pass stable=False, which writes it to the shared folder first. A batch whose
-answers are missing raises an error.
+answers are missing raises an error. Texts are read whole, whatever their length; a level of a batch or shard takes up
+to 2^24 n-grams and raises an error beyond that (a single text of some hundred MB). Counts have 64 bits. Ties do not
+occur. Columns that have a result's name are replaced, no other name can clash. A (batch, shard) pair that has no n-gram
+sends no row, so rows never outnumber the batches' n-grams.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import Planes, as_bytes, flat_column, from_ipc, grouped, ids_of, slices, squeezed, stored, to_ipc
+from driftline.llm.common import Planes, as_bytes, flat_column, from_ipc, grouped, ids_of, numbered_columns, own_fields, slices, squeezed, stored, to_ipc
 from driftline.llm.trie import NAME, VALUES, Trie
 
 #: Bytes of text in a batch.
@@ -55,6 +58,12 @@ def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[new], inverse
 
 
+def check_width(nodes: int) -> None:
+    """A node's number and the name below it share 64 bits; more nodes than that would be taken for each other."""
+    if nodes >= 1 << (64 - NAME):
+        raise OverflowError(f"{nodes} n-grams of one length in a batch or shard; ask for more shards (or smaller batches)")
+
+
 class Batch:
     """The n-grams of some texts. keys[k]: the different (k + 2)-grams, as number of the (k + 1)-gram << NAME | name of the last word. With places: at[k], for every token, the number of the (k + 1)-gram that ends there, and context[k], of the (k + 1)-gram before it."""
 
@@ -85,6 +94,7 @@ class Batch:
         self.at, self.context = [ids[predicted]] if places else [], []
         nodes = ids  # the number of the n-gram of the level at hand that starts at each place
         for k in range(1, order):
+            check_width(int(nodes.max(initial=0)))
             key = nodes[:-1].astype(np.uint64)
             key <<= np.uint64(NAME)
             key |= name[ids[k:]]
@@ -113,11 +123,11 @@ class Batch:
             a, b = cuts[0][s], cuts[0][s + 1]
             if a == b:
                 continue
-            small, names = [np.diff(self.words[a:b], prepend=np.uint64(0)), self.counts[0][a:b].astype(np.uint32)], []
+            small, names = [np.diff(self.words[a:b], prepend=np.uint64(0)), self.counts[0][a:b].astype(np.uint64)], []
             for k, keys in enumerate(self.keys):
                 c, d = cuts[k + 1][s], cuts[k + 1][s + 1]
                 parent = (keys[c:d] >> np.uint64(NAME)).astype(np.int64) - a
-                small += [np.bincount(parent, minlength=b - a).astype(np.uint32), self.counts[k + 1][c:d].astype(np.uint32)]
+                small += [np.bincount(parent, minlength=b - a).astype(np.uint32), self.counts[k + 1][c:d].astype(np.uint64)]
                 names.append((keys[c:d] & _MASK).view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes())
                 a, b = c, d
             packed = squeezed(small)
@@ -129,10 +139,10 @@ def opened(blob: bytes, order: int) -> tuple[np.ndarray, list[np.ndarray], list[
     packed, *sizes = np.frombuffer(blob, np.int64, order + 1).tolist()
     at = 8 * (order + 1) + packed
     read = Planes(blob[8 * (order + 1) : at])
-    words, counts, parents, names = np.cumsum(read.take(np.uint64, sizes[0]), dtype=np.uint64), [read.take(np.uint32, sizes[0])], [], []
+    words, counts, parents, names = np.cumsum(read.take(np.uint64, sizes[0]), dtype=np.uint64), [read.take(np.uint64, sizes[0])], [], []
     for k in range(1, order):
         parents.append(np.repeat(np.arange(sizes[k - 1], dtype=np.int32), read.take(np.uint32, sizes[k - 1])))
-        counts.append(read.take(np.uint32, sizes[k]))
+        counts.append(read.take(np.uint64, sizes[k]))
         name = np.zeros((sizes[k], 8), np.uint8)
         name[:, :5] = np.frombuffer(blob, np.uint8, 5 * sizes[k], at).reshape(5, sizes[k]).T
         names.append(name.view(np.uint64)[:, 0])
@@ -150,6 +160,7 @@ def learn(blobs: list[bytes], order: int, discount: float) -> Trie:
     for k in range(order - 1):
         lengths = [len(o[3][k]) for o in opens]
         keys = np.concatenate([(w[o[2][k]].astype(np.uint64) << np.uint64(NAME)) | o[3][k] for w, o in zip(where, opens)])
+        check_width(len(words) if not k else len(below[-1][0]))
         unique, inverse = numbered(keys)
         del keys
         below.append((unique, np.bincount(inverse, weights=np.concatenate([o[1][k + 1] for o in opens]), minlength=len(unique))))
@@ -163,7 +174,7 @@ def answer(trie: Trie, blob: bytes, order: int) -> bytes:
     """For the n-grams of a blob, in its order: counts of words, then for each level codes of rest (of its parents' level) and of share."""
     words, _, parents, names = opened(blob, order)
     node = trie.find_words(words)
-    out = [np.where(node >= 0, trie.counts[node], 0).astype(np.uint32)]
+    out = [np.where(node >= 0, trie.counts[node], 0).astype(np.uint64)]
     for k in range(order - 1):
         out.append(np.where(node >= 0, trie.rest[k][node] if len(trie.rest[k]) else 255, 255).astype(np.uint8))
         node = trie.find_after(k + 1, node[parents[k]], names[k])
@@ -183,7 +194,7 @@ def score(batch: Batch, answers: dict[int, bytes], shards: int, total: int, kind
         if a == b:
             continue
         read = Planes(answers[s])
-        count[a:b] = read.take(np.uint32, b - a)
+        count[a:b] = read.take(np.uint64, b - a)
         for k in range(order - 1):
             a, b, c, d = cuts[k][s], cuts[k][s + 1], cuts[k + 1][s], cuts[k + 1][s + 1]
             rest[k][a:b] = read.take(np.uint8, b - a)
@@ -227,7 +238,7 @@ def scored(docs: DataFrame, train: Column, text: str = "text", carry: list[str]
     own = [c for c in (docs.columns if carry is None else carry) if c not in names]
     if not stable:
         docs = stored(docs, "lm-docs")
-    read = docs.select(*own, F.col(text).alias("__text"), F.coalesce(train, F.lit(True)).alias("__train"))
+    read = numbered_columns(docs, own, __text=F.col(f"`{text}`"), __train=F.coalesce(train, F.lit(True)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = shards or SHARDS_A_PART * parts
 
@@ -257,7 +268,7 @@ def scored(docs: DataFrame, train: Column, text: str = "text", carry: list[str]
 
     both = read.mapInArrow(parcel, "b1 long, b2 long, shard int, blob binary").unionByName(replies.select("b1", "b2", "shard", "blob"))
     both = both.repartition(parts, "b1", "b2").sortWithinPartitions("b1", "b2", "shard")
-    schema = T.StructType([f for f in read.schema.fields if f.name in own] + [T.StructField("held_out", T.BooleanType())] + [T.StructField(n, k) for n, k in FIELDS])
+    schema = T.StructType(own_fields(docs, own) + [T.StructField("held_out", T.BooleanType())] + [T.StructField(n, k) for n, k in FIELDS])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in grouped(batches, ["b1", "b2"]):
@@ -269,7 +280,7 @@ def scored(docs: DataFrame, train: Column, text: str = "text", carry: list[str]
             batch = Batch(as_bytes(flat_column(rows, "__text")), flat_column(rows, "__train").to_numpy(zero_copy_only=False), order)
             known, base, own_score = score(batch, blobs, shards, total, kinds)
             n = rows.num_rows
-            cols = [*(flat_column(rows, c) for c in own), pa.array(~flat_column(rows, "__train").to_numpy(zero_copy_only=False)), pa.array(batch.n_tokens), pa.array(known), pa.array(np.full(n, total)), pa.array(base), pa.array(own_score)]
+            cols = [*(flat_column(rows, f"c{i}") for i in range(len(own))), pa.array(~flat_column(rows, "__train").to_numpy(zero_copy_only=False)), pa.array(batch.n_tokens), pa.array(known), pa.array(np.full(n, total)), pa.array(base), pa.array(own_score)]
             yield pa.RecordBatch.from_arrays(cols, [*own, *names])
 
     return both.mapInArrow(finish, schema)

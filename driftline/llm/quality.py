@@ -4,8 +4,9 @@ Every line of a text is held against punctuation, navigation, boilerplate, symbo
 fail are taken out, and a document that loses too much of its text that way is rejected.
 
 Defined cases: a null text has no words and is rejected by the base rule (fewer words than `min_words`); empty and
-blank texts likewise. Repeated rows are judged alike, each on its own. Other columns pass through untouched, and
-columns of the input that have the name of a result column are replaced.
+blank texts likewise. A text of any length is judged whole, in memory in proportion to it; an empty table gives no
+rows; there are no ties, as each text is judged by itself. Repeated rows are judged alike, each on its own. Other columns pass
+through untouched, and columns of the input that have the name of a result column are replaced; no other can clash.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import ids_of, slices
+from driftline.llm.common import ids_of, numbered_columns, own_arrays, own_fields, slices
 
 SYMBOLS = "#*$%&|<>"
 #: A line of text ends in one of these, perhaps inside closing marks.
@@ -39,7 +40,6 @@ class LineRules:
     min_kept: float = 0.5
     max_symbols_per_word: float = 0.3
     max_upper: float = 0.7
-    short_line_words: int = 3
     max_copies: int = 2
 
 
@@ -54,11 +54,11 @@ def base(text: str | None) -> tuple[int, int, int, int, int, list[bytes]]:
     lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
     repeated = 0
     if n > 3:
-        windows = list(zip(words, words[1:], words[2:]))
-        counts = Counter(windows)
-        if len(counts) < len(windows):
+        windows = lambda: zip(words, words[1:], words[2:])  # noqa: E731  made anew rather than held: a text may be long
+        counts = Counter(windows())
+        if len(counts) < n - 2:
             hit = bytearray(n)
-            for i, w in enumerate(windows):
+            for i, w in enumerate(windows()):
                 if counts[w] > 1:
                     hit[i : i + 3] = b"\1\1\1"
             repeated = hit.count(1)
@@ -73,9 +73,7 @@ def line_passes(line: str, rules: LineRules) -> bool:
     upper = sum(map(str.isupper, line))
     if upper >= 8 and upper > rules.max_upper * sum(map(str.isalpha, line)):
         return False
-    if not ENDS.search(line) and len(words) >= rules.short_line_words:
-        return False
-    if len(words) < rules.short_line_words and not ENDS.search(line):
+    if not ENDS.search(line):
         return False
     return not NAVIGATION.search(line) and not BOILERPLATE.search(line)
 
@@ -116,13 +114,13 @@ def judged(docs: DataFrame, text: str = "text", rules: LineRules = LineRules(),
     """docs with the result columns. keep_columns: the columns to carry along (all); the text is read once, in one narrow pass."""
     names = [n for n, _ in FIELDS]
     carried = [c for c in (docs.columns if keep_columns is None else keep_columns) if c not in names]
-    read = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias("__text"))
-    schema = T.StructType([f for f in read.schema.fields if f.name != "__text"] + [T.StructField(n, T.LongType() if k == "long" else T.BooleanType()) for n, k in FIELDS])
+    read = numbered_columns(docs, carried, text=F.col(f"`{text}`"))
+    schema = T.StructType(own_fields(docs, carried) + [T.StructField(n, T.LongType() if k == "long" else T.BooleanType()) for n, k in FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text"):
-            rows = [judge(t, rules) for t in ids_of(b, "__text").to_pylist()]
-            cols = [ids_of(b, c) for c in carried]
+        for b in slices(batches, "text"):
+            rows = [judge(t, rules) for t in ids_of(b, "text").to_pylist()]
+            cols = own_arrays(b, len(carried))
             cols += [pa.array([r[n] for r in rows], pa.int64() if k == "long" else pa.bool_()) for n, k in FIELDS]
             yield pa.RecordBatch.from_arrays(cols, [*carried, *names])
 
@@ -133,5 +131,5 @@ def kept_documents(docs: DataFrame, text: str = "text", rules: LineRules = LineR
     """The rows that pass, with the columns they came with."""
     clash = {n: f"__own_{n}" for n, _ in FIELDS if n in docs.columns}
     safe = docs.withColumnsRenamed(clash)
-    out = judged(safe, clash.get(text, text), rules).where("kept").select(*safe.columns)
+    out = judged(safe, clash.get(text, text), rules).where("kept").select(*[F.col(f"`{c}`") for c in safe.columns])
     return out.withColumnsRenamed({v: k for k, v in clash.items()})

@@ -51,6 +51,8 @@ URL_LIST = [
     ("blog.tionble.example.com/en/", "block", "2024-03-03", "on"),
     ("blog.tionble.example.com/fr/", "block", "2024-10-10", "on"),
     ("blog.tionble.example.com/fr/", "block", "2025-10-10", "off"),
+    ("Blog.Tionble.example.com/de", "block", "2024-02-02", "on"),
+    ("BLOG.tionble.example.com/DE", "block", "2025-02-02", "off"),
 ]
 
 
@@ -63,23 +65,23 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _VALUES = ", ".join(f"('{e}', '{v}', DATE '{a}', '{x}')" for e, v, a, x in URL_LIST)
 OP6_SQL = rf"""
-WITH log(entry, verdict, day, action) AS (VALUES {_VALUES}),
+WITH given(entry, verdict, day, action) AS (VALUES {_VALUES}), log AS (SELECT lower(entry) AS entry, verdict, day, action FROM given),
 seen AS (SELECT *, lag(action) OVER (PARTITION BY entry, verdict ORDER BY day, action DESC) AS before FROM log),
 turns AS (SELECT *, lead(day) OVER (PARTITION BY entry, verdict ORDER BY day, action DESC) AS until FROM seen
           WHERE action = 'on' AND (before IS NULL OR before = 'off') OR action = 'off' AND before = 'on'),
-valid AS (SELECT lower(entry) AS entry, verdict, day AS since, until FROM turns WHERE action = 'on' AND (until IS NULL OR until > day)),
+valid AS (SELECT entry, verdict, day AS since, until FROM turns WHERE action = 'on' AND (until IS NULL OR until > day)),
 captures AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 730 AS INTEGER) AS DATE) AS fetched,
-    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
+    rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '.') AS host,
     lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1)) AS path FROM pages),
 met AS (SELECT c.page_id, v.entry, v.verdict FROM captures c JOIN valid v ON v.since <= c.fetched AND (v.until IS NULL OR c.fetched < v.until)
-    AND (c.host = v.entry OR ends_with(c.host, '.' || v.entry) OR (contains(v.entry, '/') AND starts_with(c.host || c.path, v.entry)))),
+    AND (c.host = v.entry OR ends_with(c.host, '.' || v.entry) OR (contains(v.entry, '/') AND (c.host || c.path = v.entry OR starts_with(c.host || c.path, regexp_replace(v.entry, '/$', '') || '/'))))),
 best AS (SELECT page_id, count(*) AS n_active, arg_max(entry, (length(entry), verdict, entry)) AS entry, arg_max(verdict, (length(entry), verdict, entry)) AS verdict FROM met GROUP BY 1)
 SELECT c.page_id, c.url, c.fetched, coalesce(n_active, 0) AS n_active, entry, coalesce(verdict, 'allow') AS verdict FROM captures c LEFT JOIN best USING (page_id)
 """
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents"), carry=["doc_id", "source"])
+    return mixing.mixed(table(spark, sf_dir, "documents"), carry=["doc_id", "source"], size_power=0.5)
 
 
 #: A conversation that says what a template might say.
@@ -116,7 +118,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"]).drop("items")
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"], near=20).drop("items")
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_ngram_lm, op3_repeats, op4_quality_rules, op5_simhash, op6_url_filters, op7_mixing, op8_chat, op9_html_extraction, op10_decontamination)}

@@ -7,7 +7,8 @@ most `n` (a bounded sample, 4,000 in production) after public formats of keys an
 where a project has none of its own.
 
 Defined cases: null and empty texts have no candidate; a null path counts as an empty one; repeated rows are scanned
-each; texts are scanned whole; an empty table gives no rows.
+each; texts of any length are scanned whole; candidates that overlap are one; a score that ties with the limit counts as
+a secret; an empty table gives no rows; columns that have a result's name are replaced, no other name can clash.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.llm import forest
-from driftline.llm.common import ids_of, slices
+from driftline.llm.common import ids_of, numbered_columns, own_arrays, own_fields, slices
 
 LONG = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
 GIVEN = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credential)s?[\"']?\s*(?:[:=]|=>|:=)\s*[\"']?([^\s\"'`,;]{6,})")
@@ -149,6 +150,13 @@ def labelled_findings(n: int = 4000, seed: int = 1) -> list[Finding]:
     return out
 
 
+def findings_of(table: DataFrame, most: int = 4000, seed: int = 1) -> list[Finding]:
+    """A project's own labelled findings, rows (text, begin, end, path, label): a seeded sample of at most `most` (the bound on what the forest is fitted on), by the order of a hash of the whole row."""
+    own = table.select("text", F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end"), F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), F.col("label").cast("int").alias("label")).where("text IS NOT NULL AND label IS NOT NULL AND begin >= 0 AND begin < end")
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.to_json(F.struct(*own.columns))).cast("binary"))
+    return [Finding(r.text, r.begin, r.end, r.path, r.label) for r in own.orderBy(order).limit(most).collect()]
+
+
 def fit(findings: list[Finding], seed: int = 0) -> forest.Forest:
     return forest.train(np.array([features(f) for f in findings]), np.array([f.label for f in findings], float), seed=seed)
 
@@ -175,19 +183,19 @@ def scanned(docs: DataFrame, model: forest.Forest, text: str = "text", path: str
     """docs (the columns of carry; all) with n_candidates, n_secrets, max_score and findings (begin, end, score of each secret); redacted: the text column has secrets replaced by MARK."""
     names = ["n_candidates", "n_secrets", "max_score", "findings"]
     own = [c for c in (docs.columns if carry is None else carry) if c not in names]
-    read = docs.select(*own, F.col(text).alias("__text"), (F.col(path).cast("string") if path in docs.columns else F.lit("")).alias("__path"))
+    read = numbered_columns(docs, own, text=F.col(f"`{text}`"), path=F.col(f"`{path}`").cast("string") if path in docs.columns else F.lit(""))
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # 40 trees of at most 8,000 nodes
     item = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
-    schema = T.StructType([f for f in read.schema.fields if f.name in own] + [T.StructField("n_candidates", T.LongType()), T.StructField("n_secrets", T.LongType()), T.StructField("max_score", T.DoubleType()), T.StructField("findings", T.ArrayType(item))])
+    schema = T.StructType(own_fields(docs, own) + [T.StructField("n_candidates", T.LongType()), T.StructField("n_secrets", T.LongType()), T.StructField("max_score", T.DoubleType()), T.StructField("findings", T.ArrayType(item))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = pickle.loads(held.value)
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-        for b in slices(batches, "__text"):
-            texts = ids_of(b, "__text").to_pylist()
-            every = [scan_text(t, p, trees, at) for t, p in zip(texts, ids_of(b, "__path").to_pylist())]
+        for b in slices(batches, "text"):
+            texts = ids_of(b, "text").to_pylist()
+            every = [scan_text(t, p, trees, at) for t, p in zip(texts, ids_of(b, "path").to_pylist())]
             kept = [[x for x in f if x[2] >= at] for f in every]
-            cols = {c: ids_of(b, c) for c in own}
+            cols = dict(zip(own, own_arrays(b, len(own))))
             if redacted and text in cols:
                 cols[text] = pa.array([redact(t, k, at) if k else t for t, k in zip(texts, kept)], pa.string())
             more = [pa.array([len(f) for f in every], pa.int64()), pa.array([len(k) for k in kept], pa.int64()), pa.array([max((x[2] for x in f), default=None) for f in every], pa.float64()), pa.array([[{"begin": x, "end": y, "score": s} for x, y, s in k] for k in kept], kind)]
@@ -206,7 +214,7 @@ def redacted_documents(docs: DataFrame, text: str = "text", path: str = "source"
     names = ["n_candidates", "n_secrets", "max_score", "findings"]
     clash = {n: f"__own_{n}" for n in names if n in docs.columns}
     safe = docs.withColumnsRenamed(clash)
-    out = scanned(safe, default_model(), text, path, redacted=True).select(*safe.columns)
+    out = scanned(safe, default_model(), text, path, redacted=True).select(*[F.col(f"`{c}`") for c in safe.columns])
     return out.withColumnsRenamed({v: k for k, v in clash.items()})
 
 

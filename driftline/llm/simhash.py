@@ -21,7 +21,9 @@ similarity. Groups and buckets over `DEALT` are dealt as pairs of tiles of texts
 
 Defined cases: a null or empty text has no shingle and fingerprint zero, linked like any other; fewer words than a
 shingle: the whole sequence is the one shingle; repeated rows share a fingerprint and so a component; null ids take
-no part in a component's least id (a component of null ids only has a null component_id).
+no part in a component's least id (a component of null ids only has a null component_id); texts are read whole,
+whatever their length, and hashed in steps; of ties in an id none is preferred, as the least id is the same; an empty
+table gives no rows; other columns of the table are not read, so no name can clash.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import as_bytes, grouped, ids_of, slices, stored
+from driftline.llm.common import as_bytes, grouped, ids_of, numbered_columns, slices, stored
 from driftline.llm.components import components
 
 #: Fingerprints in a tile of the comparison, and in a tile that is dealt to a task.
@@ -272,16 +274,12 @@ def verified(near: DataFrame, shingle: int, similar: float, reach: int) -> DataF
     return ordered.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, wide: int | None = None, similar: float | None = None) -> DataFrame:
-    """A row for each row of docs: key, fp, component_id (least key reachable) and copies (rows of the same fingerprint). wide: a radius on wide fingerprints, links by which count too.
-
-    similar: instead of by fingerprints, texts are linked by that similarity of their exact sets of shingles; fp is then a hash of the set, and wide (or REACH, if that is more) the radius of candidates.
-    """
-    marked = stored(fingerprints(docs, text, [key], shingle, wide is not None, similar is not None), "fingerprints")
+def linked(marked: DataFrame, least: Column, shingle: int, radius: int, wide: int | None, similar: float | None) -> DataFrame:
+    """(fp, copies, root, first): every fingerprint with its rows, its component and the component's least value of an expression over marked."""
     more = [F.min(F.struct("wide", "sketch")).alias("w")] if wide is not None and similar is None else []
     if similar is not None:
         more = [F.min(F.struct("wide", "sketch", "size")).alias("w")]
-    fps = stored(marked.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("copies"), *more), "distinct")
+    fps = stored(marked.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("copies"), *more), "distinct")
     if similar is not None:
         reach = max(wide or 0, REACH)
         groups = stored(components(wide_links(fps.select("fp", "w.*"), reach, similar)), "groups")
@@ -293,17 +291,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
             edges = edges.unionByName(wide_links(fps.select("fp", "w.wide", "w.sketch"), wide))
     roots = components(edges)
     tied = stored(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")), "tied")
-    ids = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = tied.join(ids, "root").select("fp", "copies", "component_id")
-    return marked.select(key, "fp").join(named, "fp").select(key, "fp", "component_id", "copies")
+    ids = tied.groupBy("root").agg(F.min("least").alias("first"))
+    return tied.join(ids, "root").select("fp", "copies", "root", "first")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, wide: int | None = None, similar: float | None = None) -> DataFrame:
+    """A row for each row of docs: key, fp, component_id (least key reachable) and copies (rows of the same fingerprint). wide: a radius on wide fingerprints, links by which count too.
+
+    similar: instead of by fingerprints, texts are linked by that similarity of their exact sets of shingles; fp is then a hash of the set, and wide (or REACH, if that is more) the radius of candidates.
+    """
+    read = numbered_columns(docs, [key], text=F.col(f"`{text}`"))
+    marked = stored(fingerprints(read, "text", ["c0"], shingle, wide is not None, similar is not None), "fingerprints")
+    named = linked(marked, F.col("c0"), shingle, radius, wide, similar).select("fp", "copies", F.col("first").alias("component_id"))
+    return marked.select("c0", "fp").join(named, "fp").select(F.col("c0").alias(key), "fp", "component_id", "copies")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 3, wide: int | None = 46, similar: float | None = None) -> DataFrame:
-    """docs without near duplicates: of each component the document of the least key stays, of repeated rows of it one.
+    """docs without near duplicates: of each component the row of the least key stays (keys before nulls), of rows of one key the one whose content hashes least, and of equal rows one.
 
-    Rows without a key are each other's duplicates only where a component has no key at all; then one stays.
+    Rows are told apart by all their columns, not by the key: different texts under one key, or without a key, are no
+    duplicates by that. Columns of any name (but `__k1` and `__k2`) and texts of any length are kept as they are; texts
+    without a shingle are one component; an empty table gives no rows.
     """
-    marks = near_duplicates(docs, key, text, shingle, radius, wide, similar).where(F.col(key).eqNullSafe(F.col("component_id"))).select(key, "fp").distinct()
-    clash = f"__{key}"
-    lean = docs.join(marks.select(F.col(key).alias(clash)).distinct(), F.col(key).eqNullSafe(F.col(clash)), "left_semi")
-    return lean.dropDuplicates([key])
+    keyed = docs.withColumns({"__k1": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), "__k2": F.xxhash64(F.lit(0x5BD1E995), *[F.col(f"`{c}`") for c in docs.columns], F.lit(1))})
+    read = keyed.select(F.col("__k1").alias("c0"), F.col("__k2").alias("c1"), F.col(f"`{key}`").alias("c2"), F.col(f"`{text}`").alias("text"))
+    marked = stored(fingerprints(read, "text", ["c0", "c1", "c2"], shingle, wide is not None, similar is not None), "fingerprints")
+    rows = linked(marked, F.struct(F.col("c2").isNull().alias("none"), F.col("c2").alias("key"), F.col("c0").alias("k1"), F.col("c1").alias("k2")), shingle, radius, wide, similar)
+    stay = rows.select(F.col("first.k1").alias("__k1"), F.col("first.k2").alias("__k2")).distinct()
+    return keyed.join(stay, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -129,7 +129,7 @@ class Trie:
             pointers.append(EliasFano.of(np.concatenate([[0], ends]).astype(np.uint64), len(keys)))
             levels.append(EliasFano.of(keys, int(keys[-1]) if len(keys) else 0))
             n = len(keys)
-        return cls(levels, pointers, counts.astype(np.uint32), share, rest)
+        return cls(levels, pointers, counts.astype(np.uint64), share, rest)
 
     def find_words(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of words, -1 where there is none."""
@@ -169,7 +169,7 @@ class Trie:
             coded.append(EliasFano(*struct.unpack("<qq", head), np.frombuffer(low, np.uint64), np.frombuffer(high, np.uint8)))
         left = found[3 * (2 * n - 1) :]
         codes = [np.frombuffer(x, np.uint8) for x in left[1:]]
-        return cls(coded[:n], coded[n:], np.frombuffer(left[0], np.uint32), codes[: n - 1], codes[n - 1 :])
+        return cls(coded[:n], coded[n:], np.frombuffer(left[0], np.uint64), codes[: n - 1], codes[n - 1 :])
 
     def mapped(self) -> Trie:
         """The same trie in an anonymous mapping, where the system can page it."""

@@ -14,7 +14,10 @@ one all that is left.
 
 Defined cases: a null, empty or text-less page has an empty text; a page without a host belongs to the empty host; a
 host with one page has no template text; text inside an article is never taken for template text, as copies of a page
-would lose their article; unclosed elements end with what encloses them; repeated rows get the same result.
+would lose their article; unclosed elements end with what encloses them; repeated rows get the same result. Pages are read
+whole, whatever their length. Which of two equally good alignments is taken depends on the order in which pages meet, so
+a wrapper may differ between layouts of a table; what counts as template text needs `SUPPORT` different pages in any of
+them. Columns that have a result's name are replaced, no other name can clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import grouped, ids_of, slices, stored
+from driftline.llm.common import grouped, ids_of, numbered_columns, own_arrays, own_fields, slices, stored
 from driftline.llm.urlfilter import host_of
 
 #: Different pages in which a text must stand at the same place to be template text.
@@ -280,7 +283,7 @@ def merged(blobs: list[bytes]) -> Node:
 
 def inferred(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """(host, wrapper): the wrapper of every host, over all its pages."""
-    read = pages.select(F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.col(page).alias("__text")).where("__text IS NOT NULL")
+    read = pages.select(F.coalesce(host_of(F.col(f"`{url}`")), F.lit("")).alias("host"), F.col(f"`{page}`").alias("__text")).where("__text IS NOT NULL")
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Node] = {}
@@ -305,8 +308,8 @@ def extracted(pages: DataFrame, url: str = "url", page: str = "html", carry: lis
     """pages (the columns of carry; all) with text, the main text, and n_chars, its code points."""
     own = [c for c in (pages.columns if carry is None else carry) if c not in ("text", "n_chars")]
     known = stored(inferred(pages, url, page), "wrappers")
-    read = pages.select(*own, F.coalesce(host_of(F.col(url)), F.lit("")).alias("__host"), F.col(page).alias("__text"))
-    schema = T.StructType([f for f in read.schema.fields if f.name in own] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    read = numbered_columns(pages, own, __host=F.coalesce(host_of(F.col(f"`{url}`")), F.lit("")), __text=F.col(f"`{page}`"))
+    schema = T.StructType(own_fields(pages, own) + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     small = (known.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0) <= BROADCAST_BYTES
     if small:
         held = pages.sparkSession.sparkContext.broadcast({r.host: bytes(r.wrapper) for r in known.toLocalIterator()})
@@ -328,6 +331,6 @@ def extracted(pages: DataFrame, url: str = "url", page: str = "html", carry: lis
                     raw = held.value.get(h) if held is not None else blobs[i].as_py()
                     opened[h] = pickle.loads(raw) if raw is not None else None
                 texts.append(main_text(t, opened[h]))
-            yield pa.RecordBatch.from_arrays([*(ids_of(b, c) for c in own), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*own, "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*own_arrays(b, len(own)), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*own, "text", "n_chars"])
 
     return source.mapInArrow(run, schema)

@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from driftline.llm import decontam
@@ -59,9 +62,41 @@ def test_small_cases(spark):
     assert not any(x[4] for x in held(decontam.contamination(d, b.where("false"))).values())
 
 
+def test_proximity_of_whole_texts(spark):
+    rnd = random.Random(6)
+    words_ = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(rnd.choice(words_) for _ in range(rnd.randrange(0, 60)))) for i in range(80)]
+    items = [(i, " ".join(rnd.choice(words_) for _ in range(rnd.randrange(2, 6)))) for i in range(25)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block_words in (10_000, 30):
+        got = {r.doc_id: r.n_near for r in decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(1), bench, window=3, block_words=block_words, near=4).collect()}
+        freq = Counter(w for _, t in docs for w in t.split())
+        for d, t in docs:
+            w, found = t.split(), set()
+            for i, q in items:
+                q = q.split()
+                for k in range(max(1, len(q) - 2)):
+                    own = q[k : k + 3]
+                    rare = min(own, key=lambda x: (freq[x], own.index(x)))
+                    if any(x == rare and all(any(y == z for z in w[max(0, at - 4) : at + 5]) for y in own) for at, x in enumerate(w)):
+                        found.add(i)
+            assert got[d] == len(found)
+
+
+def test_clashing_names(spark):
+    """Names inside the operator and names with a dot keep their values, with one block of items and with many."""
+    docs = spark.createDataFrame([(1, "one two three", 5, 6, 7, 8), (1, "one two three", 5, 6, 7, 8), (None, None, None, None, None, None)], "doc_id long, text string, k1 long, hits long, `a.b` long, c0 long")
+    bench = spark.createDataFrame([(i, f"two w{i}") for i in range(20)], "item_id long, text string")
+    for block_words in (10_000, 10):
+        got = decontam.contamination(docs, bench, window=1, block_words=block_words)
+        assert got.columns[:6] == docs.columns and sorted(tuple(r)[:6] for r in got.collect() if r.doc_id) == [(1, "one two three", 5, 6, 7, 8)] * 2
+        assert {r.n_items for r in got.collect() if r.doc_id} == {20}
+
+
 def test_proximity():
     q = {w: i for i, w in enumerate([b"a", b"b", b"c"])}
     seg = decontam.Segment([b"a x x b", b"b x a c", b"c"], q)
-    assert seg.near([0, 1], 3).tolist() == seg.postings(0).tolist()
-    assert len(seg.near([0, 1], 2)) == 1
-    assert len(seg.near([0, 1, 2], 2)) == 1
+    places = lambda terms, k: [p for _, x in seg.near(np.array([terms]), k) for p in x.tolist()]
+    assert places([0, 1], 3) == seg.postings(0).tolist()
+    assert len(places([0, 1], 2)) == 1
+    assert len(places([0, 1, 2], 2)) == 1

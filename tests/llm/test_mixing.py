@@ -1,7 +1,9 @@
 import hashlib
+import math
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftline.llm import mixing
 
@@ -64,3 +66,45 @@ def test_prior_favours(spark):
 def test_hash(spark):
     u = spark.createDataFrame([(5,)], "doc_id long").select(mixing.unit("doc_id", 7).alias("u")).first().u
     assert u == int(hashlib.md5(b"5:7").hexdigest()[:10], 16) >> 1
+
+
+def brute_copies(rows, share=1.5, power=0.5, seed=7):
+    """Copies of every document: whole ones, and one more in the order of Pareto's numbers while that brings the words nearer to the target."""
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+    want, out = brute_targets(sizes, share), {}
+    for s in sizes:
+        own = [r for r in rows if r["source"] == s]
+        rate = want[s] / sizes[s] if sizes[s] else 0.0
+        whole = math.floor(rate)
+        need, p = want[s] - whole * sizes[s], rate - whole
+        laid = []
+        for r in own:
+            out[r["doc_id"]] = whole
+            if r["size"] and need > 0 and p > 0:
+                u = ((int(hashlib.md5(f"{r['doc_id']}:{seed}".encode()).hexdigest()[:10], 16) >> 1) + 0.5) / 2**39
+                laid.append((u / (1 - u) / (p / (1 - p) * r["size"] ** power), r))
+        done = 0
+        for _, r in sorted(laid, key=lambda x: x[0]):
+            if abs(done + r["size"] - need) > abs(done - need):
+                break
+            done += r["size"]
+            out[r["doc_id"]] += 1
+    return out
+
+
+def test_selection_of_the_whole_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [r.asDict() for r in mixing.mixed(docs, carry=["doc_id", "source"], size_power=0.5).collect()]
+    check(rows)
+    assert {r["doc_id"]: r["copies"] for r in rows} == brute_copies(rows)
+    more = [r["size"] for r in rows if r["copies"] > min(x["copies"] for x in rows if x["source"] == r["source"])]
+    assert sum(more) / len(more) > sum(r["size"] for r in rows) / len(rows)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "a b", "x", 1, 2, 3) for i in range(8)], "doc_id long, text string, source string, last int, odds int, `a.b` int")
+    got = mixing.mixed(docs)
+    assert got.columns[:6] == docs.columns and {tuple(r)[3:6] for r in got.collect()} == {(1, 2, 3)}
+    assert mixing.mixed(docs.limit(1).withColumn("text", F.repeat(F.lit("w "), 300_000))).first().size == 300_000

@@ -109,3 +109,12 @@ def test_trie_in_a_mapped_file(tmp_path):
     got = m.find_after(1, (keys >> np.uint64(NAME)).astype(np.int64), keys & np.uint64((1 << NAME) - 1))
     assert (got == np.arange(len(keys))).all()
     assert len(t.to_bytes()) < 8 * (len(words) + len(keys))
+
+
+def test_widths():
+    big = np.array([5_000_000_000], np.float64)
+    t = Trie.build(np.array([7], np.uint64), big, [(np.array([7], np.uint64), big)])
+    assert int(Trie.read(t.to_bytes()).counts[0]) == 5_000_000_000
+    with pytest.raises(OverflowError):
+        ngram_lm.check_width(1 << 24)
+    ngram_lm.check_width((1 << 24) - 1)

@@ -57,3 +57,34 @@ def test_clashing_columns_and_no_rows(spark):
     out = quality.kept_documents(docs)
     assert out.columns == docs.columns
     assert quality.judged(docs.where("false")).count() == 0
+
+
+def brute_kept(text):
+    """The verdict from the rules in words: line by line, at most two equal ones count."""
+    lines, left, seen = (text or "").split("\n"), 0, {}
+    for x in lines:
+        if not x.strip():
+            continue
+        seen[x] = seen.get(x, 0) + 1
+        closed = x.rstrip()
+        while closed and closed[-1] in "\"')]”’»›":
+            closed = closed[:-1]
+        upper = sum(c.isupper() for c in x)
+        fine = closed[-1:] and closed[-1] in ".!?:;…。！？؟।" and sum(x.count(c) for c in "#*$%&|<>") <= 0.3 * len(x.split())
+        fine = fine and not (upper >= 8 and upper > 0.7 * sum(c.isalpha() for c in x)) and seen[x] <= 2
+        if fine and not quality.NAVIGATION.search(x) and not quality.BOILERPLATE.search(x):
+            left += sum(not c.isspace() for c in x)
+    n, chars, _, _, repeated, _ = quality.base(text)
+    return n >= 50 and 100 * repeated <= 50 * n and 2 * left >= chars
+
+
+def test_verdicts_of_the_whole_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r.doc_id: brute_kept(r.text) for r in docs.collect()}
+    assert {r.doc_id: r.kept for r in quality.judged(docs).collect()} == want and set(want.values()) == {True, False}
+
+
+def test_a_very_long_text(spark):
+    docs = spark.range(1).selectExpr("id AS doc_id", "repeat('A line of some running text. ', 200000) AS text", "1 AS `a.b`", "2 AS c0")
+    r = quality.judged(docs).first()
+    assert r.n_words == 1_200_000 and r.base_failed and (r["a.b"], r.c0) == (1, 2)

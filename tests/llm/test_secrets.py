@@ -53,3 +53,17 @@ def test_cases(spark, model):
     assert {r.doc_id: r.text for r in out.collect()}[1] == f'token = "{secrets.MARK}" and password: {secrets.MARK}'
     assert secrets.scanned(docs.where("false"), model).count() == 0
     assert secrets.scanned(docs.drop("source"), model).count() == 6
+
+
+def test_labelled_table_and_whole_table(spark, sf):
+    """A forest fitted on a table of findings; its scan of the whole table is that of the plain functions."""
+    made = secrets.labelled_findings(600, 9)
+    table = spark.createDataFrame([(f.text, f.begin, f.end, f.path, f.label) for f in made] + [(None, 0, 1, None, 1)], "text string, begin int, end int, path string, label int").repartition(4)
+    found = secrets.findings_of(table, 500)
+    assert len(found) == 500 and set(found) <= set(made) and found == secrets.findings_of(table.repartition(2), 500)
+    model = secrets.fit(found)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("a.b", F.lit(1))
+    want = {r.doc_id: secrets.scan_text(r.text, r.source, model, 0.5) for r in docs.collect()}
+    got = {r.doc_id: r for r in secrets.scanned(docs, model).collect()}
+    for i, w in want.items():
+        assert (got[i].n_candidates, got[i].n_secrets) == (len(w), sum(s >= 0.5 for *_, s in w)) and got[i]["a.b"] == 1

@@ -209,3 +209,16 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(200, 100), (300, 200), (5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, 300: 100}
+    far = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long"), few=0).collect()}
+    assert far == got
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_only_duplicates_go(spark):
+    """Rows without a key, or with one that others have too, stay unless their text has a near copy."""
+    say = lambda s: " ".join(f"{s}{i}" for i in range(40))
+    rows = [(None, say("a"), 1), (None, say("b"), 1), (None, say("c"), 1), (5, say("d"), 1), (5, say("e"), 1), (6, say("e"), 1), (7, say("f"), 1), (7, say("f"), 1), (None, say("f"), 1), (8, say("g") + " x", 1), (9, say("g"), 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int").repartition(3)
+    left = simhash.one_of_each(docs, similar=0.8)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text[0]) for r in left.collect()) == [(0, "a"), (0, "b"), (0, "c"), (5, "d"), (5, "e"), (7, "f"), (8, "g")]

@@ -82,3 +82,15 @@ def test_cases(spark):
     assert (by[1], by[2], by[3], by[4]) == ("", "", "", "plain <text> here")
     assert by[5] == "T one two three" and by[6] == "deep" and by[7] == "a < b and c > d" and len(by[8]) == 5 * 50000 - 1
     assert w.extracted(df.where("false")).count() == 0
+
+
+def test_whole_table_without_article_tags(spark, sf):
+    """The same texts come out where articles are plain divs, so the article tag is not what finds them."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", "(</?)article\\b", "$1div"))
+    assert {r.page_id: r.text for r in w.extracted(bare).collect()} == {r.page_id: r.text for r in w.extracted(pages).collect()}
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "http://a.b/", "<p>t</p>", 3, 4)], "page_id long, url string, html string, `a.b` int, __text int")
+    assert [tuple(r) for r in w.extracted(df).collect()] == [(1, "http://a.b/", "<p>t</p>", 3, 4, "t", 1)]
