@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import as_bytes, grouped, ids_of, numbered_columns, slices, stored
 from driftline.llm.components import components
+from driftline.session import small
 
 #: Fingerprints in a tile of the comparison, and in a tile that is dealt to a task.
 TILE, DEALT = 512, 2048
@@ -283,7 +284,7 @@ def linked(marked: DataFrame, least: Column, shingle: int, radius: int, wide: in
     if similar is not None:
         reach = max(wide or 0, REACH)
         groups = stored(components(wide_links(fps.select("fp", "w.*"), reach, similar)), "groups")
-        texts = marked.join(groups.select(F.col("node").alias("fp"), F.col("root").alias("value")), "fp").groupBy("fp", "value").agg(F.first("size").alias("size"), F.first("wide").alias("wide"), F.first("body").alias("text"))
+        texts = marked.join(small(groups.select(F.col("node").alias("fp"), F.col("root").alias("value"))), "fp").groupBy("fp", "value").agg(F.first("size").alias("size"), F.first("wide").alias("wide"), F.first("body").alias("text"))
         edges = verified(stored(texts, "texts"), shingle, similar, reach)
     else:
         edges = links(fps, radius)
@@ -317,5 +318,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     read = keyed.select(F.col("__k1").alias("c0"), F.col("__k2").alias("c1"), F.col(f"`{key}`").alias("c2"), F.col(f"`{text}`").alias("text"))
     marked = stored(fingerprints(read, "text", ["c0", "c1", "c2"], shingle, wide is not None, similar is not None), "fingerprints")
     rows = linked(marked, F.struct(F.col("c2").isNull().alias("none"), F.col("c2").alias("key"), F.col("c0").alias("k1"), F.col("c1").alias("k2")), shingle, radius, wide, similar)
-    stay = rows.select(F.col("first.k1").alias("__k1"), F.col("first.k2").alias("__k2")).distinct()
-    return keyed.join(stay, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = stored(rows.select(F.col("first.k1").alias("__k1"), F.col("first.k2").alias("__k2")).distinct(), "stay")
+    twice = stored(marked.groupBy(F.col("c0").alias("__k1"), F.col("c1").alias("__k2")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
+    # Only rows that have an equal one are brought together; where the lists are small, no other text moves.
+    left, keys = keyed.join(small(stay), ["__k1", "__k2"], "left_semi"), ["__k1", "__k2"]
+    alone = left.join(small(twice), keys, "left_anti")
+    return alone.unionByName(left.join(small(twice), keys, "left_semi").dropDuplicates(keys)).select(*[F.col(f"`{c}`") for c in docs.columns])
