@@ -38,7 +38,7 @@ from driftline.llm.common import Planes, as_bytes, flat_column, from_ipc, groupe
 from driftline.llm.trie import NAME, VALUES, Trie
 
 #: Bytes of text in a batch.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Shards that a shuffle partition holds; one shard's trie is in memory at a time.
 SHARDS_A_PART = 4
 START, END = b"\x00 start", b"\x00 end"  # no word has a space
@@ -80,6 +80,7 @@ class Batch:
         ids = np.concatenate(parts)
         del parts
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
+        del number, get  # the largest thing here
         by = np.argsort(hashes)
         place = np.empty(len(by), np.int32)
         place[by] = np.arange(len(by), dtype=np.int32)
