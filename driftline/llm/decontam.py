@@ -91,13 +91,13 @@ class Segment:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return self.keys[at] == key
 
-    def rarest(self, windows: np.ndarray, at_once: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(window number, place of its rarest term, its terms' order from rare to frequent) of the windows that have postings for all terms, in portions."""
+    def rarest(self, windows: np.ndarray, counts: np.ndarray | None = None, at_once: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(window number, place of its rarest term, its terms' order from rare to frequent) of the windows that have postings for all terms, in portions. counts: of all terms, where those of these documents don't decide."""
         df = self.counts[windows]
         alive = np.flatnonzero(df.min(axis=1) > 0)
         if not len(alive):
             return
-        order = np.argsort(df[alive], axis=1, kind="stable")
+        order = np.argsort(df[alive] if counts is None else counts[windows[alive]], axis=1, kind="stable")
         rare = windows[alive, order[:, 0]]
         sizes = self.counts[rare]
         cut = np.searchsorted(np.cumsum(sizes), np.arange(at_once, sizes.sum() + at_once, at_once))
@@ -122,10 +122,10 @@ class Segment:
             if len(start):
                 yield which, start
 
-    def near(self, windows: np.ndarray, within: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def near(self, windows: np.ndarray, within: int, counts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(window number, place) of the places of windows' rarest terms around which every other term stands at most `within` words away, in the same document."""
         last = max(len(self.keys) - 1, 0)
-        for which, place, order in self.rarest(windows):
+        for which, place, order in self.rarest(windows, counts):
             for k in range(1, windows.shape[1]):
                 if not len(place):
                     break
@@ -143,7 +143,7 @@ class Segment:
         return np.searchsorted(self.starts, positions, side="right") - 1
 
 
-def search(texts: list[bytes | None], q: Queries, near: int | None = None) -> tuple[np.ndarray, list[np.ndarray], list[set], list[set]]:
+def search(texts: list[bytes | None], q: Queries, near: int | None = None, counts: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], list[set], list[set]]:
     """Word counts, hit positions within each document, the items found there, and those found by proximity."""
     seg = Segment(texts, q.number)
     cover = np.zeros(len(seg.terms) + 1, np.int32)
@@ -156,7 +156,7 @@ def search(texts: list[bytes | None], q: Queries, near: int | None = None) -> tu
             for d, w in set(zip(seg.doc_of(start).tolist(), which.tolist())):
                 items[d].update(q.items[n][w])
         if near is not None:
-            for which, place in seg.near(windows, near):
+            for which, place in seg.near(windows, near, counts):
                 for d, w in set(zip(seg.doc_of(place).tolist(), which.tolist())):
                     close[d].update(q.items[n][w])
     hit = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
@@ -176,8 +176,25 @@ def item_blocks(benchmark: DataFrame, item: str, text: str, block_words: int) ->
     return [b.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)] if n > 1 else [b]
 
 
+def term_counts(read: DataFrame, held, n_terms: int) -> np.ndarray:
+    """How often each term of a block of items stands in all documents: at most n_terms rows from a task and to the driver, whatever the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, total = pickle.loads(held.value).number.get, np.zeros(n_terms, np.int64)
+        for b in slices(batches, "text"):
+            ids = np.fromiter((get(w, -1) for t in as_bytes(ids_of(b, "text")) for w in words_of(t)), np.int32)
+            total += np.bincount(ids[ids >= 0], minlength=n_terms)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["term", "n"])
+
+    out = np.zeros(n_terms, np.int64)
+    for r in read.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        out[r["term"]] = r["n"]
+    return out
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", carry: list[str] | None = None, block_words: int = BLOCK_WORDS, near: int | None = None) -> DataFrame:
-    """docs (the columns of carry; all) with n_words, n_hit, n_items, items_sha256, contaminated and items (sorted ids). near: also n_near, the items of which a window's words all stand at most so many words from a place of the rarest of them."""
+    """docs (the columns of carry; all) with n_words, n_hit, n_items, items_sha256, contaminated and items (sorted ids). near: also n_near, the items of which a window's words all stand at most so many words from a place of the one that is rarest in all of docs (the first, where several are)."""
     fields = FIELDS + ([("n_near", T.LongType())] if near is not None else [])
     names = [n for n, _ in fields] + ["items"]
     own = [c for c in (docs.columns if carry is None else carry) if c not in names]
@@ -186,16 +203,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     held = []
     for block in item_blocks(benchmark, item, item_text, block_words):
         rows = [(r["item"], r["text"].encode() if r["text"] is not None else None) for r in block.toLocalIterator()]
-        held.append(spark.sparkContext.broadcast(pickle.dumps(Queries(rows, window), 5)))
+        q = Queries(rows, window)
+        block_held = spark.sparkContext.broadcast(pickle.dumps(q, 5))
+        # Which term is the rarest is asked of all documents, so that proximity does not depend on how they are dealt.
+        held.append((block_held, spark.sparkContext.broadcast(term_counts(read, block_held, len(q.number)) if near is not None else None)))
     if len(held) > 1:
         return _merged(read, own, held, near)
-    whole = held[0]
+    whole, rare = held[0]
     schema = T.StructType(own_fields(docs, own) + [T.StructField(n, t) for n, t in fields] + [T.StructField("items", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = pickle.loads(whole.value)
         for b in slices(batches, "text", 8 << 20):
-            n_words, hits, items, close = search(as_bytes(ids_of(b, "text")), q, near)
+            n_words, hits, items, close = search(as_bytes(ids_of(b, "text")), q, near, rare.value)
             rows = list(zip(*(summary(n, len(h), i) for n, h, i in zip(n_words, hits, items))))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
             cols = [pa.array(r, k) for r, k in zip(rows, kinds)] + ([pa.array([len(c) for c in close], pa.int64())] if near is not None else [])
@@ -209,11 +229,13 @@ def _merged(read: DataFrame, own: list[str], held: list, near: int | None) -> Da
     keyed = row_key(read, *read.columns)
     kind = "k1 long, k2 long, n_words long, hits array<long>, found array<string>, close array<string>"
 
-    def one(block, every: bool):
+    def one(held_block, every: bool):
+        block, rare = held_block
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = pickle.loads(block.value)
             for b in slices(batches, "text", 8 << 20):
-                n_words, hits, items, close = search(as_bytes(ids_of(b, "text")), q, near)
+                n_words, hits, items, close = search(as_bytes(ids_of(b, "text")), q, near, rare.value)
                 k = [i for i in range(b.num_rows) if every or len(hits[i]) or close[i]]
                 at = pa.array(k, pa.int64())
                 cols = [pa.array([int(n_words[i]) for i in k], pa.int64()), pa.array([hits[i].tolist() for i in k], pa.list_(pa.int64())), *(pa.array([sorted(x[i]) for i in k], pa.list_(pa.string())) for x in (items, close))]

@@ -121,5 +121,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"], near=20).drop("items")
 
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':7'), 10) AS BIGINT) >> 1 AS u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, [5e0, 2e0, 1e0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 2e0 * source_size AS cap, 1.5e0 * CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),
+o AS (SELECT *, row_number() OVER by_stop AS place, coalesce(sum(cap) OVER (by_stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS before,
+    sum(weight) OVER (by_stop ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w WINDOW by_stop AS (ORDER BY cap / weight, source NULLS LAST)),
+l AS (SELECT arg_min((total - before) / rest, place) AS level FROM o WHERE (total - before) / rest * weight <= cap),
+t AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM o CROSS JOIN l),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0e0 END AS rate FROM t),
+p AS (SELECT *, target - floor(rate) * source_size AS need, (rate - floor(rate)) / (1 - (rate - floor(rate))) AS odds FROM r),
+x AS (SELECT d.doc_id, d.size, d.u, p.*, (u + 0.5e0) / 549755813888e0 AS v FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+y AS (SELECT *, v / (1 - v) / nullif(odds * pow(CAST(size AS DOUBLE), 0.5e0), 0e0) AS q FROM x),
+z AS (SELECT *, coalesce(least(CAST(floor(q / (1 + q) * 549755813888e0) AS BIGINT), 549755813887), 549755813887) AS place FROM y),
+c AS (SELECT source, need, place, sum(size) OVER (PARTITION BY source ORDER BY place RANGE UNBOUNDED PRECEDING) AS upto FROM z WHERE size > 0 AND need > 0 AND odds > 0),
+e AS (SELECT source, any_value(need) AS need, min(place) FILTER (upto >= need) AS over_, min(upto) FILTER (upto >= need) AS over_words, max(place) FILTER (upto < need) AS under_, coalesce(max(upto) FILTER (upto < need), 0) AS under_words FROM c GROUP BY 1),
+k AS (SELECT source, CASE WHEN over_ IS NOT NULL AND over_words - need <= need - under_words THEN over_ ELSE coalesce(under_, -1) END AS last FROM e)
+SELECT doc_id, z.source, size, source_size, target, CAST(floor(rate) AS BIGINT) + CASE WHEN place <= coalesce(last, -1) THEN 1 ELSE 0 END AS copies,
+    (CAST(floor(rate) AS BIGINT) + CASE WHEN place <= coalesce(last, -1) THEN 1 ELSE 0 END) * size AS taken FROM z LEFT JOIN k ON z.source IS NOT DISTINCT FROM k.source
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_ngram_lm, op3_repeats, op4_quality_rules, op5_simhash, op6_url_filters, op7_mixing, op8_chat, op9_html_extraction, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op8_chat": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op7_mixing": OP7_SQL, "op8_chat": OP8_SQL}

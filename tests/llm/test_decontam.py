@@ -83,6 +83,12 @@ def test_proximity_of_whole_texts(spark):
             assert got[d] == len(found)
 
 
+def test_proximity_does_not_depend_on_partitions(spark, sf):
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = [sorted((r.doc_id, r.n_near, r.n_hit) for r in decontam.contamination(docs.repartition(n), bench, carry=["doc_id"], near=20, block_words=b).collect()) for n, b in ((1, decontam.BLOCK_WORDS), (7, decontam.BLOCK_WORDS), (3, 2000))]
+    assert got[0] == got[1] == got[2] and any(n for _, n, _ in got[0])
+
+
 def test_clashing_names(spark):
     """Names inside the operator and names with a dot keep their values, with one block of items and with many."""
     docs = spark.createDataFrame([(1, "one two three", 5, 6, 7, 8), (1, "one two three", 5, 6, 7, 8), (None, None, None, None, None, None)], "doc_id long, text string, k1 long, hits long, `a.b` long, c0 long")

@@ -5,7 +5,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.llm import mixing
+from driftline.llm import mixing, queries
+from tests.oracle import connection, differences
 
 
 def brute_targets(sizes, share=1.5, most=2.0, weights=(5, 2, 1)):
@@ -103,6 +104,10 @@ def test_selection_of_the_whole_table(spark, sf):
     assert sum(more) / len(more) > sum(r["size"] for r in rows) / len(rows)
 
 
+def test_against_sql(spark, sf):
+    assert not differences(queries.op7_mixing(spark, sf), connection(sf), queries.OP7_SQL)
+
+
 def test_clashing_names(spark):
     docs = spark.createDataFrame([(i, "a b", "x", 1, 2, 3) for i in range(8)], "doc_id long, text string, source string, last int, odds int, `a.b` int")
     got = mixing.mixed(docs)
