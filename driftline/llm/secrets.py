@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a long run of key-like characters with a digit in it, or a value given to a name such as `password`. The
+A candidate is a long run of key-like characters with a digit in it or with letters that change case often, a value
+given to a name such as `password`, the password of a connection string, or a block that holds a private key. The
 forest judges it by its length, its character transitions, how far dictionary words cover it, the path of its document
 and the words around it. It is trained from labelled findings (Finding); `labelled_findings` makes a seeded set of at
 most `n` (a bounded sample, 4,000 in production) after public formats of keys and of what is mistaken for them, for use
@@ -35,6 +36,9 @@ from driftline.llm.common import ids_of, numbered_columns, own_arrays, own_field
 
 LONG = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
 GIVEN = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credential)s?[\"']?\s*(?:[:=]|=>|:=)\s*[\"']?([^\s\"'`,;]{6,})")
+#: The password in scheme://user:password@host.
+LOGIN = re.compile(r"://[^\s/:@\"']*:([^\s/@\"']{6,})@")
+BLOCK = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s\\]*-----END (?:[A-Z]+ )*PRIVATE KEY-----")
 HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential")
 MARK = "<SECRET>"
 #: A common vocabulary; what is made of such words is seldom a key.
@@ -58,10 +62,19 @@ class Finding:
     label: int | None = None
 
 
+def mixed(v: str) -> bool:
+    """Whether the case of letters changes at a fourth of the places or more."""
+    return not (v.islower() or v.isupper()) and 4 * sum(a.islower() != b.islower() for a, b in zip(v, v[1:])) >= len(v)
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Ranges of candidates in a text, apart from each other, in order."""
-    found = [m.span() for m in LONG.finditer(text) if any(map(str.isdigit, m[0]))]
+    found = [m.span() for m in LONG.finditer(text) if any(map(str.isdigit, m[0])) or mixed(m[0])]
     low = text.lower()
+    if "://" in text:
+        found += [m.span(1) for m in LOGIN.finditer(text)]
+    if "PRIVATE KEY-----" in text:
+        found += [m.span() for m in BLOCK.finditer(text)]
     if any(h in low for h in HINTS):
         found += [m.span(1) for m in GIVEN.finditer(text)]
     out: list[tuple[int, int]] = []
@@ -134,19 +147,31 @@ def labelled_findings(n: int = 4000, seed: int = 1) -> list[Finding]:
     prose = lambda: " ".join(r.choice([word, invented])() for _ in range(r.randrange(0, 12)))
     paths = ["", "src0", "src7", "app/config.yml", ".env", "deploy/settings.py", "src/main.c", "lib/net.js", "infra/main.tf", "notes.txt"]
     fakes = ["tests/test_auth.py", "docs/readme.md", "package-lock.json", "examples/demo.py", "vendor/x.min.js", "", "src3", "src12", "src/main.c"]
+    letters = alnum[:52]
     out = []
     while len(out) < n:
         label = len(out) % 2
+        after = None
         if label:
-            value = r.choice([lambda: hexa(40), lambda: hexa(32), lambda: hexa(64), lambda: some(40), lambda: some(r.randrange(20, 64)), lambda: "AKIA" + some(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), lambda: "ghp_" + some(36), lambda: "sk_live_" + some(24), lambda: "xoxb-" + some(11, "0123456789") + "-" + some(24), lambda: base64.b64encode(r.randbytes(r.randrange(18, 40))).decode(), lambda: some(r.randrange(10, 20), alnum + "!#%&*")])()
+            value = r.choice([lambda: hexa(40), lambda: hexa(32), lambda: hexa(64), lambda: some(40), lambda: some(r.randrange(20, 64)), lambda: "AKIA" + some(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), lambda: "ghp_" + some(36), lambda: "sk_live_" + some(24), lambda: "xoxb-" + some(11, "0123456789") + "-" + some(24), lambda: base64.b64encode(r.randbytes(r.randrange(18, 40))).decode(), lambda: some(r.randrange(10, 20), alnum + "!#%&*"), lambda: some(r.randrange(20, 48), letters)])()
             name = r.choice(["token", "secret", "password", "api_key", "apiKey", "API_KEY", "auth_token", "client_secret", "access_key", "SECRET_KEY", "passwd", "private_key"])
             head = r.choice([f'{name} = "', f"{name}: ", f"{name}={''}", f'"{name}": "', f"export {name.upper()}=", "Authorization: Bearer ", f"{name} := '"])
+            odd = r.random()
+            if odd < 0.06:
+                value, head, after = some(r.randrange(8, 24), r.choice([letters, alnum, alnum + "!#%&*"])), f"{word()}://{word()}:", f"@{word()}.{word()}/{word()}"
+            elif odd < 0.12:
+                kind = r.choice(["", "RSA ", "EC ", "OPENSSH "])
+                body = base64.b64encode(r.randbytes(r.randrange(60, 900))).decode()
+                value = f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(body[i : i + 64] for i in range(0, len(body), 64)) + f"\n-----END {kind}PRIVATE KEY-----"
+                head = r.choice(["", "", f"{name}: ", f'{name} = "'])
         else:
-            value = r.choice([lambda: hexa(40), lambda: hexa(64), lambda: hexa(32), lambda: str(uuid.UUID(int=r.getrandbits(128))), lambda: some(16, "0123456789"), lambda: some(r.randrange(16, 24), "0123456789"), lambda: "_".join(word() for _ in range(4)) + str(r.randrange(99)), lambda: "-".join(word() for _ in range(4)) + str(r.randrange(2024)), lambda: "".join(word().title() for _ in range(4)) + str(r.randrange(9)), lambda: "your-" + word() + "-token-123", lambda: "x" * 20 + "1", lambda: "/".join(word() for _ in range(4)) + "/v2", lambda: "changeme123", lambda: "sha512-" + base64.b64encode(r.randbytes(64)).decode(), lambda: invented() + invented() + invented() + str(r.randrange(99)), lambda: "=" * 20 + "1" + "-" * 20])()
+            value = r.choice([lambda: hexa(40), lambda: hexa(64), lambda: hexa(32), lambda: str(uuid.UUID(int=r.getrandbits(128))), lambda: some(16, "0123456789"), lambda: some(r.randrange(16, 24), "0123456789"), lambda: "_".join(word() for _ in range(4)) + str(r.randrange(99)), lambda: "-".join(word() for _ in range(4)) + str(r.randrange(2024)), lambda: "".join(word().title() for _ in range(4)) + str(r.randrange(9)), lambda: "your-" + word() + "-token-123", lambda: "x" * 20 + "1", lambda: "/".join(word() for _ in range(4)) + "/v2", lambda: "changeme123", lambda: "".join(word().title() for _ in range(r.randrange(4, 8))), lambda: "".join(x.title() for x in invented().split("e")) + invented().title() + invented().title() + "X", lambda: "sha512-" + base64.b64encode(r.randbytes(64)).decode(), lambda: invented() + invented() + invented() + str(r.randrange(99)), lambda: "=" * 20 + "1" + "-" * 20])()
             head = r.choice(["commit ", "sha256: ", "md5sum ", "revision ", "id ", "see https://host.example/", "#", "checksum = ", "etag: ", "uuid=", "order number ", "card ", "phone ", "digest: ", "", "", 'password = "example', "token = your", "class ", "def ", "import ", "  <h1>"])
+            if r.random() < 0.05:
+                value, head, after = r.choice(["password", "your-password", "changeme", "<password>", "example", "placeholder", "${PASSWORD}"]), f"{word()}://{word()}:", f"@{word()}.{word()}/{word()}"
         before = prose() + r.choice([" ", "\n", "### ", ". "]) + head
         path = r.choice(fakes if not label and r.random() < 0.6 else paths)
-        out.append(Finding(before + value + r.choice(['"', "", " ", "'", "\n", '"### ', " la "]) + prose(), len(before), len(before) + len(value), path, label))
+        out.append(Finding(before + value + (after if after is not None else r.choice(['"', "", " ", "'", "\n", '"### ', " la "])) + prose(), len(before), len(before) + len(value), path, label))
     return out
 
 
