@@ -36,6 +36,8 @@ from driftline.llm.common import UPPER, as_bytes, ids_of, numbered_columns, own_
 TABLE = bytes(c + 32 if c in UPPER else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 32 for c in range(256))
 #: Words of test items that are broadcast at once: at about 60 bytes for each word with its place in a window, 120 MB at most.
 BLOCK_WORDS = 2_000_000
+#: Places of rarest terms that are looked into at once, so that a window of frequent words alone takes no more memory.
+PLACES = 1 << 17
 FIELDS = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())]
 
 
@@ -91,53 +93,61 @@ class Segment:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return self.keys[at] == key
 
-    def rarest(self, windows: np.ndarray, counts: np.ndarray | None = None, at_once: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(window number, place of its rarest term, its terms' order from rare to frequent) of the windows that have postings for all terms, in portions. counts: of all terms, where those of these documents don't decide."""
+    def order(self, windows: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The windows that have postings for all terms, and for each of them its terms' places from rare to frequent. counts: of all terms, where those of these documents don't decide."""
         df = self.counts[windows]
         alive = np.flatnonzero(df.min(axis=1) > 0)
-        if not len(alive):
-            return
-        order = np.argsort(df[alive] if counts is None else counts[windows[alive]], axis=1, kind="stable")
-        rare = windows[alive, order[:, 0]]
+        return alive, np.argsort((df if counts is None else counts[windows])[alive], axis=1, kind="stable").astype(np.int16)
+
+    def places(self, rare: np.ndarray, at_once: int = PLACES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(number in rare, position) of all postings of the terms of rare, about at_once at a time; a long list comes in portions."""
         sizes = self.counts[rare]
-        cut = np.searchsorted(np.cumsum(sizes), np.arange(at_once, sizes.sum() + at_once, at_once))
-        for part in np.split(np.arange(len(alive)), np.unique(cut[cut < len(alive)])):
-            if len(part):
-                which = np.repeat(part, sizes[part])
-                within = np.arange(len(which)) - np.repeat(np.cumsum(sizes[part]) - sizes[part], sizes[part])
-                yield alive[which], self.positions[self.first[rare[which]] + within], order[which]
+        ends = np.cumsum(sizes)
+        for at in range(0, int(ends[-1]) if len(ends) else 0, at_once):
+            n = np.arange(at, min(at + at_once, int(ends[-1])))
+            i = np.searchsorted(ends, n, side="right")
+            yield i, self.positions[self.first[rare[i]] + n - (ends[i] - sizes[i])]
 
     def phrases(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(window number, start) of every occurrence of the windows, all of one length."""
         n = windows.shape[1]
-        for which, place, order in self.rarest(windows):
-            start = place - order[:, 0]
+        alive, order = self.order(windows)
+        for i, place in self.places(windows[alive, order[:, 0]]):
+            start = place - order[i, 0]
             ok = (start >= 0) & (start + n <= len(self.terms))
             for k in range(1, n):
-                which, start, order = which[ok], start[ok], order[ok]
+                i, start = i[ok], start[ok]
                 if not len(start):
                     break
-                ok = self.holds(windows[which, order[:, k]], start + order[:, k])
-            which, start = (which[ok], start[ok]) if len(start) else (which, start)
+                ok = self.holds(windows[alive[i], order[i, k]], start + order[i, k])
+            if len(start):
+                i, start = i[ok], start[ok]
             if len(start):
-                yield which, start
+                yield alive[i], start
 
     def near(self, windows: np.ndarray, within: int, counts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(window number, place) of the places of windows' rarest terms around which every other term stands at most `within` words away, in the same document."""
         last = max(len(self.keys) - 1, 0)
-        for which, place, order in self.rarest(windows, counts):
+        alive, order = self.order(windows, counts)
+        for i, place in self.places(windows[alive, order[:, 0]]):
             for k in range(1, windows.shape[1]):
                 if not len(place):
                     break
-                base = windows[which, order[:, k]].astype(np.int64) * (len(self.terms) + 1)
-                i, doc = np.searchsorted(self.keys, base + place), self.doc_of(place)
+                base = windows[alive[i], order[i, k]].astype(np.int64) * (len(self.terms) + 1)
+                at, doc = np.searchsorted(self.keys, base + place), self.doc_of(place)
                 ok = np.zeros(len(place), bool)
-                for j in (np.maximum(i - 1, 0), np.minimum(i, last)):
+                for j in (np.maximum(at - 1, 0), np.minimum(at, last)):
                     other = self.keys[j] - base  # out of 0 to length, if it is another term's
                     ok |= (np.abs(other - place) <= within) & (other >= 0) & (other < len(self.terms)) & (self.doc_of(other) == doc)
-                which, place, order = which[ok], place[ok], order[ok]
+                i, place = i[ok], place[ok]
             if len(place):
-                yield which, place
+                yield alive[i], place
+
+    def documents(self, positions: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, int]]:
+        """The different (document, window number) of some matches."""
+        most = int(which.max()) + 1
+        for x in np.unique(self.doc_of(positions) * most + which).tolist():
+            yield divmod(x, most)
 
     def doc_of(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, positions, side="right") - 1
@@ -153,11 +163,11 @@ def search(texts: list[bytes | None], q: Queries, near: int | None = None, count
         for which, start in seg.phrases(windows):
             np.add.at(cover, start, 1)
             np.add.at(cover, start + n, -1)
-            for d, w in set(zip(seg.doc_of(start).tolist(), which.tolist())):
+            for d, w in seg.documents(start, which):
                 items[d].update(q.items[n][w])
         if near is not None:
             for which, place in seg.near(windows, near, counts):
-                for d, w in set(zip(seg.doc_of(place).tolist(), which.tolist())):
+                for d, w in seg.documents(place, which):
                     close[d].update(q.items[n][w])
     hit = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
     cuts = np.searchsorted(hit, seg.starts)
