@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.functions import text as tx
 from driftline.session import small
 
 MASK = "[MASK]"
 _WORD = re.compile(r"[^\W\d_](?:[\w'\-]*[^\W\d_])?")
+_PIECE = re.compile(r"[^ \t\n\r\f\x0B]+")
 SPANS = "array<struct<token:string,begin:int,end:int>>"
 
 
@@ -21,16 +27,81 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), *m.span()) for m in _WORD.finditer(text)]
 
 
-def _spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(lambda t: [{"token": w, "begin": a, "end": b} for w, a, b in spans_of(t or "")])
+#: Bytes of text of which spans, and of which contexts, are held at once (contexts take up to a hundred times as many).
+SPANS_OF, CONTEXTS_OF = 1 << 20, 1 << 16
+
+
+def _portions(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batches in portions of about `most` bytes of text, one text at least, with the texts (null: empty)."""
+    for batch in batches:
+        column = batch.column("text")
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, to - at), [t or "" for t in column.slice(at, to - at).to_pylist()]
+            at = to
 
 
 def token_spans(texts: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """The columns of texts with token, begin, end: a row for each word (only: for these words) and its place in the text."""
-    spans = F.pandas_udf(_spans, SPANS)("text")
-    spans = spans if only is None else F.filter(spans, lambda s: s["token"].isin(*only))
-    return texts.select("*", F.explode(spans).alias("s")).select(*texts.columns, "s.token", "s.begin", "s.end")
+    """The columns of texts with token, begin, end: a row for each word (only: for these words) and its place in the text. Python holds the spans of one portion of text; they become rows in the JVM."""
+    wanted = None if only is None else frozenset(only)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, own in _portions(batches, SPANS_OF):
+            words, places, cuts = [], array("i"), [0]
+            for t in own:
+                for m in _WORD.finditer(t):
+                    w = m[0].lower()
+                    if wanted is None or w in wanted:
+                        words.append(w)
+                        places.extend(m.span())
+                cuts.append(len(words))
+            at = np.frombuffer(places, np.int32).reshape(-1, 2) if words else np.zeros((0, 2), np.int32)
+            spans = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(at[:, 0]), pa.array(at[:, 1])], ["token", "begin", "end"])
+            yield pa.record_batch([*batch.columns, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), spans)], [*batch.schema.names, "__spans"])
+
+    found = texts.mapInArrow(run, T.StructType([*texts.schema.fields, T.StructField("__spans", T.ArrayType(T.StructType.fromDDL("token string, begin int, end int")))]))
+    return found.select(*texts.columns, F.explode("__spans").alias("s")).select(*texts.columns, "s.token", "s.begin", "s.end")
+
+
+def contexts_of(text: str, shortest: int = 1, least: int = 7, side: int = 32) -> Iterator[tuple[str, int, int, str]]:
+    """(token, begin, end, context) of a text's words of `shortest` characters or more; context as in contexts(). The text is cut once at white space: a sentence ends with a piece that ends in .!?, and a word lies inside one piece."""
+    cut = [(m.start(), m.end()) for m in _PIECE.finditer(text)]
+    pieces = [text[a:z] for a, z in cut]
+    last = len(pieces) - 1
+    ends = [i for i, p in enumerate(pieces) if p[-1] in ".!?"]
+    i = e = 0  # the piece, and the first end at or behind it
+    for m in _WORD.finditer(text):
+        begin, end = m.span()
+        if end - begin < shortest:
+            continue
+        while cut[i][1] < end:
+            i += 1
+        while e < len(ends) and ends[e] < i:
+            e += 1
+        before, after = text[cut[i][0] : begin], text[end : cut[i][1]]
+        first, to = ends[e - 1] + 1 if e else 0, ends[e] if e < len(ends) else last
+        if to - first + 1 < least:
+            first, to = 0, last
+        left = pieces[max(first, i - side + bool(before)) : i]
+        right = pieces[i + 1 : min(to, i + side - bool(after)) + 1]
+        yield m[0].lower(), begin, end, " ".join([*left, *([before] if before else []), MASK, *([after] if after else []), *right])
+
+
+def text_contexts(texts: DataFrame, shortest: int = 1) -> DataFrame:
+    """The columns of texts (but text) with token, begin, end and context of each word of `shortest` characters or more: token_spans and contexts in one pass, so that no text travels with each of its words."""
+    own = [f for f in texts.schema.fields if f.name != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, some in _portions(batches, CONTEXTS_OF):
+            found = [list(contexts_of(t, shortest)) for t in some]
+            of = pa.array(np.repeat(np.arange(len(some)), [len(x) for x in found]))
+            token, begin, end, context = zip(*[r for x in found for r in x]) if len(of) else ((), (), (), ())
+            made = [pa.array(token, pa.string()), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(context, pa.string())]
+            yield pa.record_batch([*[batch.column(f.name).take(of) for f in own], *made], [*[f.name for f in own], "token", "begin", "end", "context"])
+
+    return texts.mapInArrow(run, T.StructType([*own, *T.StructType.fromDDL("token string, begin int, end int, context string").fields]))
 
 
 def dict_matches(texts: DataFrame, terms: list[str]) -> DataFrame:
