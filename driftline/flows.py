@@ -38,8 +38,7 @@ def build_frequency(lines: DataFrame, scope: DataFrame | None = None, years: tup
 def build_hits(texts: DataFrame, freq: DataFrame, topic: DataFrame, scorer: scoring.Scorer, min_freq: int = 2, excluded: Column | None = None) -> DataFrame:
     """The hit summary of texts (record_id, half_year, text): every occurrence of a word that was eligible by then is masked, scored, and its rank among the tokens set against the topic's (column token)."""
     eligible = fq.eligible_from(freq, min_freq)
-    spans = cx.gated(cx.token_spans(texts).drop("text"), eligible).where("drop_reason IS NULL")
-    masked = cx.contexts(spans.join(texts.select("record_id", "text"), "record_id")).where("drop_reason IS NULL")
+    masked = cx.gated(cx.text_contexts(texts), eligible).where("drop_reason IS NULL")
     asked = stored(masked.select(F.xxhash64("record_id", "begin").alias("ctx"), "half_year", F.col("token").alias("word"), "context"), "contexts")
     own = topic.select("token", F.lit(True).alias("topic")).distinct()
     logits = scorer.logits(asked).join(own, "token", "left").withColumn("topic", F.coalesce("topic", F.lit(False))).join(asked.select("ctx", "half_year", "word"), "ctx")
