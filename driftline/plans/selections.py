@@ -12,7 +12,7 @@ from driftline.operators import scoring as sc
 from driftline.plans import sql as q
 from driftline.plans.registry import query
 from driftline.plans.signals import WIDE, signal
-from driftline.plans.words import FLOORS, KEYWORDS, LOW, TARGETS, TERMS, kept, lines
+from driftline.plans.words import FLOORS, KEYWORDS, LOW, TARGETS, TERMS, held, kept, lines
 from driftline.sources import corpus as cp
 from driftline.sources import fixtures as fx
 
@@ -94,12 +94,12 @@ def positive_vocabulary(spark, d):
 
 @query(f"WITH {q.COUNTS}, w AS (SELECT DISTINCT word FROM freq ORDER BY word LIMIT 40) SELECT half_year, word, c FROM freq WHERE word IN (SELECT word FROM w)")
 def max_words(spark, d):
-    return fq.first_words(kept(spark, d), 40)
+    return fq.first_words(held(spark, d), 40)
 
 
 @query(f"WITH {q.COUNTS} SELECT half_year, word, c FROM freq WHERE half_year NOT IN ('1996H1', '2000H2')")
 def exclude_half_years(spark, d):
-    return fq.without_half_years(kept(spark, d), ["1996H1", "2000H2"])
+    return fq.without_half_years(held(spark, d), ["1996H1", "2000H2"])
 
 
 @query(f"WITH {q.COUNTS}, w AS (SELECT DISTINCT word FROM freq) SELECT word FROM w ORDER BY md5('3:' || word), word LIMIT 25")
@@ -109,7 +109,7 @@ def sample_n(spark, d):
 
 @query(f"WITH {q.COUNTS}, grid AS (SELECT unnest([{', '.join(map(str, FLOORS))}]) AS floor) SELECT half_year, 'floor_' || floor AS floor, count(*) FILTER (c >= floor) AS n_words FROM freq CROSS JOIN grid GROUP BY ALL")
 def unpivot_floor(spark, d):
-    return fq.unpivoted(fq.pivot_floor(fq.survivors(kept(spark, d), FLOORS), FLOORS), "half_year", "floor", "n_words")
+    return fq.unpivoted(fq.pivot_floor(fq.survivors(held(spark, d), FLOORS), FLOORS), "half_year", "floor", "n_words")
 
 
 @query("""WITH s AS (SELECT o_orderpriority AS scope, o_orderstatus AS status, CASE WHEN o_orderkey % 2 = 0 THEN 30 END AS min_freq FROM orders)
