@@ -1,5 +1,6 @@
 """Tiles against the same scores made from a row for each pair, odd vectors included."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +60,27 @@ def test_context_alone(spark, tables):
 def test_no_pair_becomes_a_row(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan and "NOT (ctx" not in plan
+
+
+def test_order_of_sums_decides(spark, monkeypatch):
+    """Copies of vectors in every place of tiles of different widths: a matrix product sets some apart by a last bit, and ties are by token."""
+    monkeypatch.setattr(tiles, "PORTION", (3, 50))
+    rng = np.random.default_rng(1)
+    some = (rng.normal(size=(40, 64)) * 3).astype("float32").astype(float)
+    rows = [(i, i % 3 == 0, some[i * 7 % 40].tolist()) for i in range(901)]
+    vocabulary = spark.createDataFrame(rows, "token long, topic boolean, b array<double>").cache()
+    contexts = vocabulary.where("token % 20 = 0").select(F.col("token").alias("ctx"), F.lit("2000H1").alias("half_year"), F.col("b").alias("a"))
+    pairs = contexts.join(vocabulary, F.col("ctx") != F.col("token")).withColumn("logit", dot(F.col("a"), F.col("b"))).drop("a", "b")
+    same(tiles.mlm_score(contexts, vocabulary), scoring.mlm_score(pairs))
+    same(tiles.top_k(contexts, vocabulary, 30), scoring.top_k(pairs, 30))
+
+
+def test_a_block_a_partition(spark):
+    rows = spark.range(0, 40 * 16, 1, 16).select(F.col("id").alias("token"), F.array(F.lit(1.0)).alias("b"))
+    sizes = tiles.blocks(rows, 640, 16, "y").rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+    assert sizes == [1] * 40
+
+
+def test_predictions_are_made_once(spark, sf):
+    plan = QUERIES["candidate_scores"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Cross") + plan.count("Join Inner") == 1
