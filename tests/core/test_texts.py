@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import text as tx
 from driftline.operators import contexts as cx
-from driftline.operators import checks, scoring, vectors
+from driftline.operators import checks, frequency, scoring, vectors
 from driftline.operators.order import placed
 from driftline.sources import corpus as cp
 from driftline.sources import fixtures as fx
@@ -180,3 +180,19 @@ def test_scorers(spark):
     near = spark.createDataFrame([("t", "a", 1), ("t", "b", 2), ("u", "a", 1), ("u", "c", 2)], "target string, word string, place int")
     chosen = {r.target: r.word for r in vectors.greedy_negatives(near, 1, 1).collect()}
     assert chosen == {"t": "a", "u": "c"}
+
+
+def test_count_scorer_by_surroundings(spark):
+    """The likeliest words from packed neighbours, against a row for each context and token; ties, edges of texts, and no table of all tokens."""
+    body = ["aa Ononst bb", "ononst bb aa", "aa inoran", "x aa ononst bb aa ononst cc", "zz bb aa bb cc", "aa aa bb bb ononst inoran ononst bb", "", None, "ononst", "aa zz bb, yy bb; aa yy. bb"]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(body)], "record_id long, text string")
+    tokens = frequency.tokens(texts)
+    near = lambda k, name: tokens.select("record_id", (F.col("pos") - k).alias("pos"), F.col("token").alias(name))
+    at = tokens.where(F.col("token").isin("ononst", "inoran")).join(near(-1, "left"), ["record_id", "pos"]).join(near(1, "right"), ["record_id", "pos"])
+    rows = lambda df, *c: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*c).collect())
+    contexts = scoring.surroundings(texts, ["ononst", "inoran"])
+    assert rows(contexts, "ctx", "left", "right") == rows(at.select(F.concat_ws(":", "record_id", "pos").alias("ctx"), "left", "right"), "ctx", "left", "right") != []
+    scorer = scoring.CountScorer.of_texts(texts, contexts)
+    for k in (1, 3, 50):
+        found = scoring.top_k(scoring.CountScorer(tokens).logits(contexts), k)
+        assert rows(scorer.top_k(contexts, k), "ctx", "rank", "token", "p") == rows(found, "ctx", "rank", "token", "p")
